@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixture, sharding, simhash, substring
+from . import minhash, mixture, sharding, simhash, substring
 
 
 def _documents(op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -14,6 +14,7 @@ def _documents(op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession,
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash": _documents(minhash.op1_near_duplicates),
     "op4_substring": _documents(substring.op4_substring),
     "op5_simhash": _documents(simhash.op5_fingerprints),
     "op6_mixing": _documents(mixture.op6_mixing),
