@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixture, sharding, simhash, substring
+from . import langid, minhash, mixture, sharding, simhash, substring, toxicity
 
 
 def _documents(op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -17,6 +17,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": _documents(minhash.op1_near_duplicates),
     "op4_substring": _documents(substring.op4_substring),
     "op5_simhash": _documents(simhash.op5_fingerprints),
+    "op7_language": _documents(langid.op7_language),
+    "op9_toxicity": lambda spark, sf_dir: toxicity.op9_toxicity(
+        spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    ),
     "op6_mixing": _documents(mixture.op6_mixing),
     "op10_sharding": _documents(sharding.op10_sharding),
 }

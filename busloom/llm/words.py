@@ -137,3 +137,39 @@ def member(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
         return np.zeros(len(values), dtype=bool)
     at = np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)
     return ordered[at] == values
+
+
+class Table:
+    """Positions of 64-bit keys in an array of distinct keys: open addressing with numpy."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.mask = np.uint64((1 << max(4, int(2 * len(keys)).bit_length())) - 1)
+        self.slot = np.full(int(self.mask) + 1, -1, dtype=np.int32)
+        at, todo = (keys & self.mask).astype(np.int64), np.arange(len(keys))
+        while len(todo):
+            free = todo[self.slot[at[todo]] < 0]
+            self.slot[at[free]] = free
+            todo = todo[self.slot[at[todo]] != todo]
+            at[todo] = (at[todo] + 1) & int(self.mask)
+
+    def find(self, values: np.ndarray) -> np.ndarray:
+        """Index of each value in the keys, or -1."""
+        out = np.full(len(values), -1, dtype=np.int64)
+        if not len(self.keys):
+            return out
+        at, todo = (values & self.mask).astype(np.int64), np.arange(len(values))
+        while len(todo):
+            row = self.slot[at[todo]]
+            todo, row = todo[row >= 0], row[row >= 0]
+            same = self.keys[row] == values[todo]
+            out[todo[same]] = row[same]
+            todo = todo[~same]
+            at[todo] = (at[todo] + 1) & int(self.mask)
+        return out
+
+
+def distinct(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """One occurrence of each distinct word, and each word's number among these."""
+    _, first, number = np.unique(w.hash, return_index=True, return_inverse=True)
+    return first, number
