@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, minhash, mixture, packing, sharding, simhash, substring, toxicity
+from . import itq, langid, minhash, mixture, packing, sharding, simhash, substring, toxicity
 
 
 def _documents(op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring": _documents(substring.op4_substring),
     "op5_simhash": _documents(simhash.op5_fingerprints),
     "op7_language": _documents(langid.op7_language),
+    "op8_embeddings": lambda spark, sf_dir: itq.op8_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
     "op9_toxicity": lambda spark, sf_dir: toxicity.op9_toxicity(
         spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     ),
