@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import itq, langid, minhash, mixture, packing, sharding, simhash, substring, toxicity
+from . import itq, langid, lm_mixing, minhash, mixture, packing, sharding, simhash, substring, toxicity
 
 
 def _documents(op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -16,6 +16,7 @@ def _documents(op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession,
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": _documents(minhash.op1_near_duplicates),
     "op2_packing": _documents(packing.op2_packing),
+    "op3_lm_scores": _documents(lm_mixing.op3_lm_scores),
     "op4_substring": _documents(substring.op4_substring),
     "op5_simhash": _documents(simhash.op5_fingerprints),
     "op7_language": _documents(langid.op7_language),
