@@ -47,7 +47,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 before = np.zeros(len(word), dtype=np.uint64)
                 for k in range(ORDER + 1):
                     # the context of order k is the node of order k-1 at the byte before
-                    parent = before if k == 0 else np.concatenate([[0], keys[k - 1][:-1]]).astype(np.uint64)
+                    parent = before if k == 0 else np.concatenate([before[:1], keys[k - 1][:-1]])
                     if k == 1:
                         parent = np.where(np.concatenate([[True], word[1:] != word[:-1]]), np.uint64(1), parent)
                     if k > 1:
