@@ -71,8 +71,8 @@ def dedup_substrings(docs: DataFrame, window: int = 35, block_bytes: int = 4 <<
     Texts are dealt once into blocks of about ``block_bytes`` by doc_id and read from there three
     times: (1) each block names its distinct anchors (5 of 21 positions), and those seen twice
     anywhere go back to the blocks that hold them; (2) only windows around such anchors are
-    hashed (128 bits) and counted in the same way; (3) words covered by repeated windows go. A
-    window that occurs in very many texts makes one row per block, not one per text or pair.
+    hashed (128 bits) and counted in the same way, and a block gets back those of its windows that
+    occur once, which are few; (3) words covered by the other such windows go. A window that occurs in very many texts makes one row per block, not one per text or pair.
     The plan needs window > PERIOD. ``docs`` must have doc_id and text; other columns are kept.
     """
     if window <= PERIOD:
@@ -99,16 +99,16 @@ def dedup_substrings(docs: DataFrame, window: int = 35, block_bytes: int = 4 <<
         block = np.full(len(first), table.column("_block")[0].as_py() if table.num_rows else 0, dtype=np.int32)
         return pa.table({"h1": h1[first].view(np.int64), "h2": h2[first].view(np.int64), "_block": block, "many": many})
 
-    def clean(table: pa.Table, anchored: pa.Table, repeated: pa.Table) -> list[pa.Table]:
+    def clean(table: pa.Table, anchored: pa.Table, single: pa.Table) -> list[pa.Table]:
         known = np.sort(_unsigned(anchored, "h"))
-        in1, in2 = _unsigned(repeated, "h1"), _unsigned(repeated, "h2")
+        in1, in2 = _unsigned(single, "h1"), _unsigned(single, "h2")
         order = np.argsort(in1)
         in1, in2 = in1[order], in2[order]
         out = []
         for part in slices(table, "text"):
             w = words(part.column("text"))
             at, h1, h2 = _candidates(w, window, known)
-            at = at[_found(h1, h2, in1, in2)]
+            at = at[~_found(h1, h2, in1, in2)]
             edge = np.zeros(len(w.start) + 1, dtype=np.int64)
             edge[at] += 1
             edge[at + window] -= 1
@@ -134,9 +134,9 @@ def dedup_substrings(docs: DataFrame, window: int = 35, block_bytes: int = 4 <<
     times = F.sum(F.when(F.col("many"), 2).otherwise(1))
     anchored = seen.withColumn("_n", times.over(W.partitionBy("h"))).filter("_n > 1").select("h", "_block")
     around = by_block(dealt).cogroup(by_block(anchored)).applyInArrow(windows, "h1 long, h2 long, _block int, many boolean")
-    repeated = around.withColumn("_n", times.over(W.partitionBy("h1", "h2"))).filter("_n > 1").select("h1", "h2", "_block")
+    single = around.withColumn("_n", times.over(W.partitionBy("h1", "h2"))).filter("_n = 1").select("h1", "h2", "_block")
     # the last step needs both tables of a block: they travel as one, told apart by h2 and kind
-    both = anchored.select("_block", F.col("h").alias("h1"), F.lit(None).cast("long").alias("h2")).unionByName(repeated)
+    both = anchored.select("_block", F.col("h").alias("h1"), F.lit(None).cast("long").alias("h2")).unionByName(single)
     added = ", n_words long, n_removed long, kept_text string"
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
 
