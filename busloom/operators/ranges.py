@@ -23,7 +23,7 @@ def in_ranges(points: DataFrame, at: str, intervals: DataFrame, low: Column, hig
     return out.drop("_at", "_bucket", "_low", "_high")
 
 
-def islands(intervals: DataFrame, keys: tuple[str, ...], start: str, end: str, order: tuple[str, ...], slice_: Column) -> DataFrame:
+def islands(intervals: DataFrame, keys: tuple[str, ...], start: str, end: str, order: tuple[str, ...], slice_: str) -> DataFrame:
     """Unions of overlapping or touching intervals: one row per key and island with its ends."""
     line = Timeline(keys, order, slice_)
     rows = line.running_max(intervals, F.col(end), "_reach", inclusive=False)

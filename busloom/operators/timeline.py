@@ -27,11 +27,11 @@ def join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str =
 @dataclass(frozen=True)
 class Timeline:
     """``keys`` split the rows, ``order`` (without ties within a key) sorts them, and ``slice``
-    is a column expression that never falls along that order."""
+    is an SQL expression that never falls along that order."""
 
     keys: tuple[str, ...]
     order: tuple[str, ...]
-    slice: Column
+    slice: str
 
     def _within(self):
         return W.partitionBy(*self.keys, "_slice").orderBy(*self.order)
@@ -47,7 +47,7 @@ class Timeline:
     def previous(self, df: DataFrame, values: dict[str, Column]) -> DataFrame:
         """Adds each named value of the key's row before (null for the first one)."""
         packed = F.struct(F.lit(1).alias("_there"), *[c.alias(n) for n, c in values.items()])
-        rows = df.withColumn("_slice", self.slice).withColumn("_v", packed)
+        rows = df.withColumn("_slice", F.expr(self.slice)).withColumn("_v", packed)
         rows = rows.withColumn("_p", F.lag("_v").over(self._within()))
         rows = self._carried(rows, F.max_by("_v", F.struct(*self.order)), lambda c: F.lag(c).over(self._slices()))
         found = F.coalesce("_p", "_carry")
@@ -55,7 +55,7 @@ class Timeline:
 
     def running_sum(self, df: DataFrame, value: Column, name: str) -> DataFrame:
         """Adds the sum of ``value`` (null: 0) up to and including the row."""
-        rows = df.withColumn("_slice", self.slice).withColumn("_v", F.coalesce(value.cast("long"), F.lit(0)))
+        rows = df.withColumn("_slice", F.expr(self.slice)).withColumn("_v", F.coalesce(value.cast("long"), F.lit(0)))
         rows = rows.withColumn("_s", F.sum("_v").over(self._within().rowsBetween(W.unboundedPreceding, 0)))
         before = self._slices().rowsBetween(W.unboundedPreceding, -1)
         rows = self._carried(rows, F.sum("_v"), lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)))
@@ -63,7 +63,7 @@ class Timeline:
 
     def last_known(self, df: DataFrame, value: Column, name: str) -> DataFrame:
         """Adds the newest non-null ``value`` up to and including the row (an as-of join)."""
-        rows = df.withColumn("_slice", self.slice).withColumn("_v", value)
+        rows = df.withColumn("_slice", F.expr(self.slice)).withColumn("_v", value)
         rows = rows.withColumn("_l", F.last("_v", ignorenulls=True).over(self._within().rowsBetween(W.unboundedPreceding, 0)))
         before = self._slices().rowsBetween(W.unboundedPreceding, -1)
         newest = F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*self.order)))
@@ -72,7 +72,7 @@ class Timeline:
 
     def running_max(self, df: DataFrame, value: Column, name: str, inclusive: bool = True) -> DataFrame:
         """Adds the largest ``value`` up to the row, itself included or not."""
-        rows = df.withColumn("_slice", self.slice).withColumn("_v", value)
+        rows = df.withColumn("_slice", F.expr(self.slice)).withColumn("_v", value)
         rows = rows.withColumn("_m", F.max("_v").over(self._within().rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)))
         before = self._slices().rowsBetween(W.unboundedPreceding, -1)
         rows = self._carried(rows, F.max("_v"), lambda c: F.max(c).over(before))

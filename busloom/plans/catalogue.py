@@ -56,7 +56,7 @@ prof AS (SELECT can_id, count(*) AS frame_count, count(CASE WHEN dt_us > 0 THEN
 tested AS (SELECT f.*, p.period_us, p.std_us FROM frames f JOIN prof p USING (can_id) WHERE f.ts_us >= {TEST} AND p.period_us IS NOT NULL AND f.dt_us IS NOT NULL)
 """
 
-DAYS = F.floor(F.col("ts_us") / DAY)
+DAYS = f"floor(ts_us / {DAY})"
 BY_ID = Timeline(("can_id",), ("ord",), DAYS)
 BY_CHANNEL = Timeline(("channel",), ("ord",), DAYS)
 ALL = Timeline((), ("ord",), DAYS)
@@ -130,7 +130,7 @@ def frequency_onsets(spark, sf_dir):
     ids = _profile(frames).filter("period_us is not null").select("can_id", "period_us")
     grid = rules.window_grid(bus(spark, sf_dir), ids, TEST, END, DAY).withColumn("expected", DAY / F.col("period_us"))
     margin = F.greatest(F.lit(1.0), 0.5 * F.col("expected"))
-    line = Timeline(("can_id",), ("window",), F.floor(F.col("window") / 100))
+    line = Timeline(("can_id",), ("window",), "floor(window / 100)")
     up = line.onsets(grid, F.col("n") > F.col("expected") + margin).withColumn("type", F.lit("frequency_increase"))
     down = line.onsets(grid, F.col("n") < F.col("expected") - margin).withColumn("type", F.lit("frequency_decrease"))
     return up.unionByName(down).select("can_id", "window", "n", "type")
@@ -298,7 +298,7 @@ g AS (SELECT *, sum(CASE WHEN short THEN 0 ELSE 1 END) OVER (PARTITION BY can_id
 SELECT can_id, w AS "window", min(ord) AS first_ord, count(*) AS n FROM g WHERE short GROUP BY can_id, w, grp HAVING count(*) >= 2""")
 def window_bursts(spark, sf_dir):
     rows = features.windowed(_tested(spark, sf_dir), START, DAY).withColumn("_short", F.col("dt_us") < F.col("period_us") * BURST)
-    rows = Timeline(("can_id", "window"), ("ord",), F.lit(0)).running_sum(rows, (~F.col("_short")).cast("long"), "_run")
+    rows = Timeline(("can_id", "window"), ("ord",), "0").running_sum(rows, (~F.col("_short")).cast("long"), "_run")
     runs = rows.filter("_short").groupBy("can_id", "window", "_run").agg(F.min("ord").alias("first_ord"), F.count("*").alias("n"))
     return runs.filter("n >= 2").select("can_id", "window", "first_ord", "n")
 
@@ -417,7 +417,7 @@ SELECT min(s) AS start_us, max(e) AS end_us, count(*) AS n_intervals FROM i GROU
 def clean_background(spark, sf_dir):
     rows = bus(spark, sf_dir).filter(F.col("kind").isin("purchase", "error") & (F.col("value") > 120))
     spans = rows.select("ord", F.col("ts_us").alias("start_us"), (F.col("ts_us") + 7200000000 + F.col("k") * 1000000).alias("end_us"))
-    return ranges.islands(spans, (), "start_us", "end_us", ("start_us", "ord"), F.floor(F.col("start_us") / DAY))
+    return ranges.islands(spans, (), "start_us", "end_us", ("start_us", "ord"), f"floor(start_us / {DAY})")
 
 
 @query(f""", {_UNION}, {_EPISODES}, {_MATCH}, f AS (SELECT m.type, m.episode, min(m.ts_us) - min(p.start_us) AS latency FROM matched m JOIN episodes p USING (episode) GROUP BY 1, 2)
