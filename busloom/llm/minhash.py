@@ -118,18 +118,49 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), body.cast(pa.binary())], ["id", "units"])
 
 
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    both = np.sort(np.concatenate([x, y]))
+    return int((both[1:] == both[:-1]).sum())
+
+
 @F.pandas_udf(T.DoubleType())
 def weighted_jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
     def one(x: bytes, y: bytes) -> float:
         x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-        both = np.sort(np.concatenate([x, y]))
-        shared = int((both[1:] == both[:-1]).sum())
-        return shared / max(1, len(both) - shared)
+        shared = _shared(x, y)
+        return shared / max(1, len(x) + len(y) - shared)
 
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+def cross_links(table: pa.Table, threshold: float) -> pa.Table:
+    """Links between rows of different parts of one bucket (or of two blocks of it): each row
+    outside the largest part is compared with all others through the bucket's inverted index."""
+    rep, part = table.column("rep").to_numpy(), table.column("part").to_numpy()
+    units = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("units")]
+    size = np.array([len(x) for x in units])
+    kinds, at, times = np.unique(part, return_inverse=True, return_counts=True)
+    ask = np.flatnonzero(at != times.argmax()) if len(kinds) > 1 else np.zeros(0, np.int64)
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if len(ask):
+        _, unit = np.unique(np.concatenate(units), return_inverse=True)
+        begin = np.concatenate([[0], np.cumsum(size)])
+        order = np.argsort(unit, kind="stable")
+        holder = np.repeat(np.arange(len(rep)), size)[order]
+        first = np.searchsorted(unit[order], np.arange(int(unit.max()) + 2))
+        for i in ask:
+            own = unit[begin[i] : begin[i + 1]]
+            n = first[own + 1] - first[own]
+            to = np.cumsum(n)
+            shared = np.bincount(holder[np.repeat(first[own] - (to - n), n) + np.arange(to[-1])], minlength=len(rep))
+            hit = np.flatnonzero((shared >= threshold * (size[i] + size - shared)) & (part != part[i]))
+            out_a.append(np.minimum(rep[i], rep[hit]))
+            out_b.append(np.maximum(rep[i], rep[hit]))
+    pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)]), axis=1)
+    return pa.table({"a": pairs[0], "b": pairs[1]})
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, block: int = 1000) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): ``doc_id``, ``weight`` (shingles), ``class_id``
     (the smallest doc_id linked to it, itself included) and ``kept`` (doc_id = class_id).
 
@@ -140,9 +171,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     Documents with the same shingle multiset are one vertex (its smallest doc_id), so a large
     group of copies costs one row. In a band's bucket each member is first checked against the
-    smallest one. What that leaves apart, though it shares a bucket, is then checked pair by
-    pair, but only between different components: no link that could join two classes is lost,
-    and a group of near copies makes no pairs within itself.
+    smallest one. What that leaves in different components, though it shares a bucket, is then
+    compared within the bucket, so no link that could join two classes is lost; a group of near
+    copies that the first step has joined isn't compared with itself, pairs that don't link are
+    never rows, and a bucket of more than ``block`` members is compared in pairs of blocks.
 
     Rows with null or empty text, or without words, link with nothing. Rows with a null doc_id
     are kept and belong to no class unless an equal document has an id. Rows repeated with the
@@ -153,28 +185,26 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     reps = materialize(reps)
     entries = reps.filter("rep is not null").select("rep", F.explode("keys").alias("key"))
     hubs = entries.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    shared = materialize(entries.join(hubs.select("key", "hub"), "key"))
-    asked = shared.select(F.col("rep").alias("id")).distinct()
+    shared = materialize(entries.join(hubs, "key"))
+    asked = shared.select(F.col("rep").alias("id")).distinct().hint("merge")  # the same plan at every size
     text = docs.select("doc_id", "text")
     listed = text.join(asked, text["doc_id"] == asked["id"], "left_semi").mapInArrow(_listed, "id long, units binary")
     listed = materialize(listed.groupBy("id").agg(F.first("units").alias("units")))
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        left = listed.select(F.col("id").alias("a"), F.col("units").alias("_ua"))
-        right = listed.select(F.col("id").alias("b"), F.col("units").alias("_ub"))
-        both = pairs.join(left, "a").join(right, "b")
-        return both.filter(weighted_jaccard("_ua", "_ub") >= threshold).select("a", "b")
+    units = lambda c, u: listed.select(F.col("id").alias(c), F.col("units").alias(u)).hint("merge")
 
     stars = shared.filter("rep > hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = materialize(checked(stars))
+    both = stars.join(units("a", "_ua"), "a").join(units("b", "_ub"), "b")
+    links = materialize(both.filter(weighted_jaccard("_ua", "_ub") >= threshold).select("a", "b"))
     label = components(links)
-    named = shared.join(label, shared["rep"] == label["id"], "left").select("key", "rep", "hub", F.coalesce("component", "rep").alias("part"))
+    named = shared.join(label, shared["rep"] == label["id"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("part"))
     split = named.groupBy("key").agg(F.min("part").alias("_low"), F.max("part").alias("_high")).filter("_low < _high").select("key")
-    mixed = materialize(named.join(split, "key", "left_semi"))
-    other = mixed.select("key", F.col("rep").alias("b"), F.col("part").alias("_pb"))
-    apart = mixed.withColumnRenamed("rep", "a").join(other, "key")
-    apart = apart.filter("a < b and part <> _pb and a <> hub").select("a", "b").distinct()
-    more = materialize(checked(apart))
+    mixed = named.join(split, "key", "left_semi")
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    mixed = mixed.withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    mixed = mixed.withColumns({"_low": F.least("_mine", "_other"), "_high": F.greatest("_mine", "_other")})
+    compared = mixed.select("key", "_low", "_high", "rep", "part").join(units("rep", "units"), "rep").groupBy("key", "_low", "_high")
+    more = compared.applyInArrow(lambda t: cross_links(t, threshold), "a long, b long")
     label = components(links.unionByName(more))
 
     classes = reps.select("f1", "f2", "rep").join(label, reps["rep"] == label["id"], "left")
