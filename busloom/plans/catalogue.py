@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from busloom.operators import enrich, evaluation, features, profiles, ranges, rules
+from busloom.operators import audit, enrich, evaluation, features, profiles, ranges, rules
 from busloom.operators.timeline import Timeline
 
 DAY = 86_400_000_000
@@ -503,3 +503,107 @@ def replay_equality(spark, sf_dir):
     a = bus(spark, sf_dir)
     b = a.withColumn("k", F.when(F.col("ord") % 97 == 0, F.col("k") + 1).otherwise(F.col("k")))
     return evaluation.differences(a.select("can_id", "kind", "k"), b.select("can_id", "kind", "k"))
+
+
+_TX = "t AS (SELECT ord AS tx_id, kind, ts_us AS tx_us FROM bus WHERE channel = 1), r AS (SELECT ord AS rx_id, kind, ts_us + k * 1000000 AS rx_us FROM bus WHERE channel = 2)"
+
+
+@query(f""", {_TX}, p AS (SELECT *, rx_us - tx_us AS residual_us FROM t JOIN r USING (kind) WHERE abs(rx_us - tx_us) <= 900000000),
+a AS (SELECT *, row_number() OVER (PARTITION BY tx_id ORDER BY abs(residual_us), rx_id) AS na, row_number() OVER (PARTITION BY rx_id ORDER BY abs(residual_us), tx_id) AS nb FROM p)
+SELECT tx_id, rx_id, residual_us FROM a WHERE na = 1 AND nb = 1""")
+def match_by_time(spark, sf_dir):
+    b = bus(spark, sf_dir)
+    tx = b.filter("channel = 1").select(F.col("ord").alias("tx_id"), "kind", F.col("ts_us").alias("tx_us"))
+    rx = b.filter("channel = 2").select(F.col("ord").alias("rx_id"), "kind", (F.col("ts_us") + F.col("k") * 1000000).alias("rx_us"))
+    return audit.match_by_time(tx, rx, ["kind"], 900_000_000)
+
+
+@query(f""", w AS (SELECT channel, ts_us // {DAY} AS w, count(*) AS n, CAST(sum(CASE WHEN kind = 'error' THEN k ELSE 0 END) AS BIGINT) AS dropped, CAST(sum(CASE WHEN value > 490 THEN 1 ELSE 0 END) AS BIGINT) AS overrun FROM bus GROUP BY 1, 2)
+SELECT channel, max(n) AS max_records, round(avg(n), 6) AS mean_records, CAST(sum(dropped) AS BIGINT) AS dropped, CAST(sum(overrun) AS BIGINT) AS overrun, sum(dropped) + sum(overrun) = 0 AS lossless FROM w GROUP BY channel""")
+def link_statistics(spark, sf_dir):
+    rows = bus(spark, sf_dir).withColumns({"dropped": F.when(F.col("kind") == "error", F.col("k")).otherwise(0), "overrun": (F.col("value") > 490).cast("long")})
+    return audit.link_statistics(rows, DAY, ["dropped", "overrun"]).withColumn("mean_records", F.round("mean_records", 6))
+
+
+@query("SELECT can_id, kind, count(dt_us) AS n, round(avg(dt_us), 3) AS mean_us, round(stddev_samp(dt_us) / 1e6, 3) AS std_s, count(CASE WHEN dt_us > 100000000000 THEN 1 END) AS exceeding FROM frames GROUP BY can_id, kind")
+def interval_statistics(spark, sf_dir):
+    out = audit.interval_statistics(_frames(spark, sf_dir), ["can_id", "kind"], F.col("dt_us") > 100_000_000_000)
+    return out.select("can_id", "kind", "n", F.round("mean_us", 3).alias("mean_us"), F.round(F.col("std_us") / 1e6, 3).alias("std_s"), "exceeding")
+
+
+@query("""SELECT capture_id, run_id, d AS distance_us FROM (SELECT a.ord AS capture_id, b.ord AS run_id, abs(a.ts_us - b.ts_us) AS d, row_number() OVER (PARTITION BY a.ord ORDER BY abs(a.ts_us - b.ts_us), b.ord) AS n
+  FROM bus a JOIN bus b ON a.can_id = b.can_id AND a.kind = 'purchase' AND b.kind = 'signup') WHERE n = 1""")
+def nearest_capture(spark, sf_dir):
+    b = bus(spark, sf_dir)
+    captures = b.filter("kind = 'purchase'").select("can_id", F.col("ord").alias("capture_id"), F.col("ts_us").alias("capture_us"))
+    runs = b.filter("kind = 'signup'").select("can_id", F.col("ord").alias("run_id"), F.col("ts_us").alias("run_us"))
+    return audit.nearest_capture(captures, runs, ["can_id"])
+
+
+@query(f""", q AS (SELECT ts_us AS s, ts_us + 3600000000 + 3050000 AS e FROM bus WHERE {_RESET}), {_UNION}
+SELECT ord, type FROM ev WHERE NOT EXISTS (SELECT 1 FROM q WHERE ev.ts_us BETWEEN q.s AND q.e)""")
+def quality_masked(spark, sf_dir):
+    gaps = bus(spark, sf_dir).filter(_RESET).select(F.col("ts_us").alias("start_us"), (F.col("ts_us") + 3_600_000_000).alias("end_us"))
+    return audit.masked(_events(spark, sf_dir), audit.reinitialisation_mask(gaps, 3_050_000), DAY // 12).select("ord", "type")
+
+
+@query(f""", c AS ({_PERIOD}), r AS (SELECT ord FROM c WHERE ord % 10 <> 3 UNION ALL SELECT ord FROM bus WHERE ord % 1000 = 7 AND ord NOT IN (SELECT ord FROM c))
+SELECT coalesce(c.ord, r.ord) AS ord, CASE WHEN c.ord IS NULL THEN 'recorded_only' WHEN r.ord IS NULL THEN 'computed_only' ELSE 'both' END AS side FROM c FULL JOIN r ON c.ord = r.ord""")
+def onset_reconstruction(spark, sf_dir):
+    tested, bad = _tested(spark, sf_dir), rules.period_bad(F.col("dt_us"), F.col("period_us"), TOLERANCE)
+    made = BY_ID.onsets(tested, bad).select("ord")
+    recorded = made.filter("ord % 10 <> 3").unionByName(bus(spark, sf_dir).filter("ord % 1000 = 7").select("ord").join(made, "ord", "left_anti"))
+    return audit.reconstruct_onsets(tested, BY_ID, bad, recorded)
+
+
+@query(f""", {_EPISODES}, s AS (SELECT ord, can_id, ts_us, 0 AS k2, kind AS state FROM bus WHERE kind <> 'purchase' UNION ALL SELECT episode, can_id, ts_us, 1, NULL FROM episodes JOIN bus ON bus.ord = episodes.episode)
+SELECT ord, can_id, state_before FROM (SELECT *, last_value(CASE WHEN k2 = 0 THEN state END IGNORE NULLS) OVER (PARTITION BY can_id ORDER BY ts_us, k2, ord ROWS UNBOUNDED PRECEDING) AS state_before FROM s) WHERE k2 = 1""")
+def state_at_episode(spark, sf_dir):
+    b = bus(spark, sf_dir).select("ord", "can_id", "ts_us", F.col("kind").alias("state"))
+    points = b.join(_episodes(spark, sf_dir).select(F.col("episode").alias("ord")), "ord").drop("state")
+    return audit.state_at(points, b.filter("state <> 'purchase'"), ["can_id"], f"floor(ts_us / {DAY})").select("ord", "can_id", "state_before")
+
+
+@query("""SELECT kind, count(CASE WHEN a THEN 1 END) AS n_a, count(CASE WHEN b THEN 1 END) AS n_b, count(CASE WHEN NOT (a AND b) THEN 1 END) AS differing, count(CASE WHEN NOT (a AND b) THEN 1 END) = 0 AS equal
+  FROM (SELECT kind, can_id, bool_or(channel = 1) AS a, bool_or(channel = 2) AS b FROM bus GROUP BY 1, 2) GROUP BY kind""")
+def id_set_equality(spark, sf_dir):
+    b = bus(spark, sf_dir)
+    return audit.set_equality(b.filter("channel = 1"), b.filter("channel = 2"), "kind", "can_id")
+
+
+@query("SELECT kind, ord, value FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY value DESC, ord) AS n FROM bus) WHERE n <= 100")
+def largest_values(spark, sf_dir):
+    return audit.top_rows(bus(spark, sf_dir), ["kind"], [F.desc("value"), F.col("ord")], 100).select("kind", "ord", "value")
+
+
+@query("SELECT ord, channel, max(t) OVER (PARTITION BY channel ORDER BY t0, ord ROWS UNBOUNDED PRECEDING) AS clamped FROM (SELECT ord, channel, ts_us AS t0, ts_us + (k % 7) * 100000000 AS t FROM bus)")
+def monotone_clamp(spark, sf_dir):
+    rows = bus(spark, sf_dir).withColumn("t", F.col("ts_us") + (F.col("k") % 7) * 100_000_000)
+    return Timeline(("channel",), ("ts_us", "ord"), DAYS).running_max(rows, F.col("t"), "clamped").select("ord", "channel", "clamped")
+
+
+@query("SELECT DISTINCT channel, ts_us // 3600000000 AS start_h, k % 5 AS length_h FROM bus WHERE kind = 'error'")
+def distinct_intervals(spark, sf_dir):
+    rows = bus(spark, sf_dir).filter("kind = 'error'")
+    return rows.select("channel", F.floor(F.col("ts_us") / 3_600_000_000).alias("start_h"), (F.col("k") % 5).alias("length_h")).dropDuplicates()
+
+
+@query("SELECT can_id, first(ts_us ORDER BY ord) AS first_us, last(ts_us ORDER BY ord) AS last_us, last(ts_us ORDER BY ord) - first(ts_us ORDER BY ord) AS span_us, bool_or(kind = 'error') AS any_error FROM bus GROUP BY can_id")
+def record_spans(spark, sf_dir):
+    out = bus(spark, sf_dir).groupBy("can_id").agg(F.min_by("ts_us", "ord").alias("first_us"), F.max_by("ts_us", "ord").alias("last_us"), F.bool_or(F.col("kind") == "error").alias("any_error"))
+    return out.withColumn("span_us", F.col("last_us") - F.col("first_us"))
+
+
+def stream_latch(spark, sf_dir):
+    """The period rule as a stateful stream over the events folder, one pass to its end."""
+    from busloom.sources.streams import run_once
+    from busloom.streaming import latch
+
+    profile = _profile(_frames(spark, sf_dir)).filter("period_us is not null")
+    schema = bus(spark, sf_dir).schema
+    return run_once(spark, bus(spark, sf_dir), schema, lambda s: latch.period_onsets(s, profile, TOLERANCE, F.col("ts_us") >= TEST))
+
+
+QUERIES["stream_latch"] = stream_latch
+ORACLES["stream_latch"] = COMMON + f"""SELECT ord, can_id, ts_us, dt_us FROM (SELECT *, lag(bad) OVER (PARTITION BY can_id ORDER BY ord) AS was FROM
+  (SELECT *, abs(dt_us - period_us) > period_us * {TOLERANCE} AS bad FROM tested)) WHERE bad AND NOT coalesce(was, false)"""
