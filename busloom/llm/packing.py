@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import in_blocks
-from .words import distinct, slices, words
+from .words import distinct, member, slices, words
 
 #: BM25's usual constants.
 K1, B = 1.2, 0.75
@@ -31,7 +32,7 @@ class WordTokens:
         self.forget()
 
     def forget(self) -> None:
-        self.hash, self.ptr, self.ids = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint16)
+        self.hash, self.begin, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
 
     @classmethod
     def of(cls, path: str) -> "WordTokens":
@@ -40,24 +41,21 @@ class WordTokens:
         return cls._kept[path]
 
     def lookup(self, hashes: np.ndarray, text_of) -> tuple[np.ndarray, np.ndarray]:
-        """First id and number of ids, in ``self.ids``, of each distinct word; ``text_of`` gives
-        the strings of chosen ones."""
+        """First id and number of ids, in ``self.ids``, of distinct words by their ascending hashes;
+        ``text_of`` gives the strings of chosen ones."""
         if len(self.hash) + len(hashes) > self.most:
             self.forget()
-        at = np.minimum(np.searchsorted(self.hash, hashes), max(0, len(self.hash) - 1))
-        new = np.flatnonzero(self.hash[at] != hashes) if len(self.hash) else np.arange(len(hashes))
+        at = np.searchsorted(self.hash, hashes)
+        new = np.flatnonzero(~member(hashes, self.hash))
         if len(new):
             got = [e.ids for e in self.tokenizer.encode_batch_fast(text_of(new), add_special_tokens=False)]
-            size = np.concatenate([np.diff(self.ptr), [len(x) for x in got]]).astype(np.int64)
-            ids = np.concatenate([self.ids, np.array([i for x in got for i in x], dtype=np.uint16)])
-            hashed = np.concatenate([self.hash, hashes[new]])
-            order = np.argsort(hashed)
-            self.hash = hashed[order]
-            begin = np.concatenate([[0], np.cumsum(size)])[:-1][order]
-            self.ptr = np.concatenate([[0], np.cumsum(size[order])])
-            self.ids = ids[_ranges(begin, size[order])]
+            size = np.fromiter(map(len, got), np.int64, len(got))
+            ids = np.fromiter(chain.from_iterable(got), np.uint16, int(size.sum()))
+            begin = np.cumsum(size) - size + len(self.ids)
+            self.ids = np.concatenate([self.ids, ids])
+            self.hash, self.begin, self.size = (np.insert(old, at[new], x) for old, x in ((self.hash, hashes[new]), (self.begin, begin), (self.size, size)))
             at = np.searchsorted(self.hash, hashes)
-        return self.ptr[at], self.ptr[at + 1] - self.ptr[at]
+        return self.begin[at], self.size[at]
 
 
 def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
