@@ -25,14 +25,14 @@ class WordTokens:
 
     _kept: dict[str, "WordTokens"] = {}
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.forget()
 
     def forget(self) -> None:
-        self.hash, self.begin, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+        self.hash, self.begin, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint16)
 
     @classmethod
     def of(cls, path: str) -> "WordTokens":
@@ -48,14 +48,17 @@ class WordTokens:
         at = np.searchsorted(self.hash, hashes)
         new = np.flatnonzero(~member(hashes, self.hash))
         if len(new):
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(text_of(new), add_special_tokens=False)]
-            size = np.fromiter(map(len, got), np.int64, len(got))
-            ids = np.fromiter(chain.from_iterable(got), np.uint16, int(size.sum()))
-            begin = np.cumsum(size) - size + len(self.ids)
+            sizes, parts = [], []
+            for low in range(0, len(new), 4096):  # a batch's encodings take a kilobyte a word
+                got = [e.ids for e in self.tokenizer.encode_batch_fast(text_of(new[low : low + 4096]), add_special_tokens=False)]
+                sizes.append(np.fromiter(map(len, got), np.int32, len(got)))
+                parts.append(np.fromiter(chain.from_iterable(got), np.uint16, int(sizes[-1].sum())))
+            size, ids = np.concatenate(sizes), np.concatenate(parts)
+            begin = (np.cumsum(size, dtype=np.int64) - size + len(self.ids)).astype(np.int32)
             self.ids = np.concatenate([self.ids, ids])
             self.hash, self.begin, self.size = (np.insert(old, at[new], x) for old, x in ((self.hash, hashes[new]), (self.begin, begin), (self.size, size)))
             at = np.searchsorted(self.hash, hashes)
-        return self.begin[at], self.size[at]
+        return self.begin[at].astype(np.int64), self.size[at].astype(np.int64)
 
 
 def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
