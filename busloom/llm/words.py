@@ -146,7 +146,7 @@ class Table:
         self.keys = keys
         self.mask = np.uint64((1 << max(4, int(2 * len(keys)).bit_length())) - 1)
         self.slot = np.full(int(self.mask) + 1, -1, dtype=np.int32)
-        at, todo = (keys & self.mask).astype(np.int64), np.arange(len(keys))
+        at, todo = (mix(keys) & self.mask).astype(np.int64), np.arange(len(keys))  # mixed: keys may be plain numbers
         while len(todo):
             free = todo[self.slot[at[todo]] < 0]
             self.slot[at[free]] = free
@@ -158,7 +158,7 @@ class Table:
         out = np.full(len(values), -1, dtype=np.int64)
         if not len(self.keys):
             return out
-        at, todo = (values & self.mask).astype(np.int64), np.arange(len(values))
+        at, todo = (mix(values) & self.mask).astype(np.int64), np.arange(len(values))
         while len(todo):
             row = self.slot[at[todo]]
             todo, row = todo[row >= 0], row[row >= 0]
