@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of ``documents``, so stages can be left out or reordered. Extra columns of the input are
-not carried along. Rows without a doc_id pass the filters and are never merged with others.
+not carried along. Rows without a doc_id, and rows that repeat one, are judged each for itself.
 """
 
 from __future__ import annotations
@@ -26,9 +26,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: of each class of near copies the document with the smallest doc_id stays."""
-    copies = minhash.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
+    """Operator 1: of each class of near copies one row stays, that with the smallest doc_id (a row
+    without one only if the class has none). Rows are told apart by a number of their own, so a
+    row repeated whole or a copy without a doc_id is a copy like any other."""
+    rows = materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")))
+    found = minhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "class_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    kept = found.join(rows.select("_row", "doc_id"), "_row").groupBy("class_id").agg(first.alias("_first")).select(F.col("_first._row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

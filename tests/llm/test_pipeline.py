@@ -50,6 +50,21 @@ def test_stages_take_effect(spark, tmp_path):
     assert {r.doc_id for r in packed} == set(times)
 
 
+def test_repeated_rows_and_copies_without_id_stay_once(spark, tmp_path):
+    rng = random.Random(12)
+    a, b, c, d, e = (sentence(rng, 60) for _ in range(5))
+    edited = " ".join(["edited", *c.split()[1:]])
+    texts = [(1, a), (1, a), (2, b), (None, b), (None, c), (None, c), (None, edited), (3, d), (4, e), (4, d), (None, None), (None, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], SCHEMA).repartition(3)
+    single = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path))
+    got = [(r.doc_id, r.text) for r in single.collect()]
+    empty = [(None, None), (None, None), (5, "")]
+    assert sorted((x for x in got if x[0] is not None or x[1] is None), key=str) == sorted([(1, a), (2, b), (3, d), (4, e), *empty], key=str)
+    assert len(got) == 8 and len([x for x in got if x[0] is None and x[1] in (c, edited)]) == 1
+    cut = [(r.doc_id, r.text) for r in corpus_pipeline.drop_repeated_passages(spark, single, str(tmp_path)).collect()]
+    assert sorted(cut, key=str) == sorted(got, key=str)
+
+
 def test_every_operator_has_a_query():
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES)
     assert numbers == list(range(1, 11))
