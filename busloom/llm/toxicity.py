@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +14,8 @@ from .training import fold, sample_per_class
 from .words import Table, Words, distinct, rolling, slices, words
 
 SIZES = (3, 4, 5, 6)
+#: n-grams that a counting task holds before it hands them on, and row-feature pairs that a step of the fit expands.
+_HELD, _STEP = 1 << 20, 1 << 20
 _BASE = 0xA0761D6478BD642F
 
 
@@ -43,7 +44,7 @@ def _pairs(w: Words, number: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task and n-gram: in how many (text, word) pairs of either class it occurs."""
+    """In how many (text, word) pairs of either class an n-gram occurs, as partial sums of a task."""
     held: list[tuple[np.ndarray, ...]] = []
 
     def merged() -> tuple[np.ndarray, ...]:
@@ -51,6 +52,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, at = np.unique(h, return_inverse=True)
         return keys, np.bincount(at, p, len(keys)), np.bincount(at, q, len(keys))
 
+    def sent() -> Iterator[pa.RecordBatch]:
+        h, p, q = held[0]
+        for low in range(0, len(h), 100_000):
+            cut = slice(low, low + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(h[cut].view(np.int64)), pa.array(p[cut].astype(np.int64)), pa.array(q[cut].astype(np.int64))], ["h", "p", "q"])
+
     for batch in batches:
         for part in slices(batch, "text"):
             w = words(part.column("text"))
@@ -61,11 +68,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, owner = ngrams(w, first)
             held.append((h, p[owner], q[owner]))
             held = [merged()]
+            if len(held[0][0]) > _HELD:
+                yield from sent()
+                held = []
     if held:
-        h, p, q = held[0]
-        for low in range(0, len(h), 100_000):
-            cut = slice(low, low + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(h[cut].view(np.int64)), pa.array(p[cut].astype(np.int64)), pa.array(q[cut].astype(np.int64))], ["h", "p", "q"])
+        yield from sent()
 
 
 @dataclass
@@ -100,37 +107,47 @@ def _features(batch: pa.RecordBatch, table: Table) -> tuple[np.ndarray, np.ndarr
     return pairs // len(table.keys), pairs % len(table.keys)
 
 
-def _fit(row: np.ndarray, feature: np.ndarray, label: np.ndarray, ratio: np.ndarray, steps: int = 200, l2: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression on 0/1 features times ``ratio`` (Adam, full batches)."""
-    x = ratio[feature]
+def _fit(ends: np.ndarray, feature: np.ndarray, label: np.ndarray, ratio: np.ndarray, steps: int = 200, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Logistic regression on 0/1 features times ``ratio`` (Adam, full batches). Row i has the
+    features ``feature[ends[i] : ends[i + 1]]``; the gradient is summed over runs of rows."""
     theta = np.zeros(len(ratio) + 1)
     theta[-1] = np.log((label.sum() + 1) / (len(label) - label.sum() + 1))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, int(ends[-1]) + 1, _STEP)), [0, len(label)]))
     for t in range(1, steps + 1):
-        z = np.bincount(row, x * theta[feature], len(label)) + theta[-1]
-        error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - label) / max(1, len(label))
-        grad = np.append(np.bincount(feature, x * error[row], len(ratio)) + l2 * theta[:-1], error.sum())
+        scaled, grad = ratio * theta[:-1], np.append(l2 * theta[:-1], 0.0)
+        for low, high in zip(cuts[:-1], cuts[1:]):
+            f = feature[ends[low] : ends[high]]
+            row = np.repeat(np.arange(high - low), np.diff(ends[low : high + 1]))
+            z = np.bincount(row, scaled[f], high - low) + theta[-1]
+            error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - label[low:high]) / len(label)
+            grad[:-1] += ratio * np.bincount(f, error[row], len(ratio))
+            grad[-1] += error.sum()
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         theta -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
     return theta[:-1] * ratio, float(theta[-1])
 
 
-def train(labelled: DataFrame, sample_rows: int = 8_000, features: int = 1 << 13) -> Model:
-    """Fits the model on ``labelled`` (doc_id, text, toxic 0/1): a sample of about ``sample_rows``
-    rows by a hash of the id, in the classes' own shares (the documented bound).
+def train(labelled: DataFrame, sample_rows: int = 12_000, features: int = 1 << 15, texts: DataFrame | None = None) -> Model:
+    """Fits the model on ``labelled`` (doc_id, text, toxic 0/1).
 
-    n-grams are counted by class with one shuffle; the log ratio of their smoothed class
-    frequencies scales the features. The ``features`` n-grams whose counts depart most from the
-    classes' shares (likelihood-ratio test over 12, ratio of e at least: a language's own common
+    n-grams are counted by class over all rows with one shuffle; the log ratio of their smoothed
+    class frequencies scales the features. The ``features`` n-grams whose counts depart most from
+    the classes' shares (likelihood-ratio test over 12, ratio of e at least: a language's own common
     n-grams would outvote a single toxic word in a long text) are kept, which bounds the model and
     what reaches the driver whatever the corpus.
+
+    The weights are fitted to about ``sample_rows`` rows of each class by a hash of the id (the
+    documented bound), so a rare class is learnt from as many of its rows; the bias is then moved
+    by the log ratio of the classes' sampling rates back to the shares of all rows. Where the texts
+    of ``labelled`` come from a join with ``texts`` (doc_id, text), the sample is read from there by
+    its ids, so that the texts of all rows are shuffled once only.
     """
     spark = labelled.sparkSession
-    chosen = sample_per_class(labelled.filter("toxic in (0, 1)"), "toxic", "doc_id", sample_rows, share=True)
-    chosen = chosen.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    n = {r["toxic"]: r["count"] for r in chosen.groupBy("toxic").count().collect()}
+    known = labelled.filter("toxic in (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     pos, neg = n.get(1, 0), n.get(0, 0)
-    counts = chosen.select("text", "toxic").mapInArrow(_counted, "h long, p long, q long").groupBy("h").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    counts = known.select("text", "toxic").mapInArrow(_counted, "h long, p long, q long").groupBy("h").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     ratio = F.log((F.col("p") + 1) / (pos + 2.0)) - F.log((F.col("q") + 1) / (neg + 2.0))
     telling = counts.filter("p + q >= 4").withColumn("r", ratio)
     share = pos / max(1, pos + neg)
@@ -141,19 +158,32 @@ def train(labelled: DataFrame, sample_rows: int = 8_000, features: int = 1 << 13
     if not (len(keys) and pos and neg):
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log((pos + 1) / (neg + 1))))
     sent = spark.sparkContext.broadcast(keys)  # at most ``features`` keys
+    small = np.dtype(np.uint16 if len(keys) <= 1 << 16 else np.int32)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table(sent.value)
         for batch in batches:
             for part in slices(batch, "text"):
                 row, feature = _features(part, table)
-                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=part.num_rows))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.ListArray.from_arrays(pa.array(ends), pa.array(feature.astype(np.int32)))], ["toxic", "f"])
-
-    got = chosen.select("text", "toxic").mapInArrow(rows, "toxic int, f array<int>").toArrow()
-    size = np.array(pc.list_value_length(got.column("f").combine_chunks()))
-    feature = got.column("f").combine_chunks().flatten().to_numpy()
-    weight, bias = _fit(np.repeat(np.arange(len(size)), size), feature, got.column("toxic").to_numpy().astype(float), r)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=part.num_rows))]).astype(np.int32) * small.itemsize
+                lists = pa.BinaryArray.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(feature.astype(small).tobytes())])
+                yield pa.RecordBatch.from_arrays([part.column("toxic"), lists], ["toxic", "f"])
+
+    chosen = sample_per_class(known, "toxic", "doc_id", sample_rows, share=False)
+    if texts is not None:
+        ids = chosen.select("doc_id", "toxic").distinct()  # at most about twice ``sample_rows``
+        chosen = texts.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    got = chosen.select("text", "toxic").mapInArrow(rows, "toxic int, f binary").toArrow()
+    label = got.column("toxic").to_numpy().astype(float)
+    lists = [x.as_py() for x in got.column("f")]
+    del got
+    ends = np.concatenate([[0], np.cumsum([len(x) // small.itemsize for x in lists])]).astype(np.int64)
+    feature = np.frombuffer(b"".join(lists), small)
+    del lists
+    weight, bias = _fit(ends, feature, label, r)
+    drawn = label.sum()
+    if drawn and drawn < len(label):
+        bias += float(np.log(pos / drawn) - np.log(neg / (len(label) - drawn)))
     return Model(keys, weight, bias)
 
 
@@ -181,11 +211,12 @@ def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows to learn from: labelled, and outside the held-out fold (crc32 of the id mod 4 = 2).
     An id that is labelled more than once counts with its largest label."""
     known = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = known.hint("merge")  # the same plan at every size
     return docs.select("doc_id", "text").join(known, "doc_id").filter(fold("doc_id", 4) != 2)
 
 
 def op9_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The contract's digest for all documents."""
-    model = train(labelled_rows(docs, labels))
+    model = train(labelled_rows(docs, labels), texts=docs)
     out = score_toxicity(docs, model, ["doc_id"])
     return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

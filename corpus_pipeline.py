@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: documents whose score reaches the threshold go. The classifier learns from the
     labelled rows of ``docs`` outside the held-out fold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = toxicity.train(toxicity.labelled_rows(docs, labels))
+    model = toxicity.train(toxicity.labelled_rows(docs, labels), texts=docs)
     return toxicity.score_toxicity(docs, model, COLUMNS).filter(F.col("score") < TOXIC).select(*COLUMNS)
 
 

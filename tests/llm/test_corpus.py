@@ -322,6 +322,21 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r.predicted for r in toxicity.op9_toxicity(docs, marks.limit(0)).collect()} == {1 if 1 / 2 >= 0.3 else 0}
 
 
+def test_toxicity_learns_a_rare_class_from_all_its_rows(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(3000):
+        w = sentence(rng, rng.randint(10, 40)).split()
+        if i % 150 == 0:
+            w.insert(rng.randrange(len(w)), ["moronic", "vequta"][i % 300 == 0])
+        rows.append((i, " ".join(w), int(i % 150 == 0)))
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
+    model = toxicity.train(labelled, sample_rows=150)
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(labelled, model, ["doc_id"]).collect()}
+    assert [i for i in got if (got[i] >= 0.3) != (i % 150 == 0)] == []
+    assert np.mean([got[i] for i in got]) < 0.05  # the share of the class, not of the sample
+
+
 def test_lm_counts_and_scores(docs, rows, spark):
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     split = {r[0]: [x.translate(lower) for x in WORD.findall(r[1] or "")] for r in rows}
