@@ -51,21 +51,30 @@ def match_by_time(tx: DataFrame, rx: DataFrame, signature: list[str], residual:
     return chosen.filter("tx_id = _tx").select("tx_id", "rx_id", "residual_us")
 
 
-def find_subsequence(tx: DataFrame, rx: DataFrame, signature: list[str], prefix: int = 20) -> DataFrame:
-    """Where the received sequence starts within the sent one: one row per place whose next
-    ``prefix`` signatures equal the first received ones, with how many of all received rows agree
-    there. Columns: sent ``no`` and received ``no``, both 0-based, and the signature.
+def find_subsequence(tx: DataFrame, rx: DataFrame, signature: list[str], prefix: int = 20, tile: int = 1024) -> DataFrame:
+    """Where the received sequence starts within the sent one: one row per place from which the
+    whole received sequence fits and whose next ``prefix`` signatures equal the first received
+    ones, with how many of all received rows agree there. Columns: sent ``no`` and received ``no``,
+    both 0-based, and the signature.
 
     Places are voted for by equal signatures (each received row of the prefix names the starts that
     it fits), so there is one row per row of the prefix and matching sent row, not a window of all.
+    Every place is then counted: received rows meet sent ones by signature and tile of ``tile``
+    sent rows, for the tiles that a run of places reaches, so a repeating signature makes no large
+    group. Frames lost inside the capture aren't bridged: rows after a lost one don't agree.
     """
     start = F.col("no") - F.col("_no")
     first = rx.filter(F.col("no") < prefix).select(F.col("no").alias("_no"), *signature)
     places = tx.join(F.broadcast(first), signature).groupBy(start.alias("start")).agg(F.count("*").alias("_hits"))  # prefix rows only
-    wanted = rx.agg(F.least(F.count("*"), F.lit(prefix)).alias("_want"))
-    places = places.crossJoin(F.broadcast(wanted)).filter("_hits = _want and start >= 0").select("start")
-    moved = rx.withColumnRenamed("no", "_no").crossJoin(F.broadcast(places.limit(1000))).withColumn("no", F.col("_no") + F.col("start"))
-    agree = moved.join(tx, ["no", *signature]).groupBy("start").agg(F.count("*").alias("agreeing"))
+    wanted = rx.agg(F.least(F.count("*"), F.lit(prefix)).alias("_want"), F.count("*").alias("_rows")).crossJoin(tx.agg(F.count("*").alias("_sent")))
+    fits = places.crossJoin(F.broadcast(wanted)).filter("_hits = _want and start >= 0 and start + _rows <= _sent")
+    places = fits.select("start", F.floor(F.col("start") / tile).alias("_run"))
+    runs = places.select("_run").distinct()
+    reach = F.floor((F.col("_run") * tile + F.col("_no")) / tile)
+    got = rx.select(F.col("no").alias("_no"), *signature).crossJoin(runs).withColumn("_tile", F.explode(F.array(reach, reach + 1)))
+    pairs = tx.select("no", *signature, F.floor(F.col("no") / tile).alias("_tile")).join(got, [*signature, "_tile"])
+    pairs = pairs.select("_run", start.alias("start")).filter(F.floor(F.col("start") / tile) == F.col("_run"))
+    agree = pairs.groupBy("start").agg(F.count("*").alias("agreeing"))
     return places.join(agree, "start", "left").select("start", F.coalesce("agreeing", F.lit(0)).alias("agreeing"))
 
 
