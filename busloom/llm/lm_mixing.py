@@ -1,325 +1,606 @@
-"""LM scoring by context mixing: words are coded bit by bit along a tree of their hashes.
+"""LM scoring by online logistic context mixing over the bits of a text's bytes.
 
-Every known word is a path of bits. At each node, predictors for hashed contexts (all training
-text; the document's style class) give the next bit's probability from their counts; logistic
-mixing with weights gated by the class predictor's confidence joins them, and an adaptive table
-refines the result. While a text is read, the styles' shares are updated with every token.
+Every byte is coded bit by bit. Contexts are hashes of what was read before it: the last one to four
+bytes, the word so far, and the word before together with the word so far, each together with the
+style that the text has shown so far. Each context is a bit predictor with counts over all training text; adaptive tables turn its counts
+into a probability, logistic mixing with weights gated by the longest context seen joins the
+predictors, and a last adaptive table refines the result. Weights and tables are learnt online.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_blocks, materialize
+from .common import dealt_rows, materialize
 from .training import fold
-from .words import Table, Words, distinct, lower_ascii, slices, text_bytes, words
+from .words import Words, _powers, distinct, lower_ascii, mix, slices, text_bytes, words
+
+#: Contexts: so many bytes before, the word so far, and the word before with the word so far. The first
+#: HEAD bytes of a word see bytes of the word before (it and its last bytes), the others their own word.
+ORDERS, HEAD = (1, 2, 3, 4), 2
+CONTEXTS = len(ORDERS) + 2
+END, SPACE = 10, 32  # the byte that closes a text, and the one that closes a word
+_JOIN, _NEXT = np.uint64(0xA24BAED4963EE407), np.uint64(0x9E3779B97F4A7C15)
+_SALTS = mix(np.arange(1, CONTEXTS + 1, dtype=np.uint64) * _NEXT)
+_WORD = 0xE7037ED1A0B428DB  # odd multiplier of the hash of a word so far
+STYLES, _LEVELS, _CLASSES = 8, 39, 3  # quantised log odds on either side, count classes
+
+#: Bytes that are frequent in prose come first and get short paths of bits (speed only).
+_OFTEN = b" etaoinsrhldcumfpgwybv.,\n\xc3kxjqz"
+#: Groups of the order of frequency: (first bits, their number, further bits).
+_GROUPS = ((0b00, 2, 1), (0b01, 2, 2), (0b10, 2, 3), (0b110, 3, 4), (0b1110, 4, 5), (0b1111, 4, 8))
+DEEPEST = 12
+
+
+def _paths() -> tuple[np.ndarray, np.ndarray]:
+    """Each byte's path of bits, left-aligned in DEEPEST bits, and its length."""
+    order = list(dict.fromkeys([*_OFTEN, *range(256)]))
+    path, size = np.zeros(256, np.uint64), np.zeros(256, np.int64)
+    for head, bits, more in _GROUPS:
+        for k in range(1 << more):
+            if order:
+                size[order[0]] = bits + more
+                path[order.pop(0)] = ((head << more) + k) << (DEEPEST - bits - more)
+    return path, size
+
+
+PATH, LENGTH = _paths()
+_LENGTH_OF = np.zeros(1 << DEEPEST, np.int64)
+_LENGTH_OF[PATH.astype(np.int64)] = LENGTH
+_LOW = np.uint64((1 << DEEPEST) - 1)
+
+
+def stretch(p: np.ndarray) -> np.ndarray:
+    return np.log(p / (1 - p))
 
-STYLES, SCALE, LENT, BEFORE = 8, 512, 0.001, 3
-PRIOR_COUNT, GATES, STEPS = 0.4, 12, 33
 
+def codes_of(right: np.ndarray, wrong: np.ndarray) -> np.ndarray:
+    """A byte for the counts of a bit's value and of its opposite: 0 where there are none, each
+    pair of counts up to three its own code, else log odds in steps of a quarter by count class."""
+    n = right + wrong
+    odds = np.clip(np.rint(4 * (np.log(right + 0.4) - np.log(wrong + 0.4))), -_LEVELS, _LEVELS).astype(np.int64)
+    kind = (n >= 16).astype(np.int64) + (n >= 256)
+    few = (right <= 3) & (wrong <= 3)
+    return np.where(few, 4 * right + wrong, 16 + kind * (2 * _LEVELS + 1) + odds + _LEVELS).astype(np.uint8)
+
+
+def _code_table() -> tuple[np.ndarray, np.ndarray]:
+    """Each code's plain probability, and the code with right and wrong exchanged."""
+    code = np.arange(16 + _CLASSES * (2 * _LEVELS + 1))
+    right, wrong = code // 4, code % 4
+    kind, odds = (code - 16) // (2 * _LEVELS + 1), (code - 16) % (2 * _LEVELS + 1) - _LEVELS
+    p = np.where(code < 16, (right + 0.4) / (right + wrong + 0.8), 1 / (1 + np.exp(-odds / 4)))
+    return p, np.where(code < 16, 4 * wrong + right, 16 + kind * (2 * _LEVELS + 1) - odds + _LEVELS)
+
+
+PLAIN, MIRROR = _code_table()
+_SURE = np.where(np.arange(len(PLAIN)) < 16, 0, 1 + (np.arange(len(PLAIN)) - 16) // (2 * _LEVELS + 1))  # count class of a code
+
+
+@dataclass
+class Heads:
+    """Starts of tokens: the style so far, the word before (hash; 1 at a text's start), its last three bytes and the
+    space after it (oldest first, 0 where there are none), and the first bytes (0: none)."""
+
+    style: np.ndarray
+    before: np.ndarray
+    last: np.ndarray
+    byte: np.ndarray
+    times: np.ndarray
+
+    def names(self) -> np.ndarray:
+        return mix((self.before + self.style.astype(np.uint64)) * _JOIN + self.byte[:, 0].astype(np.uint64) * np.uint64(256) + self.byte[:, 1])
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes in turn, head by head (its number beside), with a key a context."""
+        head, place = np.nonzero(self.byte)
+        byte = self.byte[head, place].astype(np.int64)
+        seen = np.concatenate([self.last, self.byte], axis=1).astype(np.uint64)
+        keys = np.zeros((CONTEXTS, len(head)), dtype=np.uint64)
+        style = _styled(self.style)[head]
+        context = style
+        for k in range(1, max(ORDERS) + 1):
+            context = (context + seen[head, place + 4 - k] + np.uint64(1)) * _NEXT
+            keys[k - 1] = mix(context + _SALTS[k - 1]) & ~_LOW | PATH[byte]
+        own = np.where(place > 0, self.byte[head, 0] + np.uint64(1), np.uint64(0))
+        keys[-2] = mix(style + own + _SALTS[-2]) & ~_LOW | PATH[byte]
+        keys[-1] = mix(mix(self.before[head]) + own * _JOIN + style + _SALTS[-1]) & ~_LOW | PATH[byte]
+        return head, byte, keys
+
+
+def _styled(style: np.ndarray) -> np.ndarray:
+    """Where the hash of a context starts."""
+    return mix((style.astype(np.uint64) + np.uint64(77)) * _JOIN)
+
+
+@dataclass
+class Tails:
+    """Distinct pairs of style so far and word: the word's hash, bytes (each word and its space) and
+    ``ptr`` to them, and how often they occur."""
+
+    style: np.ndarray
+    word: np.ndarray
+    data: np.ndarray
+    ptr: np.ndarray
+    times: np.ndarray
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes after the first HEAD ones, word by word (its number beside), with a key a context."""
+        size = np.diff(self.ptr)
+        word = np.repeat(np.arange(len(size)), size)
+        place = np.arange(len(word)) - self.ptr[:-1][word]
+        values = np.concatenate([[SPACE], self.data]).astype(np.uint64) + np.uint64(1)  # values[i + 1]: byte i
+        p = np.flatnonzero(place >= HEAD)
+        word, place = word[p], place[p]
+        byte = self.data[p].astype(np.int64)
+        keys = np.zeros((CONTEXTS, len(p)), dtype=np.uint64)
+        style = _styled(self.style)[word]
+        context = style
+        for k in range(1, max(ORDERS) + 1):
+            before = values[p + 1 - k] if k <= HEAD else np.where(place >= k, values[np.maximum(p + 1 - k, 0)], np.uint64(SPACE + 1))
+            context = np.where(place + 1 >= k, (context + before) * _NEXT, context)
+            keys[k - 1] = mix(context + _SALTS[k - 1]) & ~_LOW | PATH[byte]
+        sums = np.zeros(len(values) + 1, dtype=np.uint64)
+        np.cumsum(values * _powers(_WORD, len(values)), out=sums[1:])
+        start = self.ptr[:-1][word] + 1
+        so_far = (sums[p + 1] - sums[start]) * _powers(pow(_WORD, -1, 2**64), len(values) + 1)[start]
+        keys[-2] = mix(so_far + place.astype(np.uint64) * _JOIN + style + _SALTS[-2]) & ~_LOW | PATH[byte]
+        return word, byte, keys
+
+
+@dataclass
+class Read:
+    """A slice's tokens (its words, each text's end): head and tail of each (-1: none), its text."""
+
+    head: np.ndarray
+    tail: np.ndarray
+    text: np.ndarray
+    heads: Heads
+    tails: Tails
+
+
+def styles_so_far(w: Words, first: np.ndarray, number: np.ndarray, styles: np.ndarray) -> np.ndarray:
+    """For every word and every end of text (in turn) the style that makes the bytes of the text's words
+    before it likeliest; len(styles) where there is none. ``styles``: (styles, 256) log probabilities."""
+    data, ptr = w.bytes_of(first)
+    best = np.full(len(w.start) + len(w.ptr) - 1, len(styles))
+    if not len(first) or not len(styles):
+        return best
+    of_word = np.stack([np.add.reduceat(table[data], ptr[:-1]) for table in styles], axis=1)
+    sums = np.concatenate([np.zeros((1, len(styles))), np.cumsum(of_word[number], axis=0)])
+    texts = len(w.ptr) - 1
+    text = np.repeat(np.arange(texts), np.diff(w.ptr) + 1)
+    words_before = np.arange(len(best)) - text  # of all texts
+    inner = words_before > w.ptr[text]
+    best[inner] = (sums[words_before[inner]] - sums[w.ptr[text[inner]]]).argmax(axis=1)
+    return best
+
+
+def tokens(w: Words, styles: np.ndarray) -> Read:
+    texts, n = len(w.ptr) - 1, len(w.start)
+    at = np.arange(n) + w.text  # word i is token at[i]; a text's end follows its words
+    text = np.repeat(np.arange(texts), np.diff(w.ptr) + 1)
+    hashed, known, tail = np.zeros(n + texts, dtype=np.uint64), np.full(n + texts, -1), np.full(n + texts, -1)
+    hashed[at], known[at] = w.hash, np.arange(n)
+    chosen, number = distinct(w)
+    style = styles_so_far(w, chosen, number, styles)
+    kinds, kind = np.unique(number * (len(styles) + 1) + style[at], return_inverse=True)
+    tail[at] = kind
+    previous = np.concatenate([[-1], known[:-1]])  # word before; an end or nothing: -1
+    before = np.where(previous >= 0, hashed[at[previous]] if n else np.uint64(1), np.uint64(1))
+    byte = np.zeros((n + texts, HEAD), dtype=np.uint8)
+    byte[w.ptr[1:] + np.arange(texts), 0] = END
+    size, raw = w.end - w.start, np.append(w.data, SPACE)
+    for k in range(HEAD):
+        byte[at, k] = np.where(size >= k, np.where(size > k, raw[np.minimum(w.start + k, len(w.data))], SPACE), 0)
+    last = np.zeros((n + texts, 4), dtype=np.uint8)
+    has = np.flatnonzero(previous >= 0)
+    end, long = w.end[previous[has]], size[previous[has]]
+    last[has, 3] = SPACE
+    for k in range(1, 4):
+        last[has, 3 - k] = np.where(long >= k, raw[np.maximum(end - k, 0)], 0)
+    every = Heads(style, before, last, byte, np.ones(n + texts, np.int64))
+    _, first, head = np.unique(every.names(), return_index=True, return_inverse=True)
+    heads = Heads(style[first], before[first], last[first], byte[first], np.bincount(head, minlength=len(first)))
+    words_of, style_of = chosen[kinds // (len(styles) + 1)], kinds % (len(styles) + 1)
+    data, ptr = w.bytes_of(words_of)
+    return Read(head, tail, text, heads, Tails(style_of, w.hash[words_of], data, ptr, np.bincount(kind, minlength=len(kinds))))
+
+
+def joined(reads: list[Read]) -> tuple[Heads, Tails, list[np.ndarray], list[np.ndarray]]:
+    """Distinct heads and tails of all slices, and where each slice's are among them."""
+    every = Heads(*(np.concatenate([getattr(r.heads, f) for r in reads]) for f in ("style", "before", "last", "byte", "times")))
+    _, first, head = np.unique(every.names(), return_index=True, return_inverse=True)
+    times = np.bincount(head, every.times, len(first))
+    heads = Heads(every.style[first], every.before[first], every.last[first], every.byte[first], times)
+    style, word, times = (np.concatenate([getattr(r.tails, f) for r in reads]) for f in ("style", "word", "times"))
+    _, chosen, tail = np.unique(mix(word + style.astype(np.uint64) * _JOIN), return_index=True, return_inverse=True)
+    size = np.concatenate([np.diff(r.tails.ptr) for r in reads])
+    data, ptr = np.concatenate([r.tails.data for r in reads]), np.concatenate([[0], np.cumsum(size)])
+    size = size[chosen]
+    to = np.cumsum(size)
+    data = data[np.repeat(ptr[:-1][chosen] - (to - size), size) + np.arange(to[-1] if len(to) else 0)]
+    tails = Tails(style[chosen], word[chosen], data, np.concatenate([[0], to]), np.bincount(tail, times, len(chosen)))
+    cuts = lambda x, sizes: np.split(x, np.cumsum(sizes)[:-1])
+    return heads, tails, cuts(head, [len(r.heads.before) for r in reads]), cuts(tail, [len(r.tails.word) for r in reads])
+
+
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, ascending, and each element's place among them. Scrambled keys are sorted with
+    their places in the low bits; should two agree in the other bits, a key may come more than once."""
+    low = (np.uint64(1) << np.uint64(max(1, int(len(keys)).bit_length()))) - np.uint64(1)
+    order = (np.sort(mix(keys) & ~low | np.arange(len(keys), dtype=np.uint64)) & low).astype(np.int64)
+    ordered = keys[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    runs, run = ordered[new], np.empty(len(keys), dtype=np.int64)
+    up = np.argsort(runs)
+    rank = np.empty(len(runs), dtype=np.int64)
+    rank[up] = np.arange(len(runs))
+    run[order] = rank[np.cumsum(new) - 1]
+    return runs[up], run
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct keys and the sums of their counts."""
+    if len(parts) == 1:
+        return parts[0]
+    keys, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+
+_NONE = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+class Coded:
+    """The bytes to code of all heads or of all tails with their contexts' distinct keys."""
+
+    def __init__(self, part: Heads | Tails):
+        self.of, self.byte, keys = part.keys()
+        self.times, self.count = part.times[self.of].astype(np.float64), len(part.times)
+        self.used = [np.flatnonzero(row) for row in keys]
+        self.groups = [grouped(row[used]) for row, used in zip(keys, self.used)]
+
+    def counts(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(runs, np.bincount(run, self.times[used], len(runs)).astype(np.int64)) for used, (runs, run) in zip(self.used, self.groups)]
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """(contexts, bytes) places among the ascending keys; len(keys) where a context isn't used."""
+        out = np.full((CONTEXTS, len(self.of)), len(keys), dtype=np.int32)
+        for row, used, (runs, run) in zip(out, self.used, self.groups):
+            row[used] = np.searchsorted(keys, runs).astype(np.int32)[run]
+        return out
+
+
+_FEW = 64
+_TABLE = codes_of(np.arange(_FEW)[:, None], np.arange(_FEW)[None, :])
+
+
+def path_codes(keys: np.ndarray, n: np.ndarray, asked: np.ndarray, own: int) -> np.ndarray:
+    """(DEEPEST, asked) codes of the bits of the asked keys' bytes in their contexts, from the counts ``n``
+    of all ascending keys; ``asked`` are places among these, of each ``own`` occurrences are left out."""
+    out = np.zeros((DEEPEST, len(asked)), dtype=np.uint8)
+    size = _LENGTH_OF[(keys[asked] & _LOW).astype(np.int64)]
+    sums = np.concatenate([[0], np.cumsum(n)])
+    upper = None
+    for depth in range(DEEPEST + 1):
+        node = keys >> np.uint64(DEEPEST - depth)
+        first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.zeros(0, np.int64)
+        last = np.append(first[1:], len(keys))
+        total = np.repeat(sums[last] - sums[first], last - first)[asked] - own
+        if depth:
+            live = np.flatnonzero(size >= depth)
+            right, wrong = total[live], (upper - total)[live]
+            few = (right < _FEW) & (wrong < _FEW)
+            got = _TABLE[np.minimum(right, _FEW - 1), np.minimum(wrong, _FEW - 1)]
+            got[~few] = codes_of(right[~few], wrong[~few])
+            out[depth - 1, live] = got
+        upper = total
+    return out
 
-def style_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Square roots of the byte frequencies of each text."""
-    n = len(offsets) - 1
-    text = np.repeat(np.arange(n), np.diff(offsets))
-    counts = np.bincount(text * 256 + data, minlength=n * 256).reshape(n, 256).astype(np.float32)
-    return np.sqrt(counts / np.maximum(1, counts.sum(axis=1, keepdims=True)))
 
+class Mixer:
+    """Bit predictors joined: adaptive probabilities of codes, gated weights, refining table. The gate
+    is the longest context seen and how well it is known, for a path's first bit and the others."""
+
+    def __init__(self, rate: float = 0.01) -> None:
+        self.rate, self.rounds = rate, 0
+        self.seen = np.tile(PLAIN * 4, (CONTEXTS, 1))
+        self.gates = 1 + 4 * CONTEXTS
+        longest = np.repeat(np.arange(CONTEXTS), 4)
+        weights = np.full((self.gates, CONTEXTS), 0.1)
+        weights[np.arange(1, self.gates), np.maximum(longest - 1, 0)] = 0.25
+        weights[np.arange(1, self.gates), longest] = 0.6
+        self.weights = np.stack([weights, weights])
+        self.square = np.full(self.weights.shape, 0.05)
+        self.steps = 64
+        grid = (np.arange(self.steps) + 0.5) / 4
+        self.right, self.all = 8 / (1 + np.exp(-grid)), np.full(self.steps, 8.0)
+        self.refresh()
+
+    def refresh(self) -> None:
+        self.odds = np.log(self.seen / self.seen[:, MIRROR]).astype(np.float32)
+        self.rounds += 1
+
+    def bits(self, codes: list[np.ndarray], kind: int) -> tuple:
+        """log2 probability of each bit from its codes, one array a context; the rest is for ``learn``."""
+        gate = np.zeros(len(codes[0]), dtype=np.int64)
+        for j, c in enumerate(codes):
+            gate = np.where(c != 0, 1 + 4 * j + _SURE[c], gate)
+        weights = self.weights[kind].astype(np.float32)
+        inputs = [self.odds[j][c] for j, c in enumerate(codes)]
+        z = np.zeros(len(gate), dtype=np.float32)
+        for j, x in enumerate(inputs):
+            z += np.ascontiguousarray(weights[:, j])[gate] * x
+        step = np.minimum(np.abs(z) * 4, self.steps - 1).astype(np.int64)
+        p = 1 / (1 + np.exp(-np.clip(z, -15, 15)))
+        refined = (self.right / self.all).astype(np.float32)[step]
+        both = (p + np.where(z > 0, refined, np.where(z < 0, 1 - refined, 0.5))) / 2
+        return np.log2(np.clip(both, 1e-5, 1 - 1e-5)), inputs, gate, z, p, step
+
+    def learn(self, kind: int, codes: list[np.ndarray], told: tuple, times: np.ndarray) -> None:
+        _, inputs, gate, z, p, step = told
+        error = (1 - p) * times
+        total = np.bincount(gate, times, self.gates)[:, None]
+        slope = np.stack([np.bincount(gate, error * x, self.gates) for x in inputs], axis=1) / np.maximum(total, 1)
+        self.square[kind] = np.where(total > 0, 0.9 * self.square[kind] + 0.1 * slope**2, self.square[kind])
+        self.weights[kind] += self.rate / np.sqrt(1 + self.rounds / 20) * slope / (np.sqrt(self.square[kind]) + 1e-3)
+        for j, c in enumerate(codes):
+            self.seen[j] += np.bincount(c, times, len(PLAIN))
+        self.right += np.bincount(step, times * (z > 0), self.steps)
+        self.all += np.bincount(step, times * (z != 0), self.steps)
+
+
+def code_lengths(coded: Coded, keys: np.ndarray, codes: np.ndarray, mixer: Mixer, learning: bool, batch: int = 1 << 14) -> np.ndarray:
+    """log2 probability of each head or tail; ``codes`` (DEEPEST, keys + 1) belong to the ascending ``keys``,
+    the last column to contexts that aren't used. With ``learning`` every batch of bytes is first predicted
+    and then learnt from, as often as it occurs."""
+    places, size, out = coded.places(keys), LENGTH[coded.byte], np.zeros(len(coded.of))
+    for low in range(0, len(out), batch):
+        at = np.arange(low, min(low + batch, len(out)))
+        for depth in range(DEEPEST):
+            at = at[size[at] > depth]
+            if not len(at):
+                break
+            got = [codes[depth][row[at]] for row in places]
+            told = mixer.bits(got, min(depth, 1))
+            out[at] += told[0]
+            if learning:
+                mixer.learn(min(depth, 1), got, told, coded.times[at])
+        if learning:
+            mixer.refresh()
+    return np.bincount(coded.of, out, coded.count)
 
-def learn_styles(texts: list[str], rounds: int = 12, seed: int = 5) -> np.ndarray:
-    """Centres of k-means over ``style_features`` of a bounded sample: the style contexts."""
-    raw = [t.encode() for t in texts if t] or [b" "]
-    x = style_features(lower_ascii(np.frombuffer(b"".join(raw), np.uint8)), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
-    rng = np.random.default_rng(seed)
-    centres = x[rng.choice(len(x), 1)]
-    while len(centres) < min(STYLES, len(x)):  # next centre: likely far from the others
-        far = ((x[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1) + 1e-12
-        centres = np.concatenate([centres, x[rng.choice(len(x), 1, p=far / far.sum())]])
-    for _ in range(rounds):
-        near = styles_of(x, centres)
-        centres = np.stack([x[near == k].mean(axis=0) if (near == k).any() else centres[k] for k in range(len(centres))])
-    return centres
 
+class Block:
+    """The texts of one fold of a block: slices read, distinct heads and tails, their contexts."""
 
-def styles_of(features: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return (features @ centres.T - (centres**2).sum(axis=1) / 2).argmax(axis=1)
+    def __init__(self, table: pa.Table, styles: np.ndarray):
+        self.parts = list(slices(table, "text"))
+        self.reads = [tokens(words(part.column("text"), lower=True), styles) for part in self.parts]
+        if self.parts:
+            self.heads, self.tails, self.head, self.tail = joined(self.reads)
+            self.coded = [Coded(self.heads), Coded(self.tails)]
 
+    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
+        return _merged([_NONE, *(x for c in self.coded for x in c.counts())]) if self.parts else _NONE
 
-def _stretch(p: np.ndarray) -> np.ndarray:
-    return np.log(p / (1 - p))
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        return _merged([(np.sort(self.tails.word), self.tails.times[np.argsort(self.tails.word)].astype(np.int64)), _NONE]) if self.parts else _NONE
 
 
-def _squash(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -14, 14)))
+def _squeeze(raw: bytes) -> bytes:
+    return pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
 
 
-class Mixer:
-    """Logistic mixing of two predictions with gated weights, and the refining table."""
-
-    def __init__(self) -> None:
-        self.weights = np.tile(np.array([0.5, 0.5]), (GATES, 1))
-        grid = np.linspace(-8, 8, STEPS)
-        self.ones, self.all = _squash(grid) * 4, np.full(STEPS, 4.0)
-
-    def predict(self, p_style: np.ndarray, p_all: np.ndarray, confidence: np.ndarray) -> tuple[np.ndarray, ...]:
-        gate = np.minimum(GATES - 1, np.log2(1 + confidence)).astype(np.int64)
-        a, b = _stretch(p_style), _stretch(p_all)
-        z = self.weights[gate, 0] * a + self.weights[gate, 1] * b
-        p = _squash(z)
-        step = np.clip(np.rint((np.clip(z, -8, 8) + 8) * (STEPS - 1) / 16), 0, STEPS - 1).astype(np.int64)
-        return np.clip((p + self.ones[step] / self.all[step]) / 2, 1e-6, 1 - 1e-6), p, gate, a, b, step
-
-    def learn(self, told: tuple[np.ndarray, ...], bit: np.ndarray, times: np.ndarray, rate: float = 0.3) -> None:
-        _, p, gate, a, b, step = told
-        error = (bit - p) * times
-        seen = np.maximum(1e-9, np.bincount(gate, times, GATES))
-        for j, x in enumerate((a, b)):
-            self.weights[:, j] += rate * np.bincount(gate, error * x, GATES) / seen
-        np.clip(self.weights, 0, 1.5, out=self.weights)
-        self.ones += np.bincount(step, bit * times, STEPS)
-        self.all += np.bincount(step, times, STEPS)
-
-
-def tree_scores(h: np.ndarray, counts: np.ndarray, skip: int) -> np.ndarray:
-    """log2 probability, given the subtree, of each of its words in each style.
-
-    ``h``: ascending word hashes that agree in their first ``skip`` bits; ``counts``: (words,
-    styles) training counts. Counts are learnt from leaving one occurrence out, in a first walk
-    down the tree, then a second walk adds up the bits' code lengths.
-    """
-    sums = np.concatenate([np.zeros((1, counts.shape[1])), np.cumsum(counts, axis=0)])
-    total = sums.sum(axis=1)
-    out, mixer = np.zeros(counts.shape), Mixer()
-    events = counts > 0
-    for learning in (True, False):
-        low, high = np.zeros(len(h), np.int64), np.full(len(h), len(h))
-        for depth in range(skip, 64):
-            live = np.flatnonzero(high - low > 1)
-            if not len(live):
-                break
-            bit = ((h >> np.uint64(63 - depth)) & np.uint64(1)).astype(np.int64)
-            zeros = np.concatenate([[0], np.cumsum(1 - bit)])
-            lo, hi = low[live], high[live]
-            mid = lo + zeros[hi] - zeros[lo]
-            forks = (mid > lo) & (mid < hi)  # elsewhere all known words agree in the bit
-            low[live], high[live] = np.where(bit[live] > 0, mid, lo), np.where(bit[live] > 0, hi, mid)
-            live, lo, hi, mid = live[forks], lo[forks], hi[forks], mid[forks]
-            b = bit[live].astype(np.float64)
-            n, n1 = total[hi] - total[lo], total[hi] - total[mid]
-            ns, ns1 = sums[hi] - sums[lo], sums[hi] - sums[mid]
-            if learning:
-                row, k = np.nonzero(events[live])
-                p_all = (n1[row] - b[row] + PRIOR_COUNT) / (n[row] - 1 + 2 * PRIOR_COUNT)
-                p_style = (ns1[row, k] - b[row] + PRIOR_COUNT) / (ns[row, k] - 1 + 2 * PRIOR_COUNT)
-                mixer.learn(mixer.predict(p_style, p_all, ns[row, k] - 1), b[row], np.minimum(counts[live][row, k], 64))
-            else:
-                p_all = np.repeat((n1 + PRIOR_COUNT) / (n + 2 * PRIOR_COUNT), counts.shape[1])
-                p_style = ((ns1 + PRIOR_COUNT) / (ns + 2 * PRIOR_COUNT)).reshape(-1)
-                p = mixer.predict(p_style, p_all, ns.reshape(-1))[0].reshape(ns.shape)
-                out[live] += np.log2(np.where(b[:, None] > 0, p, 1 - p))
+def _restore(raw: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(pa.Codec("zstd").decompress(raw, size), np.uint8)
+
+
+def _numbers(values: np.ndarray) -> bytes:
+    """64-bit numbers, all lowest bytes first, then all second ones and so on: like lies by like."""
+    return _squeeze(np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _from_numbers(raw: bytes, count: int) -> np.ndarray:
+    return np.ascontiguousarray(_restore(raw, 8 * count).reshape(8, -1).T).view(np.uint64)[:, 0]
+
+
+def _code_bytes(keys: np.ndarray, codes: np.ndarray) -> bytes:
+    """The codes of each depth, of the keys whose paths are that long."""
+    size = _LENGTH_OF[(keys & _LOW).astype(np.int64)]
+    return _squeeze(b"".join(codes[d][size > d].tobytes() for d in range(DEEPEST)))
+
+
+def _from_code_bytes(raw: bytes, keys: np.ndarray) -> np.ndarray:
+    size = _LENGTH_OF[(keys & _LOW).astype(np.int64)]
+    flat, out, at = _restore(raw, int(size.sum())), np.zeros((DEEPEST, len(keys)), dtype=np.uint8), 0
+    for d in range(DEEPEST):
+        live = np.flatnonzero(size > d)
+        out[d, live] = flat[at : at + len(live)]
+        at += len(live)
     return out
 
 
-class Spelling:
-    """Code length of a new word: bytes and a closing space, each predicted from the three bytes
-    before it; shorter contexts come in by the share of a context's different bytes."""
-
-    def __init__(self, codes: np.ndarray, n: np.ndarray):
-        self.levels = []
-        for order in range(BEFORE + 1):
-            keys, at = np.unique(codes % (1 << 8 * (order + 1)), return_inverse=True)
-            count = np.bincount(at, n, len(keys))
-            contexts, at = np.unique(keys >> 8, return_inverse=True)
-            self.levels.append((Table(keys.astype(np.uint64)), count, Table(contexts.astype(np.uint64)), np.bincount(at, count, len(contexts)), np.bincount(at)))
-
-    def log2(self, codes: np.ndarray) -> np.ndarray:
-        p = np.full(len(codes), 1 / 256)
-        for order, (keys, count, contexts, total, kinds) in enumerate(self.levels):
-            part = codes % (1 << 8 * (order + 1))
-            context = contexts.find((part >> 8).astype(np.uint64))
-            known = np.flatnonzero(context >= 0)
-            at, context = keys.find(part[known].astype(np.uint64)), context[known]
-            c = np.where(at >= 0, count[np.maximum(at, 0)], 0)
-            p[known] = (c + kinds[context] * p[known]) / (total[context] + kinds[context])
-        return np.log2(p)
-
-
-def spelled(w: Words, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of the chosen words and their closing spaces: code of the byte and the three
-    before it (spaces before a word), and the word's number."""
-    raw, to = w.bytes_of(chosen)
-    word = np.repeat(np.arange(len(chosen)), np.diff(to))
-    place = np.arange(len(raw)) - to[:-1][word]
-    data = np.concatenate([[32] * BEFORE, raw]).astype(np.int64)
-    code = data[BEFORE:].copy()
-    for back in range(1, BEFORE + 1):
-        code |= np.where(place >= back, data[BEFORE - back : len(data) - back], 32) << 8 * back
-    return code, word
-
-
-def _segments(values: np.ndarray, ptr: np.ndarray) -> np.ndarray:
-    """Sum of the rows before each one within its text."""
-    sums = np.concatenate([np.zeros((1, values.shape[1])), np.cumsum(values, axis=0)])
-    return sums[:-1] - np.repeat(sums[ptr[:-1]], np.diff(ptr), axis=0)
-
-
-def score_texts(docs: DataFrame, held_out, block_bytes: int = 16 << 20, tree_rows: int = 20_000, codes: int = 1 << 18) -> DataFrame:
+def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Bounds (parts + 1) of the ascending keys' ranges by their first 32 bits."""
+    return np.searchsorted((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
+
+
+def learn_styles(texts: DataFrame, sample_rows: int = 2000, rounds: int = 3, seed: int = 5) -> np.ndarray:
+    """(STYLES, 256) log probabilities of bytes by k-means over the byte frequencies of all texts.
+
+    Every text gives 256 numbers (square roots of frequencies). About ``sample_rows`` texts by a hash of
+    their content start the centres off (documented bound); all texts then move them ``rounds`` times."""
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                data, to = text_bytes(part.column("text"))
+                n = part.num_rows
+                counts = np.bincount(np.repeat(np.arange(n), np.diff(to)) * 256 + lower_ascii(data), minlength=n * 256).reshape(n, 256)
+                share = np.sqrt(counts / np.maximum(1, counts.sum(axis=1, keepdims=True)))
+                body = np.rint(share * 255).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in body], pa.binary())], ["f"])
+
+    rows = materialize(texts.filter("text <> ''").select("text").mapInArrow(features, "f binary"))
+    total = rows.count()
+    unit = F.shiftrightunsigned(F.xxhash64("f", F.lit(23)), 12) / F.lit(float(2**52))
+    few = rows.filter(unit < sample_rows / max(1, total)).groupBy("f").agg(F.count("*").alias("n")).orderBy("f").toArrow()
+    if not few.num_rows:
+        return np.zeros((0, 256))
+    x = np.frombuffer(b"".join(few.column("f").to_pylist()), np.uint8).reshape(-1, 256) / 255.0
+    weight = few.column("n").to_numpy().astype(float)
+    rng = np.random.default_rng(seed)
+    centres = x[rng.choice(len(x), 1, p=weight / weight.sum())]
+    while len(centres) < min(STYLES, len(x)):  # next centre: likely far from the others
+        far = weight * ((x[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1) + 1e-12
+        centres = np.concatenate([centres, x[rng.choice(len(x), 1, p=far / far.sum())]])
+    for _ in range(8):
+        near = nearest(x, centres)
+        centres = np.stack([np.average(x[near == k], axis=0, weights=weight[near == k]) if (near == k).any() else c for k, c in enumerate(centres)])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, second, count = np.zeros(centres.shape), np.zeros(centres.shape), np.zeros(len(centres))
+        for batch in batches:
+            x = np.frombuffer(b"".join(batch.column("f").to_pylist()), np.uint8).reshape(-1, 256) / 255.0
+            near = nearest(x, centres)
+            for k in range(len(centres)):
+                first[k] += x[near == k].sum(axis=0)
+                second[k] += (x[near == k] ** 2).sum(axis=0)
+            count += np.bincount(near, minlength=len(centres))
+        k, b = (a.reshape(-1) for a in np.indices(centres.shape))
+        arrays = [k.astype(np.int32), b.astype(np.int32), first.reshape(-1), second.reshape(-1), count[k]]
+        yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["k", "b", "first", "second", "n"])
+
+    for _ in range(rounds):  # 256 rows a style reach the driver
+        summed = rows.mapInArrow(sums, "k int, b int, first double, second double, n double").groupBy("k", "b")
+        got = summed.agg(F.sum("first").alias("first"), F.sum("second").alias("second"), F.sum("n").alias("n")).orderBy("k", "b").toPandas()
+        first, second, n = (got[c].to_numpy().reshape(centres.shape) for c in ("first", "second", "n"))
+        centres = np.where(n > 0, first / np.maximum(n, 1), centres)
+    share = (second / np.maximum(n, 1) + 1e-4) / (second / np.maximum(n, 1) + 1e-4).sum(axis=1, keepdims=True)
+    return np.log(share)
+
+
+def nearest(features: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return (features @ centres.T - (centres**2).sum(axis=1) / 2).argmax(axis=1)
+
+
+_TRAIN, _HELD, _WORDS = 0, 1, 2
+
+
+def score_texts(docs: DataFrame, held_out, block_bytes: int = 24 << 20, part_bytes: int = 8 << 20) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): ``doc_id``, ``held_out``, ``n_tokens``,
     ``n_known``, ``train_tokens``, ``base_score``, ``score`` (both log10) and ``bits_per_byte``.
 
-    Tokens: words, ASCII letters lower-cased, then one end. Everything is learnt from all rows
-    for which the column ``held_out`` is false. Texts are dealt into blocks by doc_id; a block
-    names each of its distinct words once with its training counts by style; words meet by
-    subtree of their hash (about ``tree_rows`` rows each, whatever the corpus), where counts are
-    added, nodes mixed and code lengths worked out once per word; each block gets its own words
-    back and scores its texts. So a frequent word costs a row per block, and no table of the
-    vocabulary exists in one place. The style centres come from about 2,000 texts (a context
-    function, documented bound); the spelling table keeps the most frequent ``codes`` codes of four
-    bytes, and rarer ones are spelled by shorter contexts.
-
-    p(token) = p(end), or a new word's spelling with an adaptive share, or the styles' mixture:
-    the shares start equal and follow the likelihood of the text so far, a little kept back for
-    changes of style. Null and empty texts consist of the end token alone.
+    Tokens: words, ASCII letters lower-cased, then one end. The model codes each word and a space after
+    it, and the end as one byte, so the probabilities of all texts add up to one at most.
+
+    Everything is learnt from all rows for which the column ``held_out`` is false. Texts are dealt into
+    blocks of about ``block_bytes``. A block asks for each distinct context and byte of its texts once,
+    with its training count; these meet by ranges of the context's hash (a range for every ``part_bytes``
+    of text), where counts are added and each asked byte's path of bits is looked up: the answers are
+    codes of counts, and for a training text the occurrence itself is left out, so that its score is one
+    of text not seen. Questions and answers travel as one compressed row for a block and a range, so
+    no table of contexts exists in one place. A block then runs its mixers online over its training texts (each
+    batch is predicted before it is learnt from) and scores its held-out texts with what was learnt.
+
+    Null and empty texts consist of the end token alone. Rows repeated with one id are scored each for
+    itself, rows without an id count as the empty id says. Without training rows every bit has
+    probability one half. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
     known = docs.select("doc_id", "text").withColumn("held_out", held_out)
-    dealt = in_blocks(known, "text", ["doc_id"], block_bytes)
-    rows = known.count()
-    unit = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(23)), 12) / F.lit(float(2**52))
-    few = known.filter(~F.col("held_out") & (unit < 2000 / max(1, rows))).select(F.substring("text", 1, 4000)).limit(4000).collect()
-    centres = learn_styles([r[0] for r in few])
     train_docs = known.filter(~F.col("held_out")).count()
+    styles = learn_styles(known.filter(~F.col("held_out")))
+    dealt, size = dealt_rows(known, "text", block_bytes)
+    parts = size // part_bytes + 1
+
+    def folds(table: pa.Table) -> list[Block]:
+        held = table.column("held_out")
+        return [Block(table.filter(x), styles) for x in (pc.invert(held), held)]
 
     def asked(table: pa.Table) -> pa.Table:
-        block = table.column("_block")[0].as_py()
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for part in slices(table, "text"):
-            w = words(part.column("text"), lower=True)
-            _, offsets = text_bytes(part.column("text"))
-            style = styles_of(style_features(w.data, offsets), centres)
-            train = ~part.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-            first, number = distinct(w)
-            kind = np.where(train, style, STYLES)[w.text]  # STYLES: asked for only
-            n = np.bincount(number * (STYLES + 1) + kind, minlength=len(first) * (STYLES + 1))
-            at = np.flatnonzero(n)
-            held.append((w.hash[first][at // (STYLES + 1)], at % (STYLES + 1), n[at]))
-        h, kind, n = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((kind, h))
-        h, kind, n = h[order], kind[order], n[order]
-        new = np.ones(len(h), dtype=bool)
-        new[1:] = (h[1:] != h[:-1]) | (kind[1:] != kind[:-1])
-        n = np.add.reduceat(n, np.flatnonzero(new)) if len(n) else n
-        h, kind = h[new], kind[new]
-        return pa.table({"h": h.view(np.int64), "bk": block * 16 + kind, "n": np.where(kind < STYLES, n, 0)})
-
-    wanted = materialize(dealt.groupBy("_block").applyInArrow(asked, "h long, bk long, n long"))
-    sizes = wanted.groupBy((F.col("bk") % 16).alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect()  # one row per style
-    by_style = np.zeros(STYLES)
-    for r in sizes:
-        if r["k"] < STYLES:
-            by_style[r["k"]] = r["n"]
-    skip = max(1, int(np.ceil(np.log2(max(2, sum(r["rows"] for r in sizes) / tree_rows)))))
-
-    def answer(table: pa.Table) -> pa.Table:
-        h, bk, n = (table.column(c).to_numpy() for c in ("h", "bk", "n"))
-        keys, at = np.unique(h.view(np.uint64), return_inverse=True)
-        counts = np.bincount(at * (STYLES + 1) + bk % 16, n, len(keys) * (STYLES + 1)).reshape(len(keys), -1)[:, :STYLES]
-        total = counts.sum(axis=1)
-        real = np.flatnonzero(total)
-        logs = np.zeros((len(keys), STYLES))
-        if len(real):
-            inside = counts[real].sum(axis=0) + LENT * counts.sum()
-            logs[real] = tree_scores(keys[real], counts[real], skip) + np.log2(inside)
-        packed = np.clip(np.rint(logs * SCALE), -32768, 32767).astype("<i2").view("<i8")
-        pair = np.unique(np.stack([at, bk // 16]), axis=1) if len(at) else np.zeros((2, 0), np.int64)
-        pair = pair[:, total[pair[0]] > 0]
-        to = pair[0]
-        out = {"h": keys[to].view(np.int64), "_block": pair[1].astype(np.int32), "n": total[to].astype(np.int64), "s0": packed[to, 0], "s1": packed[to, 1]}
-        size = pa.table({"h": [0], "_block": pa.array([-1], pa.int32()), "n": [len(real)], "s0": [0], "s1": [0]})
-        return pa.concat_tables([pa.table(out), size])  # block -1: the subtree's known words
-
-    shape = "h long, _block int, n long, s0 long, s1 long"
-    trees = wanted.withColumn("_tree", F.shiftrightunsigned("h", 64 - skip))
-    strip = lambda t: answer(t.drop_columns(["_tree"]))
-    answers = materialize(trees.groupBy("_tree").applyInArrow(strip, shape))
-    vocabulary = (answers.filter("_block = -1").agg(F.sum("n")).first()[0] or 0) + (train_docs > 0)
-    tokens = int(by_style.sum()) + train_docs
-
-    def letters(table: pa.Table) -> pa.Table:
-        held = []
-        for part in slices(table.filter(pc.invert(table.column("held_out"))), "text"):
-            w = words(part.column("text"), lower=True)
-            codes, at = np.unique(spelled(w, distinct(w)[0])[0], return_counts=True)
-            held.append((codes, at))
-        if not held:
-            return pa.table({"code": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-        codes, n = (np.concatenate(x) for x in zip(*held))
-        keys, at = np.unique(codes, return_inverse=True)
-        return pa.table({"code": keys, "n": np.bincount(at, n).astype(np.int64)})
-
-    def letter_counts(batches):
-        for batch in batches:
-            yield from letters(pa.Table.from_batches([batch])).to_batches()
-
-    spelling_rows = known.select("text", "held_out").mapInArrow(letter_counts, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    spelling_rows = materialize(spelling_rows)
-    often = spelling_rows.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("n")).collect()
-    least, held = 1, 0
-    for r in often:  # the rarest codes stay out where there are more than ``codes`` of them
-        held += r["rows"]
-        if held > codes and least == 1:
-            least = r["n"] + 1
-    common = spelling_rows.filter(F.col("n") >= least).toPandas()
-    spell = spark.sparkContext.broadcast((common["code"].to_numpy(np.int64), common["n"].to_numpy(np.float64)))  # at most ``codes`` rows
-    end = (train_docs + 0.5) / (tokens + 1)
-    level = np.log2(by_style + LENT * by_style.sum() + 1e-9)
-    shares = np.where(by_style > 0, 1.0, 1e-6)
-    shares /= shares.sum()
-    base_of = lambda c: np.log10((c + 1) / (tokens + vocabulary + 1))
+        block, rows = table.column("_block")[0].as_py(), []
+        train, held = folds(table)
+        known_words, n = train.words()
+        more = held.words()[0]
+        questions = [train.contexts(), (held.contexts()[0], None), _merged([(known_words, n), (more, np.zeros(len(more), np.int64)), _NONE])]
+        for kind, (keys, n) in enumerate(questions):
+            bounds = _part_of(keys, parts)
+            for part in range(parts):
+                cut = slice(bounds[part], bounds[part + 1])
+                own = keys[cut]
+                steps = np.diff(np.concatenate([np.zeros(1, np.uint64), own]))
+                rows.append((part, block, kind, len(own), _numbers(steps), None if n is None else _numbers(n[cut])))
+        return pa.table(dict(zip(("_part", "_block", "kind", "size", "keys", "n"), zip(*rows))), pa.schema([("_part", pa.int32()), ("_block", pa.int32()), ("kind", pa.int32()), ("size", pa.int64()), ("keys", pa.binary()), ("n", pa.binary())]))
+
+    def answered(table: pa.Table) -> pa.Table:
+        part, block, kind, sizes, keys, n = (table.column(c).to_pylist() for c in ("_part", "_block", "kind", "size", "keys", "n"))
+        keys = [np.cumsum(_from_numbers(k, m)) for k, m in zip(keys, sizes)]
+        n = [np.zeros(m, np.int64) if x is None else _from_numbers(x, m).astype(np.int64) for x, m in zip(n, sizes)]
+        contexts, total = _merged([_NONE, *((k, c) for k, c, x in zip(keys, n, kind) if x != _WORDS)])
+        codes = {}
+        for x, own in ((_TRAIN, 1), (_HELD, 0)):
+            wanted, _ = _merged([_NONE, *((k, np.zeros(len(k), np.int64)) for k, y in zip(keys, kind) if x == y)])
+            codes[x] = (wanted, path_codes(contexts, total, np.searchsorted(contexts, wanted), own))
+        word, times = _merged([_NONE, *((k, c) for k, c, x in zip(keys, n, kind) if x == _WORDS)])
+        bodies = []
+        for own, x in zip(keys, kind):
+            if x == _WORDS:
+                bodies.append(_numbers(times[np.searchsorted(word, own)]))
+            else:
+                bodies.append(_code_bytes(own, codes[x][1][:, np.searchsorted(codes[x][0], own)]))
+        ones = np.ones(len(part), np.int64)
+        return pa.table({
+            "_block": pa.array(block, pa.int32()), "_part": pa.array(part, pa.int32()), "kind": pa.array(kind, pa.int32()), "size": pa.array(sizes, pa.int64()),
+            "body": pa.array(bodies, pa.binary()), "words": ones * int((times > 0).sum()), "tokens": ones * int(times.sum()),
+        })
 
     def scored(table: pa.Table, told: pa.Table) -> pa.Table:
-        h = told.column("h").to_numpy().view(np.uint64)
-        n = told.column("n").to_numpy()
-        logs = np.stack([told.column(c).to_numpy() for c in ("s0", "s1")], axis=1).view("<i2").reshape(len(h), STYLES)
-        index, spelling, out = Table(h), Spelling(*spell.value), []
-        for part in slices(table, "text"):
-            w = words(part.column("text"), lower=True)
-            first, number = distinct(w)
-            at = index.find(w.hash[first])
-            new = np.flatnonzero(at < 0)
-            codes, word = spelled(w, first[new])
-            cost = np.zeros(len(first))
-            cost[new] = np.bincount(word, spelling.log2(codes), len(new)) if len(new) else 0
-            c = np.where(at >= 0, n[np.maximum(at, 0)] if len(n) else 0, 0)[number]
-            is_new = at[number] < 0
-            each = logs[np.maximum(at, 0)][number] / SCALE - level if len(n) else np.zeros((len(number), STYLES))
-            each = np.where(is_new[:, None], 0.0, each) * np.log(2)
-            belief = _segments(each, w.ptr) + np.log(shares)
-            belief = np.exp(belief - belief.max(axis=1, keepdims=True)) if len(belief) else belief
-            belief = 0.98 * belief / belief.sum(axis=1, keepdims=True) + 0.02 * shares
-            mixed = np.log2(np.maximum((belief * np.exp(each)).sum(axis=1), 1e-300))
-            fresh = _segments(is_new[:, None].astype(float), w.ptr)[:, 0]
-            share = (1 + fresh) / (40 + w.place)
-            bits = np.log2(1 - end) + np.where(is_new, np.log2(share) + cost[number], np.log2(1 - share) + mixed)
-            text, texts = w.text, part.num_rows
-            words_of = np.diff(w.ptr)
-            score = (np.bincount(text, bits, texts) + np.log2(end)) * np.log10(2)
-            base = np.bincount(text, base_of(c), texts) + base_of(train_docs)
-            size = np.diff(text_bytes(part.column("text"))[1]) + 1
-            out.append(pa.table({
-                "doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "n_tokens": (words_of + 1).astype(np.int64),
-                "n_known": (np.bincount(text, ~is_new, texts) + (train_docs > 0)).astype(np.int64), "train_tokens": np.full(texts, tokens, np.int64),
-                "base_score": base, "score": score, "bits_per_byte": -score / np.log10(2) / size,
-            }))
+        told = told.sort_by([("kind", "ascending"), ("_part", "ascending")])
+        answer = {x: told.filter(pc.equal(told.column("kind"), x)) for x in (_TRAIN, _HELD, _WORDS)}
+        vocabulary = pc.sum(answer[_WORDS].column("words")).as_py() + (train_docs > 0)
+        train_tokens = pc.sum(answer[_WORDS].column("tokens")).as_py() + train_docs
+        both, mixers, out = folds(table), (Mixer(), Mixer()), []
+        word = _merged([_NONE, *((b.words()[0], np.zeros(len(b.words()[0]), np.int64)) for b in both)])[0]
+        counts = np.concatenate([_from_numbers(r["body"], r["size"]) for r in answer[_WORDS].to_pylist()])
+        for kind, fold_ in enumerate(both):
+            if not fold_.parts:
+                continue
+            keys = fold_.contexts()[0]
+            bounds = _part_of(keys, parts)
+            codes = [_from_code_bytes(r["body"], keys[bounds[r["_part"]] : bounds[r["_part"] + 1]]) for r in answer[kind].to_pylist()]
+            codes = np.concatenate([*codes, np.zeros((DEEPEST, 1), np.uint8)], axis=1)
+            head, tail = (code_lengths(c, keys, codes, m, kind == _TRAIN) for c, m in zip(fold_.coded, mixers))
+            times = np.append(counts[np.searchsorted(word, fold_.tails.word)], train_docs).astype(np.int64)
+            tail = np.append(tail, 0.0)
+            for part, r, own_head, own_tail in zip(fold_.parts, fold_.reads, fold_.head, fold_.tail):
+                texts = part.num_rows
+                at = np.append(own_tail, len(times) - 1)[r.tail]  # an end has no tail: the last one
+                score = np.bincount(r.text, head[own_head][r.head] + tail[at], texts) * np.log10(2)
+                base = np.bincount(r.text, np.log10((times[at] + 1) / (train_tokens + vocabulary + 1)), texts)
+                n = np.bincount(r.text, minlength=texts)
+                size = np.diff(text_bytes(part.column("text"))[1]) + 1
+                out.append(pa.table({
+                    "doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "n_tokens": n, "n_known": np.bincount(r.text, times[at] > 0, texts).astype(np.int64),
+                    "train_tokens": np.full(texts, train_tokens), "base_score": base, "score": score, "bits_per_byte": -score / np.log10(2) / size,
+                }))
         return pa.concat_tables(out)
 
+    questions = dealt.groupBy("_block").applyInArrow(asked, "_part int, _block int, kind int, size long, keys binary, n binary")
+    answers = questions.groupBy("_part").applyInArrow(answered, "_block int, _part int, kind int, size long, body binary, words long, tokens long")
     result = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    back = answers.filter("_block >= 0")
-    return dealt.groupBy("_block").cogroup(back.groupBy("_block")).applyInArrow(scored, result)
+    return dealt.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(scored, result)
 
 
 def op3_lm_scores(docs: DataFrame) -> DataFrame:

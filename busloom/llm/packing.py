@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import in_blocks
+from .common import dealt_rows
 from .words import distinct, member, slices, words
 
 #: BM25's usual constants.
@@ -193,7 +193,7 @@ def pack(docs: DataFrame, tokenizer: str, room: int = 2048, end_id: int = 1, sha
     Only a shard's last window can be short; it is cut into powers of two, which need no padding.
     Rows repeated with one doc_id are packed each for itself.
     """
-    dealt = in_blocks(docs.select("doc_id", "text"), "text", ["doc_id"], shard_bytes)
+    dealt, _ = dealt_rows(docs.select("doc_id", "text"), "text", shard_bytes)
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def packed(table: pa.Table) -> pa.Table:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import in_blocks
+from .common import dealt_rows
 from .words import Words, member, slices, words
 
 #: A perfect difference cover. Every residue modulo PERIOD is a difference of two of COVER.
@@ -78,7 +78,7 @@ def dedup_substrings(docs: DataFrame, window: int = 35, block_bytes: int = 4 <<
     if window <= PERIOD:
         raise ValueError(f"the window must have more than {PERIOD} words")
     schema = docs.schema
-    dealt = in_blocks(docs, "text", ["doc_id"], block_bytes)
+    dealt, _ = dealt_rows(docs, "text", block_bytes)
 
     def anchors(table: pa.Table) -> pa.Table:
         found = [_anchors(words(part.column("text")), window)[1] for part in slices(table, "text")]

@@ -345,7 +345,7 @@ def test_lm_counts_and_scores(docs, rows, spark):
     ends = sum(not h for h in held.values())
     n, v = sum(c.values()) + ends, len(c) + 1
     for blocks in (16 << 20, 3000):
-        out = lm_mixing.score_texts(docs, fold("doc_id", 7) == 2, block_bytes=blocks, tree_rows=300)
+        out = lm_mixing.score_texts(docs, fold("doc_id", 7) == 2, block_bytes=blocks, part_bytes=2 * blocks)
         got = {r.doc_id: r for r in out.collect()}
         assert got.keys() == split.keys()
         for i, w in split.items():
@@ -356,9 +356,69 @@ def test_lm_counts_and_scores(docs, rows, spark):
     assert lm_mixing.score_texts(empty(spark), fold("doc_id", 7) == 2).count() == 0
 
 
-def test_tree_probabilities_add_up():
+def test_lm_contexts_are_those_of_the_text():
+    """Keys of contexts agree exactly where style, the bytes named and the byte coded agree."""
+    import pyarrow as pa
+
+    texts = ["the cat the cat sat at a the", "", None, "a cat sat", "x yé the catalogue"]
+    styles = np.log(np.random.default_rng(1).dirichlet(np.ones(256), 3))
+    read = lm_mixing.tokens(words(pa.array(texts), lower=True), styles)
+    style = lambda before: 3 if not before else int(np.argmax([sum(t[b] for w in before for b in w.encode() + b" ") for t in styles]))
+    want = [collections.Counter() for _ in range(lm_mixing.CONTEXTS)]
+    for t in texts:
+        w = WORD.findall(t or "")
+        for k, x in enumerate([*w, None]):
+            own, s = b"\n" if x is None else x.encode() + b" ", style(w[:k])
+            before = w[k - 1].encode() + b" " if k else b""
+            for i, byte in enumerate(own):
+                seen = b"\0\0\0\0" + (before[-4:] if i < lm_mixing.HEAD else b" ") + own[:i]
+                for j, n in enumerate(lm_mixing.ORDERS):
+                    inside = seen[-n:] if i < lm_mixing.HEAD else seen[4:][-n:]
+                    want[j][(s, inside, byte)] += 1
+                want[-2][(s, own[:i], byte)] += 1
+                if i < lm_mixing.HEAD:
+                    want[-1][(s, before, own[:i], byte)] += 1
+    heads, tails, _, _ = lm_mixing.joined([read])
+    got = [collections.Counter() for _ in range(lm_mixing.CONTEXTS)]
+    for part in (lm_mixing.Coded(heads), lm_mixing.Coded(tails)):
+        for j, (keys, n) in enumerate(part.counts()):
+            got[j].update(dict(zip(keys.tolist(), n.tolist())))
+    assert [sorted(c.values()) for c in got] == [sorted(c.values()) for c in want]
+    assert len(set().union(*got)) == sum(map(len, got))
+
+
+def test_lm_codes_and_probabilities():
     rng = np.random.default_rng(8)
-    h = np.sort(rng.integers(0, 2**63, 400, dtype=np.uint64))  # the first bit is 0
-    counts = rng.poisson(0.7, (400, lm_mixing.STYLES)).astype(float)
-    counts[:, 0] += 1
-    assert np.allclose(np.exp2(lm_mixing.tree_scores(h, counts, 1)).sum(axis=0), 1, atol=1e-6)
+    byte = np.unique(rng.integers(0, 256, 90))
+    keys = np.sort((np.uint64(5 << 40)) | lm_mixing.PATH[byte])
+    every = np.sort((np.uint64(5 << 40)) | lm_mixing.PATH)
+    count = dict(zip(keys.tolist(), rng.integers(1, 300, len(keys)).tolist()))
+    n = np.array([count.get(k, 0) for k in every.tolist()])
+    codes = lm_mixing.path_codes(every, n, np.arange(256), 0)
+    path = {int(lm_mixing.PATH[b]): f"{int(lm_mixing.PATH[b]):012b}"[: lm_mixing.LENGTH[b]] for b in range(256)}
+    ordered = [path[int(k) & 4095] for k in every.tolist()]
+    for i in rng.integers(0, 256, 40):
+        for d in range(len(ordered[i])):
+            right = sum(c for p, c in zip(ordered, n) if p[: d + 1] == ordered[i][: d + 1])
+            wrong = sum(c for p, c in zip(ordered, n) if p[:d] == ordered[i][:d]) - right
+            assert codes[d, i] == lm_mixing.codes_of(np.array(right), np.array(wrong))
+    mixer = lm_mixing.Mixer()
+    mixer.weights = rng.normal(0.3, 0.2, mixer.weights.shape)
+    mixer.seen = mixer.seen * rng.uniform(0.5, 2, mixer.seen.shape)
+    mixer.refresh()
+    blank, total = np.zeros(256, np.uint8), np.zeros(256)
+    for d in range(lm_mixing.DEEPEST):
+        live = np.array([len(p) > d for p in ordered])
+        got = mixer.bits([c[live] for c in (codes[d], blank, codes[d], blank, codes[d], blank)], min(d, 1))[0]
+        total[live] += got
+    assert np.isclose(np.exp2(total).sum(), 1, atol=1e-3)
+
+
+def test_lm_learns_from_what_comes_before(spark):
+    rng = random.Random(6)
+    phrases = [sentence(rng, 12) for _ in range(12)]
+    rows = [(i, " ".join(rng.choice(phrases) for _ in range(6)), "en", "s", 1) for i in range(300)]
+    out = lm_mixing.op3_lm_scores(spark.createDataFrame(rows, SCHEMA)).filter("held_out").collect()
+    assert np.mean([r.score > r.base_score for r in out]) > 0.9
+    again = {r.doc_id: r.score for r in lm_mixing.op3_lm_scores(spark.createDataFrame(rows, SCHEMA).repartition(5)).filter("held_out").collect()}
+    assert all(abs(again[r.doc_id] - r.score) < 1e-6 for r in out)
