@@ -319,7 +319,31 @@ def test_toxicity_on_held_out_rows(spark):
     assert held and np.mean([got[i].predicted == (i % 5 == 0) for i in held]) > 0.97
     assert got[900].predicted == 0 and got[901].predicted == 0
     assert toxicity.op9_toxicity(empty(spark), marks).count() == 0
-    assert {r.predicted for r in toxicity.op9_toxicity(docs, marks.limit(0)).collect()} == {1 if 1 / 2 >= 0.3 else 0}
+    assert {(r.score < 0.3, r.predicted) for r in toxicity.op9_toxicity(docs, marks.limit(0)).collect()} == {(True, 0)}
+    clash = docs.withColumn("score", F.lit("x"))
+    model = toxicity.train(toxicity.labelled_rows(docs, marks))
+    assert toxicity.score_toxicity(clash, model, ["doc_id", "score"]).dtypes == [("doc_id", "bigint"), ("score", "double")]
+
+
+def test_toxicity_counts_match_plain_ones(spark):
+    rng = random.Random(14)
+    rows = [(i, sentence(rng, 30) + (" Moronic" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(200)]
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3))
+    p, q = collections.Counter(), collections.Counter()
+    slot = lambda g: int(toxicity.slot_of(toxicity.rolling(np.array([ord(c) for c in g], np.uint64), toxicity._BASE, np.array([0]), np.array([len(g)])))[0])
+    for _, t, toxic in rows:
+        for word in set(t.split()):
+            s = " " + word.lower() + " "
+            (p if toxic else q).update(slot(s[a : a + n]) for n in toxicity.SIZES for a in range(len(s) - n + 1))
+    tp, tq = sum(p.values()), sum(q.values())
+    share = tp / (tp + tq)
+    telling = set()
+    for g in p | q:
+        a, b = p[g], q[g]
+        surprise = 2 * sum(x * math.log(x / ((a + b) * rate)) for x, rate in ((a, share), (b, 1 - share)) if x)
+        if surprise > 12 and abs(math.log((a + 1) / (tp + 2)) - math.log((b + 1) / (tq + 2))) >= 1:
+            telling.add(g)
+    assert telling and set(model.slots.tolist()) == telling
 
 
 def test_toxicity_learns_a_rare_class_from_all_its_rows(spark):
