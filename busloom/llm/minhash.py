@@ -174,7 +174,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, block: int = 1000)
     smallest one. What that leaves in different components, though it shares a bucket, is then
     compared within the bucket, so no link that could join two classes is lost; a group of near
     copies that the first step has joined isn't compared with itself, pairs that don't link are
-    never rows, and a bucket of more than ``block`` members is compared in pairs of blocks.
+    never rows, and a large bucket is compared in blocks of about ``block`` members: those of its largest
+    part are sent once to each block of the strays, which are few.
 
     Rows with null or empty text, or without words, link with nothing. Rows with a null doc_id
     are kept and belong to no class unless an equal document has an id. Rows repeated with the
@@ -197,13 +198,22 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, block: int = 1000)
     links = materialize(both.filter(weighted_jaccard("_ua", "_ub") >= threshold).select("a", "b"))
     label = components(links)
     named = shared.join(label, shared["rep"] == label["id"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("part"))
-    split = named.groupBy("key").agg(F.min("part").alias("_low"), F.max("part").alias("_high")).filter("_low < _high").select("key")
-    mixed = named.join(split, "key", "left_semi")
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    mixed = mixed.withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    mixed = mixed.withColumns({"_low": F.least("_mine", "_other"), "_high": F.greatest("_mine", "_other")})
-    compared = mixed.select("key", "_low", "_high", "rep", "part").join(units("rep", "units"), "rep").groupBy("key", "_low", "_high")
+    parts = named.groupBy("key", "part").agg(F.count("*").alias("m"))
+    largest = F.max(F.struct("m", (-F.col("part")).alias("part")))
+    split = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("m").alias("all"), largest.alias("top")).filter("parts > 1")
+    split = split.select("key", (-F.col("top.part")).alias("top"), F.ceil(F.col("top.m") / block).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("top.m")) / block).cast("int").alias("strays"))
+    mixed = named.join(split, "key")
+    is_main, h = F.col("part") == F.col("top"), F.xxhash64("rep")
+    main, stray = F.pmod(h, "mains").cast("int"), F.pmod(h, "strays").cast("int")
+    to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    # the largest part goes once to every block of strays; strays go to its blocks and to each other
+    at_main = F.transform(to("strays"), lambda j: F.struct(main.alias("_low"), j.alias("_high")))
+    at_stray = F.concat(
+        F.transform(to("mains"), lambda i: F.struct(i.alias("_low"), stray.alias("_high"))),
+        F.transform(to("strays"), lambda j: F.struct((-1 - F.least(stray, j)).alias("_low"), F.greatest(stray, j).alias("_high"))),
+    )
+    placed = mixed.select("key", "rep", "part", F.inline(F.when(is_main, at_main).otherwise(at_stray)))
+    compared = placed.join(units("rep", "units"), "rep").groupBy("key", "_low", "_high")
     more = compared.applyInArrow(lambda t: cross_links(t, threshold), "a long, b long")
     label = components(links.unionByName(more))
 
