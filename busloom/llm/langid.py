@@ -76,18 +76,18 @@ class Model:
     start: np.ndarray
 
 
-def train(labelled: DataFrame, sample_rows: int = 1_500) -> Model:
+def train(labelled: DataFrame, sample_rows: int = 1_500, sample_bytes: int = 6 << 20) -> Model:
     """Byte context trees of every language from about ``sample_rows`` rows of it (doc_id, text,
     lang), chosen by a hash of the id: the documented bound of the model and of what reaches the
-    driver. Nodes of the two highest orders that occur once are left out.
+    driver; where these rows hold more than ``sample_bytes`` of text, fewer are taken.
 
     Escapes follow method C: in a context seen n times with d different bytes, a byte seen c
     times has probability c / (n + d), and an escape to the next shorter context d / (n + d).
     """
-    chosen = sample_per_class(labelled, "lang", "doc_id", sample_rows, share=False)
+    chosen = sample_per_class(labelled, "lang", "doc_id", sample_rows, share=False, text="text", most_bytes=sample_bytes)
     parts = chosen.select("text", "lang").mapInArrow(_counted, "lang string, k int, key long, parent long, n long")
     sums = parts.groupBy("lang", "k", "key", "parent").agg(F.sum("n").alias("n"))
-    nodes = sums.filter(f"n > 1 or k < {ORDER - 1}").toPandas()
+    nodes = sums.toPandas()
     langs = sorted(nodes["lang"].unique())
     nodes["l"] = nodes["lang"].map({x: i for i, x in enumerate(langs)}).astype("int64")
     keys, row = np.unique(nodes["key"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
@@ -143,8 +143,10 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     The predicted language is the one whose frozen tree codes the text (ASCII letters
     lower-cased, white space as single spaces) in the fewest bits; the score is its posterior
     under equal priors. Null texts and texts without a letter give ``und`` and 0; ties go to the
-    first language by code point, and without any language learnt everything is ``und``.
+    first language by code point, and without any language learnt everything is ``und``. Rows repeated with
+    one id or without an id are judged each for itself; columns of the two new names are replaced.
     """
+    keep = [c for c in keep if c not in ("lang_pred", "score")]
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
