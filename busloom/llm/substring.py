@@ -73,10 +73,12 @@ def dedup_substrings(docs: DataFrame, window: int = 35, block_bytes: int = 4 <<
     anywhere go back to the blocks that hold them; (2) only windows around such anchors are
     hashed (128 bits) and counted in the same way, and a block gets back those of its windows that
     occur once, which are few; (3) words covered by the other such windows go. A window that occurs in very many texts makes one row per block, not one per text or pair.
-    The plan needs window > PERIOD. ``docs`` must have doc_id and text; other columns are kept.
+    The plan needs window > PERIOD. ``docs`` must have doc_id and text; other columns are kept, but for
+    those of the new names, which are replaced.
     """
     if window <= PERIOD:
         raise ValueError(f"the window must have more than {PERIOD} words")
+    docs = docs.drop("n_words", "n_removed", "kept_text")
     schema = docs.schema
     dealt, _ = dealt_rows(docs, "text", block_bytes)
 
