@@ -58,7 +58,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, sample_rows: int =
     other; rows without an id are kept and link with nothing. Rows repeated with one id count once.
     """
     spark = vectors.sparkSession
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("e"))
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     good = rows.filter(F.col("vec_id").isNotNull() & _usable("e"))
     h1, h2 = F.xxhash64("e"), F.xxhash64(F.lit(7), "e")
     named = good.select("vec_id", h1.alias("h1"), h2.alias("h2"), "e")
@@ -114,9 +114,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, sample_rows: int =
 
 
 def cosine(a: str, b: str):
-    """Cosine of two float arrays in double precision."""
+    """Cosine of two arrays of doubles."""
     def dot(x: str, y: str):
-        products = F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double"))
+        products = F.zip_with(x, y, lambda p, q: p * q)
         return F.aggregate(products, F.lit(0.0), lambda s, p: s + p)
 
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
