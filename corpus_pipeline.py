@@ -19,9 +19,11 @@ TOXIC = 0.3
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: documents whose score reaches the threshold go. The classifier learns from the
-    labelled rows of ``docs`` outside the held-out fold."""
+    labelled rows of ``docs`` outside the held-out fold; if these tell it nothing, all documents stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(toxicity.labelled_rows(docs, labels), texts=docs)
+    if not len(model.slots):
+        return docs.select(*COLUMNS)
     return toxicity.score_toxicity(docs, model, COLUMNS).filter(F.col("score") < TOXIC).select(*COLUMNS)
 
 
@@ -46,9 +48,14 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: documents that the mix doesn't take go, those it takes twice are there twice."""
-    plan = mixture.mix_to_targets(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    taken = docs.join(plan.filter("_copies > 0"), docs["doc_id"].eqNullSafe(F.col("_id")))
+    """Operator 6: documents that the mix doesn't take go, those it takes twice are there twice. Rows
+    are told apart by doc_id, source and text; rows that agree in these are taken alike."""
+    key = ["doc_id", "source", "_text"]
+    rows = docs.withColumn("_text", F.xxhash64("text"))
+    plan = mixture.mix_to_targets(rows, keep=key).groupBy(*key).agg(F.max("copies").alias("_copies")).filter("_copies > 0")
+    plan = plan.select(*[F.col(c).alias(f"_{c}") for c in key], "_copies")
+    same = [rows[c].eqNullSafe(plan[f"_{c}"]) for c in key]
+    taken = rows.join(plan, same[0] & same[1] & same[2])
     repeats = F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int"))).alias("_copy")
     return taken.select(*COLUMNS, repeats).select(*COLUMNS)
 
