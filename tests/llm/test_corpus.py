@@ -111,6 +111,26 @@ def test_near_duplicates_without_ids_and_with_repeats(spark):
     assert {(r.doc_id, r.kept) for r in got} == {(None, True), (4, True), (7, False)}
 
 
+def test_mixed_buckets_are_compared_in_blocks(docs, rows, spark):
+    want = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()}
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(docs, block=2).collect()} == want
+
+
+def test_recall_of_near_copies_by_similarity(spark):
+    """Pairs at similarities of 0.8 and more, one document of 200 words and one with some words changed."""
+    rng, rows = random.Random(21), []
+    for i in range(150):
+        w = sentence(rng, 200).split()
+        rows.append((2 * i, " ".join(w)))
+        for k in range(1 + i % 3):
+            w[20 + 60 * k] = f"new{i}x{k}"
+        rows.append((2 * i + 1, " ".join(w)))
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: shingles(t) for i, t in rows}
+    near = [i for i in range(0, 300, 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])]
+    assert len(near) > 100 and sum(got[i] == got[i + 1] for i in near) >= 0.99 * len(near)
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(3)
     common, own = rng.integers(0, 2**63, 300, dtype=np.uint64), rng.integers(0, 2**63, 200, dtype=np.uint64)
@@ -138,6 +158,8 @@ def test_substrings_match_brute_force(docs, rows, spark):
     small = {r.doc_id: (r.n_words, r.n_removed) for r in substring.dedup_substrings(docs.select("doc_id", "text"), block_bytes=2000).collect()}
     assert small == {i: v[:2] for i, v in want.items()}
     assert substring.op4_substring(empty(spark)).count() == 0
+    clash = substring.dedup_substrings(docs.withColumn("n_removed", F.lit("x")).withColumn("kept_text", F.lit(1)))
+    assert len(set(clash.columns)) == len(clash.columns) and {r.doc_id: r.n_removed for r in clash.collect()} == {i: v[1] for i, v in want.items()}
 
 
 def test_the_cover_meets_every_shift():
@@ -162,6 +184,38 @@ def test_edited_texts_and_fingerprints(docs, rows):
     assert np.mean([r.near_edited for r in long]) > np.mean([r.near_next for r in long]) + 0.1
 
 
+def test_fingerprints_of_repeated_rows_and_null_ids(spark):
+    rows = [(2, "b b c d e f g h"), (2, "b b c d e f g h"), (2, "b b c d e f g h"), (5, "q r s t u v w x y"), (None, "z y"), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    got = simhash.op5_fingerprints(docs).collect()
+    assert collections.Counter((r.doc_id, r.n_chars) for r in got) == collections.Counter((i, len(t or "")) for i, t in rows)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    text = rows[0][1]
+    want = [sha(text[: len(text) - 3] + text[:3])] * 2 + [sha(text[: len(text) - 3] + rows[3][1][:3])]
+    assert sorted(r.edited_sha256 for r in got if r.doc_id == 2) == sorted(want)
+    alone = simhash.op5_fingerprints(docs.filter("doc_id = 2")).collect()
+    assert len(alone) == 3 and {r.edited_sha256 for r in alone} == {want[0]}
+
+
+def test_fingerprints_match_plain_votes(docs, rows, spark):
+    """Votes of Spark's hash of every word five-gram, counted bit by bit."""
+    grams, texts = {}, {}
+    for r in rows[:20]:
+        w = WORD.findall(r[1] or "")[:400]
+        texts[r[0]] = " ".join(w)
+        grams[r[0]] = [w[i : i + 5] for i in range(max(1, len(w) - 4))] if w else []
+    flat = sorted({tuple(g) for v in grams.values() for g in v})
+    at = spark.createDataFrame([(i, list(g)) for i, g in enumerate(flat)], "i int, g array<string>").withColumn("h", F.transform("g", lambda x: F.xxhash64(x)))
+    chained = at.select("i", F.expr("xxhash64(get(h, 0), get(h, 1), get(h, 2), get(h, 3), get(h, 4))").alias("x")).collect()
+    hashed = {flat[r.i]: r.x & (2**64 - 1) for r in chained}
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.fp & (2**64 - 1) for r in simhash.fingerprints(table, ["doc_id"], "text").collect()}
+    for i, v in grams.items():
+        votes = [hashed[tuple(g)] for g in v]
+        want = sum(1 << b for b in range(64) if sum(x >> b & 1 for x in votes) * 2 > len(votes))
+        assert got[i] == want
+
+
 def test_block_tables_find_all_within_the_radius(spark):
     rng = random.Random(5)
     seeds = [rng.getrandbits(64) for _ in range(30)]
@@ -279,7 +333,6 @@ def test_code_lengths_match_a_plain_ppm(spark):
                 for k in range(langid.ORDER + 1):
                     if at - k >= 0:
                         counts[(k, s[at - k : at], s[at])] += 1
-    counts = {x: n for x, n in counts.items() if n > 1 or x[0] < langid.ORDER - 1}
 
     def bits(word):
         s, total = " " + word + " ", 0.0

@@ -65,6 +65,17 @@ def test_repeated_rows_and_copies_without_id_stay_once(spark, tmp_path):
     assert sorted(cut, key=str) == sorted(got, key=str)
 
 
+def test_nothing_goes_without_labels_and_mixing_counts_rows(spark, tmp_path):
+    rng = random.Random(13)
+    rows = [(i % 30, sentence(rng, 40), "en", f"s{i % 2}", 5) for i in range(60)] + [(None, sentence(rng, 40), "en", "s0", 5), (3, None, None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == len(rows)
+    mixed = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.mix_sources(spark, docs, str(tmp_path)).collect())
+    assert max(mixed.values()) == 2 and set(mixed) <= {r[:2] for r in rows}
+    assert abs(sum(n * 40 for n in mixed.values()) - 1.5 * 61 * 40) <= 160
+
+
 def test_every_operator_has_a_query():
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES)
     assert numbers == list(range(1, 11))
