@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import dealt_rows
-from .words import distinct, member, slices, words
+from .common import materialize
+from .words import distinct, member, mix, slices, words
 
 #: BM25's usual constants.
 K1, B = 1.2, 0.75
@@ -29,10 +31,12 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.forget()
 
     def forget(self) -> None:
-        self.hash, self.begin, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint16)
+        none = np.zeros(0, np.int32)
+        self.old, self.new, self.ids = (np.zeros(0, np.uint64), none, none), (np.zeros(0, np.uint64), none, none), np.zeros(0, self.kind)
 
     @classmethod
     def of(cls, path: str) -> "WordTokens":
@@ -43,22 +47,32 @@ class WordTokens:
     def lookup(self, hashes: np.ndarray, text_of) -> tuple[np.ndarray, np.ndarray]:
         """First id and number of ids, in ``self.ids``, of distinct words by their ascending hashes;
         ``text_of`` gives the strings of chosen ones."""
-        if len(self.hash) + len(hashes) > self.most:
+        if len(self.old[0]) + len(self.new[0]) + len(hashes) > self.most:
             self.forget()
-        at = np.searchsorted(self.hash, hashes)
-        new = np.flatnonzero(~member(hashes, self.hash))
-        if len(new):
+        missing = np.flatnonzero(~member(hashes, self.old[0]) & ~member(hashes, self.new[0]))
+        if len(missing):
             sizes, parts = [], []
-            for low in range(0, len(new), 4096):  # a batch's encodings take a kilobyte a word
-                got = [e.ids for e in self.tokenizer.encode_batch_fast(text_of(new[low : low + 4096]), add_special_tokens=False)]
+            for low in range(0, len(missing), 4096):  # a batch's encodings take a kilobyte a word
+                got = [e.ids for e in self.tokenizer.encode_batch_fast(text_of(missing[low : low + 4096]), add_special_tokens=False)]
                 sizes.append(np.fromiter(map(len, got), np.int32, len(got)))
-                parts.append(np.fromiter(chain.from_iterable(got), np.uint16, int(sizes[-1].sum())))
+                parts.append(np.fromiter(chain.from_iterable(got), self.kind, int(sizes[-1].sum())))
             size, ids = np.concatenate(sizes), np.concatenate(parts)
             begin = (np.cumsum(size, dtype=np.int64) - size + len(self.ids)).astype(np.int32)
             self.ids = np.concatenate([self.ids, ids])
-            self.hash, self.begin, self.size = (np.insert(old, at[new], x) for old, x in ((self.hash, hashes[new]), (self.begin, begin), (self.size, size)))
-            at = np.searchsorted(self.hash, hashes)
-        return self.begin[at].astype(np.int64), self.size[at].astype(np.int64)
+            self.new = self._with(self.new, (hashes[missing], begin, size))
+            if len(self.new[0]) > 65536:  # new words go into a small table first
+                self.old, self.new = self._with(self.old, self.new), tuple(x[:0] for x in self.new)
+        begin, size = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        for hash_, first, long in (self.old, self.new):
+            here = np.flatnonzero(member(hashes, hash_))
+            at = np.searchsorted(hash_, hashes[here])
+            begin[here], size[here] = first[at], long[at]
+        return begin, size
+
+    @staticmethod
+    def _with(table: tuple, more: tuple) -> tuple:
+        at = np.searchsorted(table[0], more[0])
+        return tuple(np.insert(old, at, x) for old, x in zip(table, more))
 
 
 def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -67,50 +81,109 @@ def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(begin - (to - size), size) + np.arange(to[-1] if len(to) else 0)
 
 
-def tokenize(table: pa.Table, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of all texts, each closed by ``end_id``, the n+1 offsets of the texts, and for the
-    index the word hashes with the text of each."""
-    cache, ids, sizes, terms, owners, done = WordTokens.of(path), [], [], [], [], 0
-    for part in slices(table, "text"):
-        w = words(part.column("text"))
-        first, number = distinct(w)
+def tokenize(column: pa.Array, cache: WordTokens, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, each closed by ``end_id``, and the n+1 offsets of the texts."""
+    w = words(column)
+    first, number = distinct(w)
 
-        def text_of(new: np.ndarray, w=w, first=first) -> list[str]:
-            raw, _ = w.bytes_of(first[new])
-            return raw.tobytes().decode("utf-8", errors="replace").split(" ")[:-1]
+    def text_of(new: np.ndarray) -> list[str]:
+        raw, _ = w.bytes_of(first[new])
+        return raw.tobytes().decode("utf-8", errors="replace").split(" ")[:-1]
 
-        begin, size = cache.lookup(w.hash[first], text_of)
-        n = np.concatenate([[0], np.cumsum(size[number])])[w.ptr]
-        flat = cache.ids[_ranges(begin[number], size[number])]
-        ids.append(np.insert(flat, n[1:], end_id))
-        sizes.append(np.diff(n) + 1)
-        terms.append(w.hash)
-        owners.append(w.text + done)
-        done += part.num_rows
-    return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), np.concatenate(terms), np.concatenate(owners)
+    begin, size = cache.lookup(w.hash[first], text_of)
+    n = np.concatenate([[0], np.cumsum(size[number])])[w.ptr]
+    flat = cache.ids[_ranges(begin[number], size[number])]
+    return np.insert(flat, n[1:], end_id), n + np.arange(len(n))
+
+
+def token_ids(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """(doc_id, ids): every row's token ids as little-endian numbers of two bytes (four for a large vocabulary)."""
+
+    def tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordTokens.of(tokenizer)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                ids, at = tokenize(part.column("text"), cache, end_id)
+                offsets = pa.py_buffer((at * ids.itemsize).astype(np.int32))
+                body = pa.BinaryArray.from_buffers(pa.binary(), part.num_rows, [None, offsets, pa.py_buffer(ids.tobytes())])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), body], ["doc_id", "ids"])
+
+    return docs.select("doc_id", "text").mapInArrow(tokenized, "doc_id long, ids binary")
+
+
+def _flat(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a binary column's rows, and the n+1 offsets of the rows."""
+    raw = [x.as_py() for x in column]
+    return np.frombuffer(b"".join(raw), kind), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64) // np.dtype(kind).itemsize
+
+
+def _terms(ids: np.ndarray, at: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (row, id) pairs and how often each occurs."""
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    pair, tf = np.unique(row * np.int64(kinds) + ids, return_counts=True)
+    return pair // kinds, pair % kinds, tf
+
+
+class Weights:
+    """What BM25 knows of the whole corpus: each id's weight (0 for ids in one document only or in half
+    of them or more), and the documents' mean length."""
+
+    def __init__(self, df: np.ndarray, documents: int, mean: float):
+        self.idf = np.where((df >= 2) & (2 * df < documents), np.log((documents - df + 0.5) / (df + 0.5)), 0.0)
+        self.mean = mean
+
+
+def corpus_weights(tokens: DataFrame, kinds: int, kind: type) -> Weights:
+    """Document frequencies of all ids over all rows; as many numbers as the vocabulary reach the driver."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(kinds, dtype=np.int64)
+        for batch in batches:
+            _, term, _ = _terms(*_flat(batch.column("ids"), kind), kinds)
+            df += np.bincount(term, minlength=kinds)
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], ["id", "df"])
+
+    got = tokens.select("ids").mapInArrow(counted, "id long, df long").groupBy("id").agg(F.sum("df").alias("df")).toPandas()
+    df = np.zeros(kinds, dtype=np.int64)
+    df[got["id"].to_numpy(np.int64)] = got["df"].to_numpy(np.int64)
+    n = tokens.agg(F.count("*").alias("rows"), F.sum(F.octet_length("ids")).alias("bytes")).first()
+    return Weights(df, n["rows"], (n["bytes"] or 0) / np.dtype(kind).itemsize / max(1, n["rows"]))
+
+
+def routes(ids: np.ndarray, at: np.ndarray, weights: Weights, seeds: tuple[int, ...] = (1, 2)) -> list[np.ndarray]:
+    """For each seed one of the row's terms, drawn by weighted min-hashing: rows draw the same term with
+    the share of weight that they have in common. -1 for rows without terms of weight."""
+    row, term, _ = _terms(ids, at, len(weights.idf))
+    use = weights.idf[term] > 0
+    row, term = row[use], term[use]
+    out = []
+    for seed in seeds:
+        u = (mix(term.astype(np.uint64) + np.uint64(seed << 32)) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
+        rank = -np.log(u) / weights.idf[term]
+        order = np.lexsort((rank, row))
+        first = order[np.concatenate([[True], row[order][1:] != row[order][:-1]])] if len(row) else order
+        key = np.full(len(at) - 1, -1, dtype=np.int64)
+        key[row[first]] = (mix(term[first].astype(np.uint64) + np.uint64(seed)) >> np.uint64(1)).astype(np.int64)
+        out.append(key)
+    return out
 
 
 class Index:
-    """BM25 postings of a shard: terms in two documents at least and in half of them at most
-    (a more common term has no positive weight, a rarer one finds nothing else)."""
-
-    def __init__(self, terms: np.ndarray, owner: np.ndarray, documents: int):
-        _, term = np.unique(terms, return_inverse=True)
-        kinds = int(term.max()) + 1 if len(term) else 1
-        pair, tf = np.unique(owner * np.int64(kinds) + term, return_counts=True)
-        doc, term = pair // kinds, pair % kinds
-        df = np.bincount(term, minlength=kinds)
-        length = np.bincount(owner, minlength=documents)
-        norm = K1 * (1 - B + B * length / max(1e-9, length.mean()))
-        use = (df[term] >= 2) & (2 * df[term] <= documents)
+    """BM25 postings of a shard, with the weights of the whole corpus; terms that only one of its
+    documents has are left out, as they find nothing else here."""
+
+    def __init__(self, ids: np.ndarray, at: np.ndarray, weights: Weights):
+        kinds, self.documents = len(weights.idf), len(at) - 1
+        doc, term, tf = _terms(ids, at, kinds)
+        use = (weights.idf[term] > 0) & (np.bincount(term, minlength=kinds)[term] >= 2)
         doc, term, tf = doc[use], term[use], tf[use]
-        idf = np.log((documents - df + 0.5) / (df + 0.5))
-        self.documents = documents
-        self.of_doc = np.searchsorted(doc, np.arange(documents + 1))
+        norm = K1 * (1 - B + B * np.diff(at) / max(1e-9, weights.mean))
+        self.of_doc = np.searchsorted(doc, np.arange(self.documents + 1))
         self.term = term
         order = np.argsort(term, kind="stable")
         self.post_doc = doc[order]
-        self.post = (idf[term] * tf * (K1 + 1) / (tf + norm[doc]))[order]
+        self.post = (weights.idf[term] * tf * (K1 + 1) / (tf + norm[doc]))[order]
         self.of_term = np.searchsorted(term[order], np.arange(kinds + 1))
 
     def scores(self, seed: int) -> np.ndarray:
@@ -120,12 +193,13 @@ class Index:
         return np.bincount(self.post_doc[at], self.post[at], self.documents)
 
 
-def _order(index: Index, sizes: np.ndarray, room: int) -> np.ndarray:
+def packing_order(index: Index, sizes: np.ndarray, same: np.ndarray, room: int) -> np.ndarray:
     """All documents of a shard in packing order: a window's seed is the document that the last
-    window cut (or the first unused one); its best unused neighbours follow until it is full."""
+    window cut (or the first unused one); its best unused neighbours follow until it is full. A
+    document equal (``same``) to one of the window waits for another window."""
     n = len(sizes)
     unused, order, low = np.ones(n, dtype=bool), [], 0
-    seed, filled = None, 0
+    seed, filled, held = None, 0, set()
     while len(order) < n:
         if seed is None:
             while not unused[low]:
@@ -134,6 +208,7 @@ def _order(index: Index, sizes: np.ndarray, room: int) -> np.ndarray:
             order.append(seed)
             unused[seed] = False
             filled += sizes[seed]
+        held = {same[seed]}
         left = (-filled) % room  # of the seed's window
         score = index.scores(seed)
         score[~unused] = -1
@@ -142,7 +217,11 @@ def _order(index: Index, sizes: np.ndarray, room: int) -> np.ndarray:
             best = int(score.argmax())
             if score[best] < 0:
                 break
-            score[best], unused[best] = -1, False
+            score[best] = -1
+            if same[best] in held:
+                continue
+            unused[best] = False
+            held.add(same[best])
             order.append(best)
             filled += sizes[best]
             if sizes[best] > left:
@@ -151,10 +230,10 @@ def _order(index: Index, sizes: np.ndarray, room: int) -> np.ndarray:
     return np.array(order)
 
 
-def pack_shard(table: pa.Table, path: str, end_id: int, room: int, shard: int) -> dict[str, np.ndarray]:
-    ids, at, terms, owner = tokenize(table, path, end_id)
+def pack_shard(table: pa.Table, weights: Weights, kind: type, room: int, shard: int) -> dict[str, np.ndarray]:
+    ids, at = _flat(table.column("ids"), kind)
     sizes = np.diff(at)
-    order = _order(Index(terms, owner, len(sizes)), sizes, room)
+    order = packing_order(Index(ids, at, weights), sizes, table.column("same").to_numpy(), room)
     ends = np.cumsum(sizes[order])
     total = int(ends[-1])
     # sequence bounds: full windows, then the rest in powers of two, so that nothing is padded
@@ -174,38 +253,72 @@ def pack_shard(table: pa.Table, path: str, end_id: int, room: int, shard: int) -
     crc = np.array([zlib.crc32(raw[a : a + n]) for a, n in zip(at[doc] + start, length)], dtype=np.int64)
     return {
         "row": doc, "start": start, "length": length, "ids_crc32": crc, "doc_tokens": sizes[doc],
-        "sequence_id": sequence + np.int64(shard) * (1 << 32), "offset": begin - bounds[sequence],
+        "sequence_id": sequence + np.int64(shard) * (1 << 20), "offset": begin - bounds[sequence],
         "ids": [raw[a : a + n] for a, n in zip(at[doc] + start, length)],
     }
 
 
-def pack(docs: DataFrame, tokenizer: str, room: int = 2048, end_id: int = 1, shard_bytes: int = 4 << 20, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, room: int = 2048, end_id: int = 1, shard_tokens: int = 1 << 20, with_ids: bool = False) -> DataFrame:
     """Packs every row of ``docs`` (doc_id, text) into sequences of ``room`` tokens.
 
     One row per piece of a document in a sequence: doc_id, start (the document's tokens before
     it), length, ids_crc32, doc_tokens (with the end token), sequence_id, offset, and with
     ``with_ids`` the piece's token ids. A null text is empty: one piece with the end token.
 
-    Rows are dealt by doc_id into shards of about ``shard_bytes`` of text (one shuffle). Every
-    shard has its own BM25 inverted index over words, so no posting list outgrows a shard; a
-    window's seed is followed by its best unused neighbours of the shard, in order of score
-    (ties: by doc_id), and the document that overflows the window is cut and seeds the next.
-    Only a shard's last window can be short; it is cut into powers of two, which need no padding.
-    Rows repeated with one doc_id are packed each for itself.
+    Texts are tokenized once and written as ids. The index's terms are token ids, so document
+    frequencies, number and mean length of all documents are one table of the vocabulary's size. Rows are
+    routed to shards of about ``shard_tokens`` tokens by two of their own terms, drawn by weighted min-hashing:
+    documents with much weight in common draw the same terms and lie side by side in the range
+    partitioning (one shuffle; a frequent route is split by the second term, the text and the id). A
+    shard has its own BM25 index with the corpus's weights, so no posting list outgrows a shard; a
+    window's seed is followed by its best unused neighbours of the shard, in order of score,
+    and the document that overflows the window is cut and seeds the next. Equal
+    documents aren't put into one window while there are others. Only a shard's last window can be
+    short; it is cut into powers of two, which need no padding.
+
+    Rows that repeat an id, and rows without one, are packed each for itself; an empty table gives none.
     """
-    dealt, _ = dealt_rows(docs.select("doc_id", "text"), "text", shard_bytes)
+    cache = WordTokens.of(tokenizer)
+    kind, kinds = cache.kind, max(cache.tokenizer.get_vocab_size(), end_id + 1)
+    tokens = materialize(token_ids(docs, tokenizer, end_id))
+    weights = corpus_weights(tokens, kinds, kind)
+    total = tokens.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+    sent = docs.sparkSession.sparkContext.broadcast(weights)  # as long as the vocabulary
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
-    def packed(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        got = pack_shard(table, tokenizer, end_id, room, table.column("_block")[0].as_py())
-        out = {"doc_id": table.column("doc_id").take(pa.array(got["row"]))} | {c: pa.array(got[c], pa.int64()) for c in names}
-        if with_ids:
-            out["ids"] = pa.array([x.astype(np.int32) for x in got["ids"]], pa.list_(pa.int32()))
-        return pa.table(out)
-
+    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, second = routes(*_flat(batch.column("ids"), kind), sent.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first), pa.array(second)], ["doc_id", "ids", "same", "k1", "k2"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        def emit(rows: list[pa.RecordBatch], shard: int) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(rows)
+            got = pack_shard(table, sent.value, kind, room, shard)
+            out = [table.column("doc_id").combine_chunks().take(pa.array(got["row"])), *(pa.array(got[c], pa.int64()) for c in names)]
+            if with_ids:
+                out.append(pa.array([x.astype(np.int32) for x in got["ids"]], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", *names, *(["ids"] if with_ids else [])])
+
+        held, size, shard = [], 0, TaskContext.get().partitionId() << 20
+        for batch in batches:
+            for part in slices(batch, "ids", shard_tokens * np.dtype(kind).itemsize // 4):
+                held.append(part)
+                size += part.column("ids").nbytes
+                if size >= shard_tokens * np.dtype(kind).itemsize:
+                    yield from emit(held, shard)
+                    held, size, shard = [], 0, shard + 1
+        if held:
+            yield from emit(held, shard)
+
+    order = ["k1", "k2", "same", "doc_id"]
+    marked = tokens.withColumn("same", F.xxhash64("ids")).mapInArrow(routed, "doc_id long, ids binary, same long, k1 long, k2 long")
+    shards = total // (shard_tokens * np.dtype(kind).itemsize) + 1
+    dealt = marked.repartitionByRange(int(shards), *order).sortWithinPartitions(*order)
     schema = ", ".join(f"{c} long" for c in ["doc_id", *names]) + (", ids array<int>" if with_ids else "")
-    return dealt.groupBy("_block").applyInArrow(packed, schema)
+    return dealt.select("doc_id", "ids", "same").mapInArrow(packed, schema)
 
 
 def op2_packing(docs: DataFrame) -> DataFrame:

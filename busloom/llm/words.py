@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE = 1 << 20
 _BASE, _STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd multipliers of the two rolling hashes
@@ -62,11 +63,12 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
 
 
 def slices(table: pa.Table | pa.RecordBatch, text: str, limit: int = SLICE) -> Iterator[pa.Table | pa.RecordBatch]:
-    """Parts of the rows with at most ``limit`` bytes of text each, one row at least."""
+    """Parts of the rows with at most ``limit`` bytes of text (or of a binary column) each, one row at least."""
     column = table.column(text)
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    sizes = np.cumsum(np.diff(text_bytes(column)[1]) + 16)
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = np.cumsum(lengths + 16)
     low = 0
     while low < len(sizes):
         before = sizes[low - 1] if low else 0

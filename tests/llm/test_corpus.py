@@ -282,7 +282,7 @@ def test_packing_loses_and_pads_nothing(docs, rows, spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
     ids = {r[0]: t.encode(r[1] or "", add_special_tokens=False).ids + [1] for r in rows}
-    got = packing.pack(docs, path, shard_bytes=20_000, with_ids=True).collect()
+    got = packing.pack(docs, path, shard_tokens=8_000, with_ids=True).collect()
     pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
     for r in got:
         assert list(r.ids) == ids[r.doc_id][r.start : r.start + r.length] and r.doc_tokens == len(ids[r.doc_id])
@@ -295,12 +295,72 @@ def test_packing_loses_and_pads_nothing(docs, rows, spark):
     assert packing.pack(empty(spark), path).count() == 0
 
 
-def test_neighbours_share_rare_words():
-    terms = np.array([1, 2, 3, 1, 2, 9, 7, 8, 9, 7, 8, 4, 5, 6, 4], dtype=np.uint64)
-    owner = np.array([0, 0, 0, 1, 1, 1, 2, 2, 2, 3, 3, 3, 4, 4, 5])
-    index = packing.Index(terms, owner, 6)
-    score = index.scores(0)
-    assert score[1] > 0 and score[2] == score[4] == 0
+def plain_bm25(docs, seed, weights):
+    """BM25 of every document for the seed's terms, straight from the formula."""
+    tf = [collections.Counter(d) for d in docs]
+    out = []
+    for d, c in zip(docs, tf):
+        norm = packing.K1 * (1 - packing.B + packing.B * len(d) / weights.mean)
+        out.append(sum(weights.idf[t] * c[t] * (packing.K1 + 1) / (c[t] + norm) for t in set(docs[seed]) if c[t]))
+    return out
+
+
+def test_neighbours_by_plain_bm25():
+    rng = np.random.default_rng(3)
+    docs = [rng.zipf(1.3, rng.integers(3, 40)) % 50 for _ in range(30)]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=50)
+    weights = packing.Weights(df, len(docs), np.mean([len(d) for d in docs]))
+    assert all(weights.idf[t] == (math.log((30 - n + 0.5) / (n + 0.5)) if 2 <= n < 15 else 0) for t, n in enumerate(df))
+    at = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    index = packing.Index(np.concatenate(docs), at, weights)
+    for seed in range(30):
+        got, want = index.scores(seed), np.array(plain_bm25([d.tolist() for d in docs], seed, weights))
+        other = np.arange(30) != seed  # terms of the seed alone find only itself
+        assert np.allclose(got[other], want[other])
+    sizes, same = np.diff(at), np.arange(30) // 2
+    order, room = packing.packing_order(index, sizes, same, 64), 64
+    assert sorted(order) == list(range(30))
+    scores, unused, filled, k, seed = None, set(range(30)), 0, 0, None
+    while unused:  # the same greedy walk with plain lists
+        if seed is None:
+            seed = min(unused)
+            assert order[k] == seed
+            unused.discard(seed)
+            filled, k = filled + sizes[seed], k + 1
+        left, scores, held, seed = -filled % room, index.scores(seed), {same[seed]}, None
+        while left > 0:
+            ranked = sorted((-scores[d], d) for d in unused if same[d] not in held)
+            if not ranked:
+                break
+            best = ranked[0][1]
+            assert order[k] == best
+            unused.discard(best)
+            held.add(same[best])
+            filled, k = filled + sizes[best], k + 1
+            seed = best if sizes[best] > left else None
+            left -= min(left, sizes[best])
+
+
+def test_related_documents_share_shards(spark):
+    import public_tokenizers
+
+    rng, rows = random.Random(5), []
+    for topic in range(40):
+        stems = ["".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(3)) for _ in range(12)]
+        rows += [(topic * 100 + k, sentence(rng, 120, stems)) for k in range(6)]
+    rows += [(9000 + i, rows[0][1]) for i in range(2)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), shard_tokens=20_000).collect()
+    met, pieces = collections.defaultdict(set), collections.Counter()
+    for r in got:
+        met[r.sequence_id].add(r.doc_id)
+        pieces[r.doc_id] += r.length
+    pairs = [(a // 100, b // 100) for s in met.values() for a in s for b in s if a < b < 9000]
+    assert len({r.sequence_id >> 20 for r in got}) > 3 and np.mean([a == b for a, b in pairs]) > 0.5  # by chance: 0.02
+    assert all(pieces[r.doc_id] == r.doc_tokens for r in got)
+    again = {(r.doc_id, r.start, r.sequence_id) for r in packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), shard_tokens=20_000).collect()}
+    assert again == {(r.doc_id, r.start, r.sequence_id) for r in got}
 
 
 def test_language_on_held_out_rows(spark):
