@@ -98,21 +98,24 @@ class Heads:
     def names(self) -> np.ndarray:
         return mix((self.before + self.style.astype(np.uint64)) * _JOIN + self.byte[:, 0].astype(np.uint64) * np.uint64(256) + self.byte[:, 1])
 
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes in turn, head by head (its number beside), with a key a context."""
+    def bytes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each byte to code, head by head, with its head's number."""
         head, place = np.nonzero(self.byte)
-        byte = self.byte[head, place].astype(np.int64)
-        seen = np.concatenate([self.last, self.byte], axis=1).astype(np.uint64)
-        keys = np.zeros((CONTEXTS, len(head)), dtype=np.uint64)
+        return head.astype(np.int32), self.byte[head, place]
+
+    def keys(self) -> Iterator[tuple[np.ndarray | None, np.ndarray]]:
+        """For each context the bytes for which it is used (None: all) and their keys."""
+        head, place = np.nonzero(self.byte)
+        path = PATH[self.byte[head, place]]
+        seen = np.concatenate([self.last, self.byte], axis=1)
         style = _styled(self.style)[head]
         context = style
         for k in range(1, max(ORDERS) + 1):
-            context = (context + seen[head, place + 4 - k] + np.uint64(1)) * _NEXT
-            keys[k - 1] = mix(context + _SALTS[k - 1]) & ~_LOW | PATH[byte]
+            context = (context + seen[head, place + 4 - k].astype(np.uint64) + np.uint64(1)) * _NEXT
+            yield None, mix(context + _SALTS[k - 1]) & ~_LOW | path
         own = np.where(place > 0, self.byte[head, 0] + np.uint64(1), np.uint64(0))
-        keys[-2] = mix(style + own + _SALTS[-2]) & ~_LOW | PATH[byte]
-        keys[-1] = mix(mix(self.before[head]) + own * _JOIN + style + _SALTS[-1]) & ~_LOW | PATH[byte]
-        return head, byte, keys
+        yield None, mix(style + own + _SALTS[-2]) & ~_LOW | path
+        yield None, mix(mix(self.before[head]) + own * _JOIN + style + _SALTS[-1]) & ~_LOW | path
 
 
 def _styled(style: np.ndarray) -> np.ndarray:
@@ -131,28 +134,35 @@ class Tails:
     ptr: np.ndarray
     times: np.ndarray
 
-    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Bytes after the first HEAD ones, word by word (its number beside), with a key a context."""
+    def _coded(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         size = np.diff(self.ptr)
-        word = np.repeat(np.arange(len(size)), size)
-        place = np.arange(len(word)) - self.ptr[:-1][word]
-        values = np.concatenate([[SPACE], self.data]).astype(np.uint64) + np.uint64(1)  # values[i + 1]: byte i
+        word = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        place = (np.arange(len(word)) - self.ptr[:-1][word]).astype(np.int32)
         p = np.flatnonzero(place >= HEAD)
-        word, place = word[p], place[p]
-        byte = self.data[p].astype(np.int64)
-        keys = np.zeros((CONTEXTS, len(p)), dtype=np.uint64)
+        return p, word[p], place[p]
+
+    def bytes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each byte to code (those after the first HEAD ones), word by word, with its word's number."""
+        p, word, _ = self._coded()
+        return word, self.data[p]
+
+    def keys(self) -> Iterator[tuple[np.ndarray | None, np.ndarray]]:
+        """For each context the bytes for which it is used (None: all) and their keys."""
+        p, word, place = self._coded()
+        path = PATH[self.data[p]]
+        values = np.concatenate([[SPACE], self.data]).astype(np.uint64) + np.uint64(1)  # values[i + 1]: byte i
         style = _styled(self.style)[word]
         context = style
         for k in range(1, max(ORDERS) + 1):
             before = values[p + 1 - k] if k <= HEAD else np.where(place >= k, values[np.maximum(p + 1 - k, 0)], np.uint64(SPACE + 1))
             context = np.where(place + 1 >= k, (context + before) * _NEXT, context)
-            keys[k - 1] = mix(context + _SALTS[k - 1]) & ~_LOW | PATH[byte]
+            yield None, mix(context + _SALTS[k - 1]) & ~_LOW | path
         sums = np.zeros(len(values) + 1, dtype=np.uint64)
         np.cumsum(values * _powers(_WORD, len(values)), out=sums[1:])
         start = self.ptr[:-1][word] + 1
         so_far = (sums[p + 1] - sums[start]) * _powers(pow(_WORD, -1, 2**64), len(values) + 1)[start]
-        keys[-2] = mix(so_far + place.astype(np.uint64) * _JOIN + style + _SALTS[-2]) & ~_LOW | PATH[byte]
-        return word, byte, keys
+        yield None, mix(so_far + place.astype(np.uint64) * _JOIN + style + _SALTS[-2]) & ~_LOW | path
+        yield np.zeros(0, np.int64), path[:0]
 
 
 @dataclass
@@ -211,7 +221,7 @@ def tokens(w: Words, styles: np.ndarray) -> Read:
     heads = Heads(style[first], before[first], last[first], byte[first], np.bincount(head, minlength=len(first)))
     words_of, style_of = chosen[kinds // (len(styles) + 1)], kinds % (len(styles) + 1)
     data, ptr = w.bytes_of(words_of)
-    return Read(head, tail, text, heads, Tails(style_of, w.hash[words_of], data, ptr, np.bincount(kind, minlength=len(kinds))))
+    return Read(head.astype(np.int32), tail.astype(np.int32), text.astype(np.int32), heads, Tails(style_of, w.hash[words_of], data, ptr, np.bincount(kind, minlength=len(kinds))))
 
 
 def joined(reads: list[Read]) -> tuple[Heads, Tails, list[np.ndarray], list[np.ndarray]]:
@@ -266,21 +276,32 @@ class Coded:
     """The bytes to code of all heads or of all tails with their contexts' distinct keys."""
 
     def __init__(self, part: Heads | Tails):
-        self.of, self.byte, keys = part.keys()
-        self.times, self.count = part.times[self.of].astype(np.float64), len(part.times)
-        self.used = [np.flatnonzero(row) for row in keys]
-        self.groups = [grouped(row[used]) for row, used in zip(keys, self.used)]
+        self.of, self.byte = part.bytes()
+        self.times, self.count = part.times.astype(np.float64), len(part.times)
+        self.groups = []
+        for used, keys in part.keys():
+            runs, run = grouped(keys)
+            self.groups.append((used, runs, run.astype(np.int32)))
 
     def counts(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        return [(runs, np.bincount(run, self.times[used], len(runs)).astype(np.int64)) for used, (runs, run) in zip(self.used, self.groups)]
-
-    def places(self, keys: np.ndarray) -> np.ndarray:
-        """(contexts, bytes) places among the ascending keys; len(keys) where a context isn't used."""
-        out = np.full((CONTEXTS, len(self.of)), len(keys), dtype=np.int32)
-        for row, used, (runs, run) in zip(out, self.used, self.groups):
-            row[used] = np.searchsorted(keys, runs).astype(np.int32)[run]
+        times = self.times[self.of]
+        return [(runs, np.bincount(run, times if used is None else times[used], len(runs)).astype(np.int64)) for used, runs, run in self.groups]
+
+    def places(self, keys: np.ndarray, j: int, low: int, high: int) -> np.ndarray:
+        """Where context j of some bytes is among the ascending keys; len(keys) if it isn't used."""
+        used, runs, run = self.groups[j]
+        if used is None:
+            return self._at(keys, j)[run[low:high]]
+        out = np.full(high - low, len(keys))
+        inside = (used >= low) & (used < high)
+        out[used[inside] - low] = self._at(keys, j)[run[inside]]
         return out
 
+    def _at(self, keys: np.ndarray, j: int) -> np.ndarray:
+        if not hasattr(self, "found"):
+            self.found = [np.searchsorted(keys, runs) for _, runs, _ in self.groups]
+        return self.found[j]
+
 
 _FEW = 64
 _TABLE = codes_of(np.arange(_FEW)[:, None], np.arange(_FEW)[None, :])
@@ -365,18 +386,21 @@ def code_lengths(coded: Coded, keys: np.ndarray, codes: np.ndarray, mixer: Mixer
     """log2 probability of each head or tail; ``codes`` (DEEPEST, keys + 1) belong to the ascending ``keys``,
     the last column to contexts that aren't used. With ``learning`` every batch of bytes is first predicted
     and then learnt from, as often as it occurs."""
-    places, size, out = coded.places(keys), LENGTH[coded.byte], np.zeros(len(coded.of))
+    size, out = LENGTH[coded.byte], np.zeros(len(coded.of), dtype=np.float32)
     for low in range(0, len(out), batch):
-        at = np.arange(low, min(low + batch, len(out)))
+        high = min(low + batch, len(out))
+        places = [coded.places(keys, j, low, high) for j in range(CONTEXTS)]
+        times = coded.times[coded.of[low:high]]
+        at = np.arange(high - low)
         for depth in range(DEEPEST):
-            at = at[size[at] > depth]
+            at = at[size[low + at] > depth]
             if not len(at):
                 break
             got = [codes[depth][row[at]] for row in places]
             told = mixer.bits(got, min(depth, 1))
-            out[at] += told[0]
+            out[low + at] += told[0]
             if learning:
-                mixer.learn(min(depth, 1), got, told, coded.times[at])
+                mixer.learn(min(depth, 1), got, told, times[at])
         if learning:
             mixer.refresh()
     return np.bincount(coded.of, out, coded.count)
@@ -499,7 +523,7 @@ def nearest(features: np.ndarray, centres: np.ndarray) -> np.ndarray:
 _TRAIN, _HELD, _WORDS = 0, 1, 2
 
 
-def score_texts(docs: DataFrame, held_out, block_bytes: int = 24 << 20, part_bytes: int = 8 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, held_out, block_bytes: int = 12 << 20, part_bytes: int = 8 << 20) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): ``doc_id``, ``held_out``, ``n_tokens``,
     ``n_known``, ``train_tokens``, ``base_score``, ``score`` (both log10) and ``bits_per_byte``.
 
