@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import string
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -22,16 +24,21 @@ class WordTokens:
     """Token ids of words, kept across the batches of a Python worker.
 
     The tokenizer drops white space and splits there first, so a text's ids are those of its
-    words in turn; each distinct word is tokenized once. At most ``most`` words are kept.
+    words in turn; each distinct word is tokenized once. At most ``most`` words are kept. Where the
+    tokenizer drops the case of ASCII letters, words are told apart without it (``lower``).
     """
 
     _kept: dict[str, "WordTokens"] = {}
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 3_000_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks already use every core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        ids = lambda texts: [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        letters = [*string.ascii_uppercase, string.ascii_uppercase, "The", "aBc"]
+        self.lower = ids(letters) == ids([x.lower() for x in letters])
         self.forget()
 
     def forget(self) -> None:
@@ -83,7 +90,7 @@ def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def tokenize(column: pa.Array, cache: WordTokens, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, each closed by ``end_id``, and the n+1 offsets of the texts."""
-    w = words(column)
+    w = words(column, lower=cache.lower)
     first, number = distinct(w)
 
     def text_of(new: np.ndarray) -> list[str]:
@@ -120,8 +127,11 @@ def _flat(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
 def _terms(ids: np.ndarray, at: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (row, id) pairs and how often each occurs."""
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    pair, tf = np.unique(row * np.int64(kinds) + ids, return_counts=True)
-    return pair // kinds, pair % kinds, tf
+    pair = np.sort(row * np.int64(kinds) + ids)
+    first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
+    pair, tf = pair[first], np.diff(np.append(first, len(pair)))
+    doc = pair // kinds
+    return doc, pair - doc * kinds, tf
 
 
 class Weights:
@@ -151,22 +161,20 @@ def corpus_weights(tokens: DataFrame, kinds: int, kind: type) -> Weights:
     return Weights(df, n["rows"], (n["bytes"] or 0) / np.dtype(kind).itemsize / max(1, n["rows"]))
 
 
-def routes(ids: np.ndarray, at: np.ndarray, weights: Weights, seeds: tuple[int, ...] = (1, 2)) -> list[np.ndarray]:
-    """For each seed one of the row's terms, drawn by weighted min-hashing: rows draw the same term with
-    the share of weight that they have in common. -1 for rows without terms of weight."""
-    row, term, _ = _terms(ids, at, len(weights.idf))
-    use = weights.idf[term] > 0
-    row, term = row[use], term[use]
-    out = []
+def route_ranks(weights: Weights, seeds: tuple[int, ...] = (1, 2)) -> np.ndarray:
+    """For each seed the rank of every id in weighted min-hashing: the smallest of a row's ranks is its
+    route, so two rows share a route with the share of weight that they have in common."""
+    ids, out = np.arange(len(weights.idf), dtype=np.uint64), []
     for seed in seeds:
-        u = (mix(term.astype(np.uint64) + np.uint64(seed << 32)) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
-        rank = -np.log(u) / weights.idf[term]
-        order = np.lexsort((rank, row))
-        first = order[np.concatenate([[True], row[order][1:] != row[order][:-1]])] if len(row) else order
-        key = np.full(len(at) - 1, -1, dtype=np.int64)
-        key[row[first]] = (mix(term[first].astype(np.uint64) + np.uint64(seed)) >> np.uint64(1)).astype(np.int64)
-        out.append(key)
-    return out
+        u = (mix(ids + np.uint64(seed << 32)) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
+        out.append(np.where(weights.idf > 0, -np.log(u) / np.maximum(weights.idf, 1e-9), np.inf))
+    return np.stack(out)
+
+
+def routes(ids: np.ndarray, at: np.ndarray, ranks: np.ndarray) -> list[np.ndarray]:
+    """Each row's routes as numbers (one for all rows without terms of weight)."""
+    smallest = (np.minimum.reduceat(r[ids], at[:-1]) if len(at) > 1 else np.zeros(0) for r in ranks)
+    return [(mix(x.view(np.uint64)) >> np.uint64(1)).astype(np.int64) for x in smallest]
 
 
 class Index:
@@ -181,7 +189,7 @@ class Index:
         norm = K1 * (1 - B + B * np.diff(at) / max(1e-9, weights.mean))
         self.of_doc = np.searchsorted(doc, np.arange(self.documents + 1))
         self.term = term
-        order = np.argsort(term, kind="stable")
+        order = np.argsort(term.astype(np.uint16 if kinds <= 1 << 16 else np.int64), kind="stable")
         self.post_doc = doc[order]
         self.post = (weights.idf[term] * tf * (K1 + 1) / (tf + norm[doc]))[order]
         self.of_term = np.searchsorted(term[order], np.arange(kinds + 1))
@@ -287,8 +295,9 @@ def pack(docs: DataFrame, tokenizer: str, room: int = 2048, end_id: int = 1, sha
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = route_ranks(sent.value)
         for batch in batches:
-            first, second = routes(*_flat(batch.column("ids"), kind), sent.value)
+            first, second = routes(*_flat(batch.column("ids"), kind), ranks)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first), pa.array(second)], ["doc_id", "ids", "same", "k1", "k2"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
