@@ -1,8 +1,8 @@
 """LM scoring by online logistic context mixing over the bits of a text's bytes.
 
 Every byte is coded bit by bit. Contexts are hashes of what was read before it: the last one to four
-bytes, the word so far, and the word before together with the word so far, each together with the
-style that the text has shown so far. Each context is a bit predictor with counts over all training text; adaptive tables turn its counts
+bytes (across the word's start) and the word so far, each together with the style that the text has
+shown so far. Each context is a bit predictor with counts over all training text; adaptive tables turn its counts
 into a probability, logistic mixing with weights gated by the longest context seen joins the
 predictors, and a last adaptive table refines the result. Weights and tables are learnt online.
 """
@@ -22,10 +22,10 @@ from .common import dealt_rows, materialize
 from .training import fold
 from .words import Words, _powers, distinct, lower_ascii, mix, slices, text_bytes, words
 
-#: Contexts: so many bytes before, the word so far, and the word before with the word so far. The first
-#: HEAD bytes of a word see bytes of the word before (it and its last bytes), the others their own word.
+#: Contexts: so many bytes before, and the word so far. The first HEAD bytes of a word see the last bytes
+#: of the word before, the others their own word.
 ORDERS, HEAD = (1, 2, 3, 4), 2
-CONTEXTS = len(ORDERS) + 2
+CONTEXTS = len(ORDERS) + 1
 END, SPACE = 10, 32  # the byte that closes a text, and the one that closes a word
 _JOIN, _NEXT = np.uint64(0xA24BAED4963EE407), np.uint64(0x9E3779B97F4A7C15)
 _SALTS = mix(np.arange(1, CONTEXTS + 1, dtype=np.uint64) * _NEXT)
@@ -86,25 +86,27 @@ _SURE = np.where(np.arange(len(PLAIN)) < 16, 0, 1 + (np.arange(len(PLAIN)) - 16)
 
 @dataclass
 class Heads:
-    """Starts of tokens: the style so far, the word before (hash; 1 at a text's start), its last three bytes and the
-    space after it (oldest first, 0 where there are none), and the first bytes (0: none)."""
+    """Starts of tokens: the style so far, the last three bytes of the word before and the space after
+    it (oldest first, 0 where there are none), and the first bytes (0: none)."""
 
     style: np.ndarray
-    before: np.ndarray
     last: np.ndarray
     byte: np.ndarray
     times: np.ndarray
 
     def names(self) -> np.ndarray:
-        return mix((self.before + self.style.astype(np.uint64)) * _JOIN + self.byte[:, 0].astype(np.uint64) * np.uint64(256) + self.byte[:, 1])
+        out = self.style.astype(np.uint64)
+        for column in (*self.last.T, *self.byte.T):
+            out = out * np.uint64(256) + column
+        return out
 
     def bytes(self) -> tuple[np.ndarray, np.ndarray]:
         """Each byte to code, head by head, with its head's number."""
         head, place = np.nonzero(self.byte)
         return head.astype(np.int32), self.byte[head, place]
 
-    def keys(self) -> Iterator[tuple[np.ndarray | None, np.ndarray]]:
-        """For each context the bytes for which it is used (None: all) and their keys."""
+    def keys(self) -> Iterator[np.ndarray]:
+        """For each context the keys of all bytes."""
         head, place = np.nonzero(self.byte)
         path = PATH[self.byte[head, place]]
         seen = np.concatenate([self.last, self.byte], axis=1)
@@ -112,10 +114,9 @@ class Heads:
         context = style
         for k in range(1, max(ORDERS) + 1):
             context = (context + seen[head, place + 4 - k].astype(np.uint64) + np.uint64(1)) * _NEXT
-            yield None, mix(context + _SALTS[k - 1]) & ~_LOW | path
+            yield mix(context + _SALTS[k - 1]) & ~_LOW | path
         own = np.where(place > 0, self.byte[head, 0] + np.uint64(1), np.uint64(0))
-        yield None, mix(style + own + _SALTS[-2]) & ~_LOW | path
-        yield None, mix(mix(self.before[head]) + own * _JOIN + style + _SALTS[-1]) & ~_LOW | path
+        yield mix(style + own + _SALTS[-1]) & ~_LOW | path
 
 
 def _styled(style: np.ndarray) -> np.ndarray:
@@ -146,8 +147,8 @@ class Tails:
         p, word, _ = self._coded()
         return word, self.data[p]
 
-    def keys(self) -> Iterator[tuple[np.ndarray | None, np.ndarray]]:
-        """For each context the bytes for which it is used (None: all) and their keys."""
+    def keys(self) -> Iterator[np.ndarray]:
+        """For each context the keys of all bytes."""
         p, word, place = self._coded()
         path = PATH[self.data[p]]
         values = np.concatenate([[SPACE], self.data]).astype(np.uint64) + np.uint64(1)  # values[i + 1]: byte i
@@ -156,13 +157,12 @@ class Tails:
         for k in range(1, max(ORDERS) + 1):
             before = values[p + 1 - k] if k <= HEAD else np.where(place >= k, values[np.maximum(p + 1 - k, 0)], np.uint64(SPACE + 1))
             context = np.where(place + 1 >= k, (context + before) * _NEXT, context)
-            yield None, mix(context + _SALTS[k - 1]) & ~_LOW | path
+            yield mix(context + _SALTS[k - 1]) & ~_LOW | path
         sums = np.zeros(len(values) + 1, dtype=np.uint64)
         np.cumsum(values * _powers(_WORD, len(values)), out=sums[1:])
         start = self.ptr[:-1][word] + 1
         so_far = (sums[p + 1] - sums[start]) * _powers(pow(_WORD, -1, 2**64), len(values) + 1)[start]
-        yield None, mix(so_far + place.astype(np.uint64) * _JOIN + style + _SALTS[-2]) & ~_LOW | path
-        yield np.zeros(0, np.int64), path[:0]
+        yield mix(so_far + place.astype(np.uint64) * _JOIN + style + _SALTS[-1]) & ~_LOW | path
 
 
 @dataclass
@@ -197,14 +197,13 @@ def tokens(w: Words, styles: np.ndarray) -> Read:
     texts, n = len(w.ptr) - 1, len(w.start)
     at = np.arange(n) + w.text  # word i is token at[i]; a text's end follows its words
     text = np.repeat(np.arange(texts), np.diff(w.ptr) + 1)
-    hashed, known, tail = np.zeros(n + texts, dtype=np.uint64), np.full(n + texts, -1), np.full(n + texts, -1)
-    hashed[at], known[at] = w.hash, np.arange(n)
+    known, tail = np.full(n + texts, -1), np.full(n + texts, -1)
+    known[at] = np.arange(n)
     chosen, number = distinct(w)
     style = styles_so_far(w, chosen, number, styles)
     kinds, kind = np.unique(number * (len(styles) + 1) + style[at], return_inverse=True)
     tail[at] = kind
     previous = np.concatenate([[-1], known[:-1]])  # word before; an end or nothing: -1
-    before = np.where(previous >= 0, hashed[at[previous]] if n else np.uint64(1), np.uint64(1))
     byte = np.zeros((n + texts, HEAD), dtype=np.uint8)
     byte[w.ptr[1:] + np.arange(texts), 0] = END
     size, raw = w.end - w.start, np.append(w.data, SPACE)
@@ -216,9 +215,9 @@ def tokens(w: Words, styles: np.ndarray) -> Read:
     last[has, 3] = SPACE
     for k in range(1, 4):
         last[has, 3 - k] = np.where(long >= k, raw[np.maximum(end - k, 0)], 0)
-    every = Heads(style, before, last, byte, np.ones(n + texts, np.int64))
+    every = Heads(style, last, byte, np.ones(n + texts, np.int64))
     _, first, head = np.unique(every.names(), return_index=True, return_inverse=True)
-    heads = Heads(style[first], before[first], last[first], byte[first], np.bincount(head, minlength=len(first)))
+    heads = Heads(style[first], last[first], byte[first], np.bincount(head, minlength=len(first)))
     words_of, style_of = chosen[kinds // (len(styles) + 1)], kinds % (len(styles) + 1)
     data, ptr = w.bytes_of(words_of)
     return Read(head.astype(np.int32), tail.astype(np.int32), text.astype(np.int32), heads, Tails(style_of, w.hash[words_of], data, ptr, np.bincount(kind, minlength=len(kinds))))
@@ -226,10 +225,10 @@ def tokens(w: Words, styles: np.ndarray) -> Read:
 
 def joined(reads: list[Read]) -> tuple[Heads, Tails, list[np.ndarray], list[np.ndarray]]:
     """Distinct heads and tails of all slices, and where each slice's are among them."""
-    every = Heads(*(np.concatenate([getattr(r.heads, f) for r in reads]) for f in ("style", "before", "last", "byte", "times")))
+    every = Heads(*(np.concatenate([getattr(r.heads, f) for r in reads]) for f in ("style", "last", "byte", "times")))
     _, first, head = np.unique(every.names(), return_index=True, return_inverse=True)
     times = np.bincount(head, every.times, len(first))
-    heads = Heads(every.style[first], every.before[first], every.last[first], every.byte[first], times)
+    heads = Heads(every.style[first], every.last[first], every.byte[first], times)
     style, word, times = (np.concatenate([getattr(r.tails, f) for r in reads]) for f in ("style", "word", "times"))
     _, chosen, tail = np.unique(mix(word + style.astype(np.uint64) * _JOIN), return_index=True, return_inverse=True)
     size = np.concatenate([np.diff(r.tails.ptr) for r in reads])
@@ -239,7 +238,7 @@ def joined(reads: list[Read]) -> tuple[Heads, Tails, list[np.ndarray], list[np.n
     data = data[np.repeat(ptr[:-1][chosen] - (to - size), size) + np.arange(to[-1] if len(to) else 0)]
     tails = Tails(style[chosen], word[chosen], data, np.concatenate([[0], to]), np.bincount(tail, times, len(chosen)))
     cuts = lambda x, sizes: np.split(x, np.cumsum(sizes)[:-1])
-    return heads, tails, cuts(head, [len(r.heads.before) for r in reads]), cuts(tail, [len(r.tails.word) for r in reads])
+    return heads, tails, cuts(head, [len(r.heads.style) for r in reads]), cuts(tail, [len(r.tails.word) for r in reads])
 
 
 def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -279,28 +278,13 @@ class Coded:
         self.of, self.byte = part.bytes()
         self.times, self.count = part.times.astype(np.float64), len(part.times)
         self.groups = []
-        for used, keys in part.keys():
+        for keys in part.keys():
             runs, run = grouped(keys)
-            self.groups.append((used, runs, run.astype(np.int32)))
+            self.groups.append((runs, run.astype(np.int32)))
 
     def counts(self) -> list[tuple[np.ndarray, np.ndarray]]:
         times = self.times[self.of]
-        return [(runs, np.bincount(run, times if used is None else times[used], len(runs)).astype(np.int64)) for used, runs, run in self.groups]
-
-    def places(self, keys: np.ndarray, j: int, low: int, high: int) -> np.ndarray:
-        """Where context j of some bytes is among the ascending keys; len(keys) if it isn't used."""
-        used, runs, run = self.groups[j]
-        if used is None:
-            return self._at(keys, j)[run[low:high]]
-        out = np.full(high - low, len(keys))
-        inside = (used >= low) & (used < high)
-        out[used[inside] - low] = self._at(keys, j)[run[inside]]
-        return out
-
-    def _at(self, keys: np.ndarray, j: int) -> np.ndarray:
-        if not hasattr(self, "found"):
-            self.found = [np.searchsorted(keys, runs) for _, runs, _ in self.groups]
-        return self.found[j]
+        return [(runs, np.bincount(run, times, len(runs)).astype(np.int64)) for runs, run in self.groups]
 
 
 _FEW = 64
@@ -383,13 +367,13 @@ class Mixer:
 
 
 def code_lengths(coded: Coded, keys: np.ndarray, codes: np.ndarray, mixer: Mixer, learning: bool, batch: int = 1 << 14) -> np.ndarray:
-    """log2 probability of each head or tail; ``codes`` (DEEPEST, keys + 1) belong to the ascending ``keys``,
-    the last column to contexts that aren't used. With ``learning`` every batch of bytes is first predicted
-    and then learnt from, as often as it occurs."""
+    """log2 probability of each head or tail; ``codes`` (DEEPEST, keys) belong to the ascending ``keys``.
+    With ``learning`` every batch of bytes is first predicted and then learnt from, as often as it occurs."""
+    found = [np.searchsorted(keys, runs).astype(np.int32) for runs, _ in coded.groups]
     size, out = LENGTH[coded.byte], np.zeros(len(coded.of), dtype=np.float32)
     for low in range(0, len(out), batch):
         high = min(low + batch, len(out))
-        places = [coded.places(keys, j, low, high) for j in range(CONTEXTS)]
+        places = [f[run[low:high]] for f, (_, run) in zip(found, coded.groups)]
         times = coded.times[coded.of[low:high]]
         at = np.arange(high - low)
         for depth in range(DEEPEST):
@@ -604,7 +588,7 @@ def score_texts(docs: DataFrame, held_out, block_bytes: int = 12 << 20, part_byt
             keys = fold_.contexts()[0]
             bounds = _part_of(keys, parts)
             codes = [_from_code_bytes(r["body"], keys[bounds[r["_part"]] : bounds[r["_part"] + 1]]) for r in answer[kind].to_pylist()]
-            codes = np.concatenate([*codes, np.zeros((DEEPEST, 1), np.uint8)], axis=1)
+            codes = np.concatenate(codes, axis=1)
             head, tail = (code_lengths(c, keys, codes, m, kind == _TRAIN) for c, m in zip(fold_.coded, mixers))
             times = np.append(counts[np.searchsorted(word, fold_.tails.word)], train_docs).astype(np.int64)
             tail = np.append(tail, 0.0)
