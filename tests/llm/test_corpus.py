@@ -512,9 +512,7 @@ def test_lm_contexts_are_those_of_the_text():
                 for j, n in enumerate(lm_mixing.ORDERS):
                     inside = seen[-n:] if i < lm_mixing.HEAD else seen[4:][-n:]
                     want[j][(s, inside, byte)] += 1
-                want[-2][(s, own[:i], byte)] += 1
-                if i < lm_mixing.HEAD:
-                    want[-1][(s, before, own[:i], byte)] += 1
+                want[-1][(s, own[:i], byte)] += 1
     heads, tails, _, _ = lm_mixing.joined([read])
     got = [collections.Counter() for _ in range(lm_mixing.CONTEXTS)]
     for part in (lm_mixing.Coded(heads), lm_mixing.Coded(tails)):
@@ -546,9 +544,9 @@ def test_lm_codes_and_probabilities():
     blank, total = np.zeros(256, np.uint8), np.zeros(256)
     for d in range(lm_mixing.DEEPEST):
         live = np.array([len(p) > d for p in ordered])
-        got = mixer.bits([c[live] for c in (codes[d], blank, codes[d], blank, codes[d], blank)], min(d, 1))[0]
+        got = mixer.bits([c[live] for c in (codes[d], blank, codes[d], blank, codes[d])], min(d, 1))[0]
         total[live] += got
-    assert np.isclose(np.exp2(total).sum(), 1, atol=1e-3)
+    assert 0.98 < np.exp2(total).sum() <= 1 + 1e-6  # the rest falls on paths that no byte has
 
 
 def test_lm_learns_from_what_comes_before(spark):
