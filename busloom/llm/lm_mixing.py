@@ -1,6 +1,6 @@
 """LM scoring by online logistic context mixing over the bits of a text's bytes.
 
-Every byte is coded bit by bit. Contexts are hashes of what was read before it: the last one to four
+Every byte is coded bit by bit. Contexts are hashes of what was read before it: the last two to four
 bytes (across the word's start) and the word so far, each together with the style that the text has
 shown so far. Each context is a bit predictor with counts over all training text; adaptive tables turn its counts
 into a probability, logistic mixing with weights gated by the longest context seen joins the
@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 
 from .common import dealt_rows, materialize
 from .training import fold
-from .words import Words, _powers, distinct, lower_ascii, mix, slices, text_bytes, words
+from .words import Words, _powers, lower_ascii, mix, slices, text_bytes, words
 
 #: Contexts: so many bytes before, and the word so far. The first HEAD bytes of a word see the last bytes
 #: of the word before, the others their own word.
-ORDERS, HEAD = (1, 2, 3, 4), 2
+ORDERS, HEAD = (2, 3, 4), 2
 CONTEXTS = len(ORDERS) + 1
 END, SPACE = 10, 32  # the byte that closes a text, and the one that closes a word
 _JOIN, _NEXT = np.uint64(0xA24BAED4963EE407), np.uint64(0x9E3779B97F4A7C15)
@@ -55,6 +55,11 @@ PATH, LENGTH = _paths()
 _LENGTH_OF = np.zeros(1 << DEEPEST, np.int64)
 _LENGTH_OF[PATH.astype(np.int64)] = LENGTH
 _LOW = np.uint64((1 << DEEPEST) - 1)
+KEY_BITS = 56  # of a key: hash of the context, then the byte's path
+
+
+def _key(context: np.ndarray, path: np.ndarray) -> np.ndarray:
+    return mix(context) >> np.uint64(64 - KEY_BITS) & ~_LOW | path
 
 
 def stretch(p: np.ndarray) -> np.ndarray:
@@ -114,9 +119,10 @@ class Heads:
         context = style
         for k in range(1, max(ORDERS) + 1):
             context = (context + seen[head, place + 4 - k].astype(np.uint64) + np.uint64(1)) * _NEXT
-            yield mix(context + _SALTS[k - 1]) & ~_LOW | path
+            if k in ORDERS:
+                yield _key(context + _SALTS[ORDERS.index(k)], path)
         own = np.where(place > 0, self.byte[head, 0] + np.uint64(1), np.uint64(0))
-        yield mix(style + own + _SALTS[-1]) & ~_LOW | path
+        yield _key(style + own + _SALTS[-1], path)
 
 
 def _styled(style: np.ndarray) -> np.ndarray:
@@ -157,12 +163,13 @@ class Tails:
         for k in range(1, max(ORDERS) + 1):
             before = values[p + 1 - k] if k <= HEAD else np.where(place >= k, values[np.maximum(p + 1 - k, 0)], np.uint64(SPACE + 1))
             context = np.where(place + 1 >= k, (context + before) * _NEXT, context)
-            yield mix(context + _SALTS[k - 1]) & ~_LOW | path
+            if k in ORDERS:
+                yield _key(context + _SALTS[ORDERS.index(k)], path)
         sums = np.zeros(len(values) + 1, dtype=np.uint64)
         np.cumsum(values * _powers(_WORD, len(values)), out=sums[1:])
         start = self.ptr[:-1][word] + 1
         so_far = (sums[p + 1] - sums[start]) * _powers(pow(_WORD, -1, 2**64), len(values) + 1)[start]
-        yield mix(so_far + place.astype(np.uint64) * _JOIN + style + _SALTS[-1]) & ~_LOW | path
+        yield _key(so_far + place.astype(np.uint64) * _JOIN + style + _SALTS[-1], path)
 
 
 @dataclass
@@ -183,13 +190,16 @@ def styles_so_far(w: Words, first: np.ndarray, number: np.ndarray, styles: np.nd
     best = np.full(len(w.start) + len(w.ptr) - 1, len(styles))
     if not len(first) or not len(styles):
         return best
-    of_word = np.stack([np.add.reduceat(table[data], ptr[:-1]) for table in styles], axis=1)
-    sums = np.concatenate([np.zeros((1, len(styles))), np.cumsum(of_word[number], axis=0)])
     texts = len(w.ptr) - 1
     text = np.repeat(np.arange(texts), np.diff(w.ptr) + 1)
-    words_before = np.arange(len(best)) - text  # of all texts
-    inner = words_before > w.ptr[text]
-    best[inner] = (sums[words_before[inner]] - sums[w.ptr[text[inner]]]).argmax(axis=1)
+    at = np.arange(len(best)) - text  # words before, in all texts
+    start, most = w.ptr[text], np.full(len(best), -np.inf)
+    inner = at > start
+    for k, table in enumerate(styles):
+        sums = np.concatenate([[0], np.cumsum(np.add.reduceat(table[data], ptr[:-1])[number])])
+        likely = sums[at] - sums[start]
+        better = inner & (likely > most)
+        best[better], most[better] = k, likely[better]
     return best
 
 
@@ -199,9 +209,11 @@ def tokens(w: Words, styles: np.ndarray) -> Read:
     text = np.repeat(np.arange(texts), np.diff(w.ptr) + 1)
     known, tail = np.full(n + texts, -1), np.full(n + texts, -1)
     known[at] = np.arange(n)
-    chosen, number = distinct(w)
+    chosen, number = alike(w.hash)
     style = styles_so_far(w, chosen, number, styles)
-    kinds, kind = np.unique(number * (len(styles) + 1) + style[at], return_inverse=True)
+    pair = (number * (len(styles) + 1) + style[at]).astype(np.uint64)
+    kinds, kind = alike(pair)
+    kinds = pair[kinds].astype(np.int64)
     tail[at] = kind
     previous = np.concatenate([[-1], known[:-1]])  # word before; an end or nothing: -1
     byte = np.zeros((n + texts, HEAD), dtype=np.uint8)
@@ -216,7 +228,7 @@ def tokens(w: Words, styles: np.ndarray) -> Read:
     for k in range(1, 4):
         last[has, 3 - k] = np.where(long >= k, raw[np.maximum(end - k, 0)], 0)
     every = Heads(style, last, byte, np.ones(n + texts, np.int64))
-    _, first, head = np.unique(every.names(), return_index=True, return_inverse=True)
+    first, head = alike(every.names())
     heads = Heads(style[first], last[first], byte[first], np.bincount(head, minlength=len(first)))
     words_of, style_of = chosen[kinds // (len(styles) + 1)], kinds % (len(styles) + 1)
     data, ptr = w.bytes_of(words_of)
@@ -226,11 +238,11 @@ def tokens(w: Words, styles: np.ndarray) -> Read:
 def joined(reads: list[Read]) -> tuple[Heads, Tails, list[np.ndarray], list[np.ndarray]]:
     """Distinct heads and tails of all slices, and where each slice's are among them."""
     every = Heads(*(np.concatenate([getattr(r.heads, f) for r in reads]) for f in ("style", "last", "byte", "times")))
-    _, first, head = np.unique(every.names(), return_index=True, return_inverse=True)
+    first, head = alike(every.names())
     times = np.bincount(head, every.times, len(first))
     heads = Heads(every.style[first], every.last[first], every.byte[first], times)
     style, word, times = (np.concatenate([getattr(r.tails, f) for r in reads]) for f in ("style", "word", "times"))
-    _, chosen, tail = np.unique(mix(word + style.astype(np.uint64) * _JOIN), return_index=True, return_inverse=True)
+    chosen, tail = alike(mix(word + style.astype(np.uint64) * _JOIN))
     size = np.concatenate([np.diff(r.tails.ptr) for r in reads])
     data, ptr = np.concatenate([r.tails.data for r in reads]), np.concatenate([[0], np.cumsum(size)])
     size = size[chosen]
@@ -241,20 +253,27 @@ def joined(reads: list[Read]) -> tuple[Heads, Tails, list[np.ndarray], list[np.n
     return heads, tails, cuts(head, [len(r.heads.style) for r in reads]), cuts(tail, [len(r.tails.word) for r in reads])
 
 
-def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys, ascending, and each element's place among them. Scrambled keys are sorted with
-    their places in the low bits; should two agree in the other bits, a key may come more than once."""
+def alike(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each run of equal keys, in any order, and each element's run. Scrambled keys are sorted
+    with their places in the low bits; should two agree in the other bits, a key may have several runs."""
     low = (np.uint64(1) << np.uint64(max(1, int(len(keys)).bit_length()))) - np.uint64(1)
     order = (np.sort(mix(keys) & ~low | np.arange(len(keys), dtype=np.uint64)) & low).astype(np.int64)
     ordered = keys[order]
     new = np.ones(len(keys), dtype=bool)
     new[1:] = ordered[1:] != ordered[:-1]
-    runs, run = ordered[new], np.empty(len(keys), dtype=np.int64)
+    run = np.empty(len(keys), dtype=np.int64)
+    run[order] = np.cumsum(new) - 1
+    return order[new], run
+
+
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, ascending (one may come more than once), and each element's place among them."""
+    first, run = alike(keys)
+    runs = keys[first]
     up = np.argsort(runs)
     rank = np.empty(len(runs), dtype=np.int64)
     rank[up] = np.arange(len(runs))
-    run[order] = rank[np.cumsum(new) - 1]
-    return runs[up], run
+    return runs[up], rank[run]
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -366,25 +385,36 @@ class Mixer:
         self.all += np.bincount(step, times * (z != 0), self.steps)
 
 
-def code_lengths(coded: Coded, keys: np.ndarray, codes: np.ndarray, mixer: Mixer, learning: bool, batch: int = 1 << 14) -> np.ndarray:
+def code_lengths(coded: Coded, keys: np.ndarray, codes: np.ndarray, mixer: Mixer, learning: bool, batch: int = 1 << 16) -> np.ndarray:
     """log2 probability of each head or tail; ``codes`` (DEEPEST, keys) belong to the ascending ``keys``.
     With ``learning`` every batch of bytes is first predicted and then learnt from, as often as it occurs."""
     found = [np.searchsorted(keys, runs).astype(np.int32) for runs, _ in coded.groups]
-    size, out = LENGTH[coded.byte], np.zeros(len(coded.of), dtype=np.float32)
+    packed = [np.ascontiguousarray(codes[d : d + 8].T) for d in range(0, DEEPEST, 8)]  # codes of eight depths in a number
+    packed = [np.pad(x, ((0, 0), (0, 8 - x.shape[1]))).view(np.uint64)[:, 0] for x in packed]
+    size, out = LENGTH[coded.byte].astype(np.uint8), np.zeros(len(coded.of), dtype=np.float32)
     for low in range(0, len(out), batch):
-        high = min(low + batch, len(out))
-        places = [f[run[low:high]] for f, (_, run) in zip(found, coded.groups)]
-        times = coded.times[coded.of[low:high]]
-        at = np.arange(high - low)
+        cut = slice(low, low + batch)
+        order = np.argsort(DEEPEST - size[cut], kind="stable")  # longest paths first: a depth is a prefix
+        live = len(order) - np.cumsum(np.bincount(size[cut], minlength=DEEPEST + 1))
+        places = [f[run[cut][order]] for f, (_, run) in zip(found, coded.groups)]
+        times, bits = coded.times[coded.of[cut][order]], np.zeros(len(order), dtype=np.float32)
         for depth in range(DEEPEST):
-            at = at[size[low + at] > depth]
-            if not len(at):
+            n = live[depth]
+            if not n:
                 break
-            got = [codes[depth][row[at]] for row in places]
+            if depth % 8 == 0:
+                held = [packed[depth // 8][row[:n]] for row in places]
+            same = np.zeros(n, dtype=np.uint64)
+            for x in held:  # equal codes are worked out once
+                same = same << np.uint64(8) | x[:n] >> np.uint64(8 * (depth % 8)) & np.uint64(255)
+            first, kind = alike(same)
+            kinds = same[first]
+            got = [(kinds >> np.uint64(8 * (CONTEXTS - 1 - j)) & np.uint64(255)).astype(np.uint8) for j in range(CONTEXTS)]
             told = mixer.bits(got, min(depth, 1))
-            out[low + at] += told[0]
+            bits[:n] += told[0].astype(np.float32)[kind]
             if learning:
-                mixer.learn(min(depth, 1), got, told, times[at])
+                mixer.learn(min(depth, 1), got, told, np.bincount(kind, times[:n], len(kinds)))
+        out[low + order] = bits
         if learning:
             mixer.refresh()
     return np.bincount(coded.of, out, coded.count)
@@ -398,13 +428,18 @@ class Block:
         self.reads = [tokens(words(part.column("text"), lower=True), styles) for part in self.parts]
         if self.parts:
             self.heads, self.tails, self.head, self.tail = joined(self.reads)
+            for read in self.reads:
+                read.heads = read.tails = None
             self.coded = [Coded(self.heads), Coded(self.tails)]
 
     def contexts(self) -> tuple[np.ndarray, np.ndarray]:
         return _merged([_NONE, *(x for c in self.coded for x in c.counts())]) if self.parts else _NONE
 
     def words(self) -> tuple[np.ndarray, np.ndarray]:
-        return _merged([(np.sort(self.tails.word), self.tails.times[np.argsort(self.tails.word)].astype(np.int64)), _NONE]) if self.parts else _NONE
+        if not self.parts:
+            return _NONE
+        order = np.argsort(self.tails.word)
+        return _merged([(self.tails.word[order] >> np.uint64(64 - KEY_BITS), self.tails.times[order].astype(np.int64)), _NONE])
 
 
 def _squeeze(raw: bytes) -> bytes:
@@ -442,7 +477,7 @@ def _from_code_bytes(raw: bytes, keys: np.ndarray) -> np.ndarray:
 
 def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     """Bounds (parts + 1) of the ascending keys' ranges by their first 32 bits."""
-    return np.searchsorted((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
+    return np.searchsorted((keys >> np.uint64(KEY_BITS - 32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
 
 
 def learn_styles(texts: DataFrame, sample_rows: int = 2000, rounds: int = 3, seed: int = 5) -> np.ndarray:
@@ -507,7 +542,7 @@ def nearest(features: np.ndarray, centres: np.ndarray) -> np.ndarray:
 _TRAIN, _HELD, _WORDS = 0, 1, 2
 
 
-def score_texts(docs: DataFrame, held_out, block_bytes: int = 12 << 20, part_bytes: int = 8 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, held_out, block_bytes: int = 8 << 20, part_bytes: int = 8 << 20) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): ``doc_id``, ``held_out``, ``n_tokens``,
     ``n_known``, ``train_tokens``, ``base_score``, ``score`` (both log10) and ``bits_per_byte``.
 
@@ -590,7 +625,7 @@ def score_texts(docs: DataFrame, held_out, block_bytes: int = 12 << 20, part_byt
             codes = [_from_code_bytes(r["body"], keys[bounds[r["_part"]] : bounds[r["_part"] + 1]]) for r in answer[kind].to_pylist()]
             codes = np.concatenate(codes, axis=1)
             head, tail = (code_lengths(c, keys, codes, m, kind == _TRAIN) for c, m in zip(fold_.coded, mixers))
-            times = np.append(counts[np.searchsorted(word, fold_.tails.word)], train_docs).astype(np.int64)
+            times = np.append(counts[np.searchsorted(word, fold_.tails.word >> np.uint64(64 - KEY_BITS))], train_docs).astype(np.int64)
             tail = np.append(tail, 0.0)
             for part, r, own_head, own_tail in zip(fold_.parts, fold_.reads, fold_.head, fold_.tail):
                 texts = part.num_rows
