@@ -542,7 +542,7 @@ def nearest(features: np.ndarray, centres: np.ndarray) -> np.ndarray:
 _TRAIN, _HELD, _WORDS = 0, 1, 2
 
 
-def score_texts(docs: DataFrame, held_out, block_bytes: int = 8 << 20, part_bytes: int = 8 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, held_out, block_bytes: int = 7 << 20, part_bytes: int = 6 << 20) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): ``doc_id``, ``held_out``, ``n_tokens``,
     ``n_known``, ``train_tokens``, ``base_score``, ``score`` (both log10) and ``bits_per_byte``.
 
@@ -569,6 +569,7 @@ def score_texts(docs: DataFrame, held_out, block_bytes: int = 8 << 20, part_byte
     parts = size // part_bytes + 1
 
     def folds(table: pa.Table) -> list[Block]:
+        pa.default_memory_pool().release_unused()  # what the group before left
         held = table.column("held_out")
         return [Block(table.filter(x), styles) for x in (pc.invert(held), held)]
 
@@ -617,7 +618,8 @@ def score_texts(docs: DataFrame, held_out, block_bytes: int = 8 << 20, part_byte
         both, mixers, out = folds(table), (Mixer(), Mixer()), []
         word = _merged([_NONE, *((b.words()[0], np.zeros(len(b.words()[0]), np.int64)) for b in both)])[0]
         counts = np.concatenate([_from_numbers(r["body"], r["size"]) for r in answer[_WORDS].to_pylist()])
-        for kind, fold_ in enumerate(both):
+        for kind in (_TRAIN, _HELD):
+            fold_ = both.pop(0)
             if not fold_.parts:
                 continue
             keys = fold_.contexts()[0]
@@ -625,6 +627,7 @@ def score_texts(docs: DataFrame, held_out, block_bytes: int = 8 << 20, part_byte
             codes = [_from_code_bytes(r["body"], keys[bounds[r["_part"]] : bounds[r["_part"] + 1]]) for r in answer[kind].to_pylist()]
             codes = np.concatenate(codes, axis=1)
             head, tail = (code_lengths(c, keys, codes, m, kind == _TRAIN) for c, m in zip(fold_.coded, mixers))
+            del codes, keys
             times = np.append(counts[np.searchsorted(word, fold_.tails.word >> np.uint64(64 - KEY_BITS))], train_docs).astype(np.int64)
             tail = np.append(tail, 0.0)
             for part, r, own_head, own_tail in zip(fold_.parts, fold_.reads, fold_.head, fold_.tail):
