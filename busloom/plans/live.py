@@ -43,18 +43,25 @@ class _Id:
 
 
 class Fold:
-    """Reads (kind, ts, can_id) records in order. Kinds: frame, tick (only time passes), gap
-    (records were lost: rules start over), session (learning starts over as well)."""
+    """Reads (kind, ts, can_id) records in order. Kinds: frame, short_frame (a frame whose length is
+    wrong: it isn't learnt from), tick (only time passes), gap (records were lost: what the rules measure
+    starts over) and session (time starts over as well). A frame before its identifier's last one or
+    in a window that is closed is reported, starts the rules over and counts for nothing else; so does a
+    pause of more than ``gap_us``. All but a gap drop what is learnt so far; a learnt profile stays."""
 
     def __init__(self, settings: Settings, profile: dict[int, tuple[float, float]] | None = None):
-        self.s, self.given = settings, profile
+        self.s, self.profile = settings, profile
         self.out: list[tuple] = []
+        self.now: int | None = None
+        self.ids: dict[int, _Id] = {}
         self.restart(True)
 
     def restart(self, learning: bool) -> None:
-        self.ids: dict[int, _Id] = {} if learning else {k: _Id(None, v.n, v.mean, v.m2) for k, v in self.ids.items()}
-        self.profile = self.given
-        self.begin = self.from_ts = self.scanned = self.now = None
+        drop = learning and self.profile is None
+        self.ids = {} if drop else {k: _Id(None, v.n, v.mean, v.m2) for k, v in self.ids.items()}
+        if drop:
+            self.begin = None
+        self.from_ts = self.scanned = None
         self.window, self.counts = 0, {}
 
     def latch(self, key, state: _Id, bad: bool, row: tuple) -> None:
@@ -62,28 +69,18 @@ class Fold:
             self.out.append(row)
         (state.held.add if bad else state.held.discard)(key)
 
-    def freeze(self) -> None:
-        s = self.s
-        self.profile = {i: (x.mean, (x.m2 / x.n) ** 0.5) for i, x in self.ids.items() if x.n >= s.min_intervals}
-        for x in self.ids.values():
-            x.last, x.run = None, 0
-
-    def time(self, ts: int, current: int | None) -> bool:
-        """Passes time on; True if this moment froze the profile."""
+    def time(self, ts: int, current: int | None) -> None:
         s = self.s
         if self.now is not None and ts - self.now > s.gap_us:
-            self.restart(self.given is None)
-        self.now = max(ts, self.now or ts)
-        self.begin = ts if self.begin is None else self.begin
-        froze = False
+            self.restart(True)
+        self.now = now = ts if self.now is None else max(ts, self.now)
         if self.profile is None:
-            if ts - self.begin < s.learn_us:
-                return False
-            self.freeze()
-            froze = True
+            if self.begin is None or now - self.begin < s.learn_us:
+                return
+            self.profile = {i: (x.mean, (x.m2 / x.n) ** 0.5) for i, x in self.ids.items() if x.n >= s.min_intervals}
         if self.from_ts is None:
-            self.from_ts, self.window, self.counts = ts, 0, {}
-        while ts >= self.from_ts + (self.window + 1) * s.window_us:
+            self.from_ts, self.window, self.counts = now, 0, {}
+        while now >= self.from_ts + (self.window + 1) * s.window_us:
             end = self.from_ts + (self.window + 1) * s.window_us
             for i, (period, _) in self.profile.items():
                 expected, n, x = s.window_us / period, self.counts.get(i, 0), self.ids.setdefault(i, _Id())
@@ -91,51 +88,54 @@ class Fold:
                 self.latch("up", x, n > expected + margin, ("frequency_increase", end, i, float(n)))
                 self.latch("down", x, n < expected - margin, ("frequency_decrease", end, i, float(n)))
             self.window, self.counts = self.window + 1, {}
-        if self.scanned is None or ts - self.scanned >= s.scan_us:
-            self.scanned = ts
+        if self.scanned is None or now - self.scanned >= s.scan_us:
+            self.scanned = now
             for i, (period, _) in self.profile.items():
                 x = self.ids.setdefault(i, _Id())
                 since = x.last if x.last is not None else self.from_ts
-                if i != current and ts - since > s.missing * period:
-                    self.latch("gone", x, True, ("missing_frame", ts, i, float(ts - since)))
-        return froze
+                if i != current:
+                    self.latch("gone", x, now - since > s.missing * period, ("missing_frame", now, i, float(now - since)))
 
     def read(self, kind: str, ts: int | None, can_id: int | None) -> None:
         s = self.s
         if kind in ("gap", "session"):
-            self.restart(kind == "session" and self.given is None)
+            self.restart(kind == "session")
+            self.now = None if kind == "session" else self.now
         if ts is None:
             return
-        if kind != "frame" or can_id in s.ignore:
+        if kind not in ("frame", "short_frame") or can_id in s.ignore:
             self.time(ts, None)
             return
-        x = self.ids.setdefault(can_id, _Id())
-        if x.last is not None and ts < x.last or self.from_ts is not None and ts < self.from_ts + self.window * s.window_us:
+        last = self.ids.setdefault(can_id, _Id()).last
+        closed = self.from_ts is not None and self.window > 0 and ts < self.from_ts + self.window * s.window_us
+        if last is not None and ts < last or closed:
             self.out.append(("late_frame", ts, can_id, None))
-            self.restart(self.given is None)
-            x = self.ids.setdefault(can_id, _Id())
-        froze = self.time(ts, can_id)
-        x = self.ids.setdefault(can_id, _Id())
-        if froze:
-            x.last = ts
+            self.restart(True)
             return
+        tested = self.profile is not None
+        self.time(ts, can_id)
+        x = self.ids.setdefault(can_id, _Id())
+        last = x.last  # none after a pause
         if self.profile is None:
-            if x.last is not None and ts > x.last:
+            if kind == "short_frame":
+                return
+            self.begin = ts if self.begin is None else self.begin
+            if last is not None and ts > last:
                 x.n += 1
-                step = ts - x.last - x.mean
+                step = ts - last - x.mean
                 x.mean += step / x.n
-                x.m2 += step * (ts - x.last - x.mean)
-            x.last = ts
-            return
-        self.counts[can_id] = self.counts.get(can_id, 0) + 1
-        x.held.discard("gone")
-        if x.last is not None and can_id in self.profile:
-            period, std = self.profile[can_id]
-            dt = ts - x.last
-            self.latch("period", x, abs(dt - period) > s.period * period, ("period_violation", ts, can_id, float(dt)))
-            self.latch("sigma", x, std > 0 and abs(dt - period) > s.sigmas * std, ("statistical_deviation", ts, can_id, float(dt)))
-            x.run = x.run + 1 if dt < s.burst * period else 0
-            self.latch("burst", x, x.run >= s.burst_frames - 1, ("burst", ts, can_id, float(x.run)))
+                x.m2 += step * (ts - last - x.mean)
+        elif tested:
+            self.counts[can_id] = self.counts.get(can_id, 0) + 1
+            x.held.discard("gone")
+            if last is not None and can_id in self.profile:
+                period, std = self.profile[can_id]
+                dt = ts - last
+                self.latch("period", x, abs(dt - period) > s.period * period, ("period_violation", ts, can_id, float(dt)))
+                if std > 0:
+                    self.latch("sigma", x, abs(dt - period) > s.sigmas * std, ("statistical_deviation", ts, can_id, float(dt)))
+                x.run = x.run + 1 if dt < s.burst * period else 0
+                self.latch("burst", x, x.run >= s.burst_frames - 1, ("burst", ts, can_id, float(x.run + 1)))
         x.last = ts
 
 

@@ -48,6 +48,39 @@ def test_frequency_counts_silent_windows():
     assert [e[:2] for e in fold.out] == [("frequency_decrease", 2_000_000)]
 
 
+def test_a_learnt_profile_outlives_gaps_late_frames_and_pauses():
+    ms = 1000
+    learnt = [("frame", t * ms, 1) for t in (1000, 1100, 1200, 1300, 1400)]
+    for cut in ([("gap", None, None)], [("frame", 1350 * ms, 1)], [("session", None, None)], [("tick", 20_000 * ms, None)]):
+        fold = events([*learnt, *cut])
+        assert fold.profile == {1: (100_000.0, 0.0)}
+        fold.read("frame", 21_000 * ms, 1)
+        before = len(fold.out)
+        fold.read("frame", 21_200 * ms, 1)
+        assert [e[:2] for e in fold.out[before:]] == [("period_violation", 21_200 * ms)]
+
+
+def test_the_first_interval_after_learning_is_tested():
+    ms = 1000
+    fold = events([("frame", t * ms, 1) for t in (1000, 1100, 1200, 1300, 1500)])
+    assert [e[:3] for e in fold.out] == [("period_violation", 1_500_000, 1)]
+
+
+def test_gaps_keep_what_is_learnt_so_far_and_short_frames_teach_nothing():
+    ms = 1000
+    head = [("frame", 1000 * ms, 1), ("frame", 1100 * ms, 1), ("frame", 1200 * ms, 1)]
+    tail = [("frame", 1260 * ms, 1), ("frame", 1310 * ms, 1)]
+    assert events([*head, ("gap", None, None), *tail]).profile == {1: (100_000.0, 0.0)}
+    assert events([*head, ("session", None, None), *tail]).profile is None
+    assert events([*head[:2], ("short_frame", 1150 * ms, 1), *head[2:], ("frame", 1300 * ms, 1)]).profile == {1: (100_000.0, 0.0)}
+
+
+def test_a_late_frame_is_only_reported():
+    profile = {1: (100_000.0, 0.0)}
+    fold = events([("frame", 1_000_000, 1), ("frame", 900_000, 1), ("frame", 1_250_000, 1)], profile=profile)
+    assert [e[0] for e in fold.out] == ["late_frame"]  # no interval from or to it
+
+
 def test_traces_in_parallel(spark):
     rng = random.Random(2)
     rows = []
