@@ -155,10 +155,10 @@ def signal_range_onsets(spark, sf_dir):
 
 
 @query(f"""SELECT ord, channel, can_id FROM (SELECT *, lag(unknown) OVER o AS was, lag(can_id) OVER o AS before FROM
-  (SELECT *, can_id % 4 = 0 OR can_id NOT IN (SELECT c_custkey FROM customer) AS unknown FROM bus) WINDOW o AS (PARTITION BY channel ORDER BY ord))
+  (SELECT *, can_id NOT IN (SELECT s_suppkey FROM supplier) AS unknown FROM bus) WINDOW o AS (PARTITION BY channel ORDER BY ord))
   WHERE unknown AND NOT coalesce(was AND before = can_id, false)""")
 def unknown_id_runs(spark, sf_dir):
-    known = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("can_id")).filter("can_id % 4 <> 0")
+    known = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("can_id"))
     return rules.unknown_runs(bus(spark, sf_dir), known, BY_CHANNEL).select("ord", "channel", "can_id")
 
 
@@ -479,11 +479,11 @@ def signal_partition_sort(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", "l_orderkey", "l_linenumber", F.row_number().over(order).cast("long").alias("line"))
 
 
-@query(""", a AS (SELECT DISTINCT can_id FROM bus), b AS (SELECT DISTINCT c_custkey AS can_id FROM customer WHERE c_custkey % 2 = 0 AND c_custkey < 200)
+@query(""", a AS (SELECT DISTINCT can_id FROM bus), b AS (SELECT DISTINCT c_custkey AS can_id FROM customer)
 SELECT can_id, CASE WHEN b.k IS NULL THEN 'profile_only' ELSE 'catalog_only' END AS side FROM (SELECT can_id, 1 AS k FROM a) a FULL JOIN (SELECT can_id, 1 AS k FROM b) b USING (can_id) WHERE a.k IS NULL OR b.k IS NULL""")
 def profile_vs_catalog(spark, sf_dir):
     ids = bus(spark, sf_dir).select("can_id").distinct()
-    catalog = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("can_id")).filter("can_id % 2 = 0 and can_id < 200").distinct()
+    catalog = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("can_id")).distinct()
     gone = ids.join(catalog, "can_id", "left_anti").withColumn("side", F.lit("profile_only"))
     return gone.unionByName(catalog.join(ids, "can_id", "left_anti").withColumn("side", F.lit("catalog_only")))
 
@@ -547,12 +547,12 @@ def quality_masked(spark, sf_dir):
     return audit.masked(_events(spark, sf_dir), audit.reinitialisation_mask(gaps, 3_050_000), DAY // 12).select("ord", "type")
 
 
-@query(f""", c AS ({_PERIOD}), r AS (SELECT ord FROM c WHERE ord % 10 <> 3 UNION ALL SELECT ord FROM bus WHERE ord % 1000 = 7 AND ord NOT IN (SELECT ord FROM c))
+@query(f""", c AS ({_PERIOD}), r AS (SELECT ord FROM (SELECT *, lag(bad) OVER (PARTITION BY can_id ORDER BY ord) AS was FROM
+  (SELECT *, std_us > 0 AND abs(dt_us - period_us) > std_us * {SIGMAS} AS bad FROM tested)) WHERE bad AND NOT coalesce(was, false))
 SELECT coalesce(c.ord, r.ord) AS ord, CASE WHEN c.ord IS NULL THEN 'recorded_only' WHEN r.ord IS NULL THEN 'computed_only' ELSE 'both' END AS side FROM c FULL JOIN r ON c.ord = r.ord""")
 def onset_reconstruction(spark, sf_dir):
     tested, bad = _tested(spark, sf_dir), rules.period_bad(F.col("dt_us"), F.col("period_us"), TOLERANCE)
-    made = BY_ID.onsets(tested, bad).select("ord")
-    recorded = made.filter("ord % 10 <> 3").unionByName(bus(spark, sf_dir).filter("ord % 1000 = 7").select("ord").join(made, "ord", "left_anti"))
+    recorded = BY_ID.onsets(tested, rules.sigma_bad(F.col("dt_us"), F.col("period_us"), F.col("std_us"), SIGMAS)).select("ord")
     return audit.reconstruct_onsets(tested, BY_ID, bad, recorded)
 
 
