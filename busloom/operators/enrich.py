@@ -35,6 +35,12 @@ def restore_time(ts32: Column, sync: Column, reject_ambiguous: bool = False) ->
     return F.when(ahead != U32 // 2, time) if reject_ambiguous else time
 
 
+def absolute_us(ts: Column, device_us: Column, rtc_us: Column) -> Column:
+    """Wall time of a record: the session's clock and the device time passed since; null where the
+    session's clock isn't trusted (null) or the record has no time."""
+    return rtc_us + (ts - device_us)
+
+
 def sequence_gaps(records: DataFrame, line: Timeline, seq: str, largest: int = U16 - 1) -> DataFrame:
     """Adds ``missing``: records lost before this one, by 16-bit sequence numbers. A gap beyond
     ``largest`` is a step backwards and counts as none; sessions belong into the keys."""

@@ -21,3 +21,14 @@ def feature_windows(rows: DataFrame, keys: list[str], dt: str = "dt_us") -> Data
 def outside(rows: DataFrame, profile: DataFrame, on: str, value: str, low: str, high: str) -> DataFrame:
     """Rows whose value lies outside the profile's observed extremes."""
     return rows.join(profile.select(on, low, high), on).filter((F.col(value) < F.col(low)) | (F.col(value) > F.col(high)))
+
+
+def count_deviations(counts: DataFrame, learnt: DataFrame, k: float, key: str = "can_id") -> DataFrame:
+    """Windows whose frame count ``n`` lies outside mean +/- k deviations of the learnt counts (``mean_count``,
+    ``std_count`` per key), as state ``deviation``; and once per key without spread the state ``disabled``."""
+    rows = counts.join(learnt.select(key, "mean_count", "std_count").filter("std_count > 0"), key)
+    off = F.abs(F.col("n") - F.col("mean_count")) > k * F.col("std_count")
+    found = rows.filter(off).select(key, "window", "n", F.lit("deviation").alias("state"))
+    still = counts.join(learnt.filter("std_count = 0").select(key), key, "left_semi").select(key).distinct()
+    none = F.lit(None).cast("long")
+    return found.unionByName(still.select(key, none.alias("window"), none.alias("n"), F.lit("disabled").alias("state")))
