@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 TYPES = {1: "frame", 2: "time_sync", 3: "session", 4: "event", 5: "bus_stats", 6: "logger_stats", 7: "ack"}
 SIZES = {2: 11, 3: 42, 4: 24, 5: 110, 6: 48, 7: 17}  # without the check byte
 FRAME_BASE, LONGEST, SHORTEST, RESERVED = 9, 131, 4, 0x20
+STATUSES = ["ok", "empty", "overflow", "cobs", "short", "crc", "unknown"]
 REASONS = {
     0: "rx_read_error", 1: "extended_frame_rejected", 2: "remote_frame_rejected", 3: "invalid_dlc", 4: "ring_drop", 5: "fifo_full",
     6: "fifo_overrun", 7: "controller_error", 8: "state_change", 9: "tx_buffer_overflow", 10: "usb_log_boundary", 11: "extended_id_remapped",
@@ -89,7 +91,7 @@ def stuff(record: bytes) -> bytes:
 
 
 def status_of(raw: bytes) -> tuple[str, bytes | None]:
-    """What became of a delimited piece: ok, empty, overflow, cobs, short, crc or unknown."""
+    """What became of one delimited piece: ok, empty, overflow, cobs, short, crc or unknown."""
     if not raw:
         return "empty", None
     if len(raw) > LONGEST:
@@ -104,10 +106,48 @@ def status_of(raw: bytes) -> tuple[str, bytes | None]:
     return ("ok" if body[0] in TYPES else "unknown"), body[:-1]
 
 
+def unstuff_batch(raw: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``status_of`` for a whole column at once: status codes (places in ``STATUSES``), a matrix of record
+    bytes and their lengths. One step per byte position, over all records of the batch together."""
+    n = len(raw)
+    start = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + n + 1].astype(np.int64)
+    size = np.diff(start) * ~np.asarray(raw.is_null())
+    flat = np.frombuffer(raw.buffers()[2], np.uint8) if raw.buffers()[2] else np.zeros(0, np.uint8)
+    length = np.where(size > LONGEST, 0, size)
+    wide = np.zeros((n, LONGEST), np.uint8)
+    cell = np.arange(LONGEST) < length[:, None]
+    row, column = np.nonzero(cell)
+    wide[row, column] = flat[start[row] + column]
+    body, at, left = np.zeros((n, LONGEST), np.uint8), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    last, broken = np.full(n, 255), np.zeros(n, bool)
+    for j in range(int(length.max(initial=0))):
+        byte, live = wide[:, j].astype(np.int64), j < length
+        code = live & (left == 0)
+        at += code & (last < 255)  # the end of the block before stands for a zero
+        broken |= code & ((byte == 0) | (j + byte > length))
+        last, left = np.where(code, byte, last), np.where(code, byte - 1, left)
+        data = np.flatnonzero(live & ~code)
+        body[data, at[data]] = byte[data]
+        at[data] += 1
+        left[data] -= 1
+    check = np.zeros(n, np.int64)
+    for j in range(int(at.max(initial=0))):
+        check = np.where(j < at - 1, _CRC[check ^ body[:, j]], check)
+    wrong = check != body[np.arange(n), np.maximum(at - 1, 0)]
+    unknown = ~np.isin(body[:, 0], list(TYPES))
+    status = np.select([size == 0, size > LONGEST, broken, at < SHORTEST, wrong, unknown], range(1, 7), 0)
+    return status, body, at
+
+
 def read_trace(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """One row per delimited piece: ``trace`` (file) and ``raw``."""
+    """One row per delimited piece: ``trace`` (file), ``block`` (where the split that holds it begins),
+    ``line`` and ``raw``. (block, line) is the order within a trace: a split is read by one task, from
+    front to back. Streams have no ``line``: their order is that of arrival."""
     reader = (spark.readStream if streaming else spark.read).option("lineSep", "\u0000").format("text")
-    return reader.load(path).select(F.col("_metadata.file_path").alias("trace"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("raw"))
+    columns = [F.col("_metadata.file_path").alias("trace"), F.col("_metadata.file_block_start").alias("block")]
+    if not streaming:
+        columns.append(F.monotonically_increasing_id().alias("line"))
+    return reader.load(path).select(*columns, F.col("value").cast("binary").alias("raw"))
 
 
 def read_envelopes(spark: SparkSession, path: str, magic: bytes = b"CANTRACE\\x01") -> DataFrame:
@@ -129,12 +169,18 @@ def deframe(pieces: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [status_of(x.as_py() or b"") for x in batch.column("raw")]
-            good = [b if s == "ok" else None for s, b in found]
+            raw = batch.column("raw").cast(pa.binary())
+            status, body, size = unstuff_batch(raw)
+            good, n = status == 0, batch.num_rows
+            place = np.arange(LONGEST)
+            inside = (place >= 3) & (place < (size - 1)[:, None]) & good[:, None]
+            ends = np.concatenate([[0], np.cumsum(inside.sum(axis=1))]).astype(np.int32)
+            valid = pa.py_buffer(np.packbits(good, bitorder="little").tobytes())
+            payload = pa.BinaryArray.from_buffers(pa.binary(), n, [valid, pa.py_buffer(ends.tobytes()), pa.py_buffer(body[inside].tobytes())])
+            seq = body[:, 1].astype(np.int32) | body[:, 2].astype(np.int32) << 8
             columns = [batch.column(c) for c in kept] + [
-                pa.array([s for s, _ in found]), pa.array([None if b is None else b[0] for b in good], pa.int32()),
-                pa.array([None if b is None else b[1] | b[2] << 8 for b in good], pa.int32()), pa.array([None if b is None else b[3:] for b in good], pa.binary()),
-                pa.array([len(x.as_py() or b"") for x in batch.column("raw")], pa.int64()),
+                pa.array(STATUSES, pa.string()).take(pa.array(status)), pa.array(body[:, 0].astype(np.int32), mask=~good), pa.array(seq, mask=~good), payload,
+                pc.fill_null(pc.binary_length(raw), 0).cast(pa.int64()),
             ]
             yield pa.RecordBatch.from_arrays(columns, [*kept, "status", "type", "seq", "payload", "wire_bytes"])
 
