@@ -35,3 +35,27 @@ def components(links: DataFrame, a: str = "a", b: str = "b", jumps: int = 3) ->
         edges = edges.join(step, edges["b"] == step["_id"]).select("a", F.col("_to").alias("b"))
         edges = materialize(edges.filter("a <> b").distinct())
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")) if label is None else label
+
+
+def mixed_blocks(members: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """Lays out the groups (``keys``) of ``members`` (with ``id`` and ``part``) whose members are of several parts, so that
+    two members of different parts meet in one place (keys, ``_low``, ``_high``) of about 2 x ``block`` members.
+
+    Members of a group's largest part are sent once to each block of the others, the strays; these go to
+    the largest part's blocks and to each other's. A group of one part isn't laid out at all.
+    """
+    parts = members.groupBy(*keys, "part").agg(F.count("*").alias("m"))
+    largest = F.max(F.struct("m", (-F.col("part")).alias("part")))
+    split = parts.groupBy(*keys).agg(F.count("*").alias("parts"), F.sum("m").alias("all"), largest.alias("top")).filter("parts > 1")
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    split = split.select(*keys, (-F.col("top.part")).alias("top"), blocks(F.col("top.m")).alias("mains"), blocks(F.col("all") - F.col("top.m")).alias("strays"))
+    mixed = members.join(split, keys)
+    h = F.xxhash64("id")
+    main, stray = F.pmod(h, "mains").cast("int"), F.pmod(h, "strays").cast("int")
+    to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    at_main = F.transform(to("strays"), lambda j: F.struct(main.alias("_low"), j.alias("_high")))
+    at_stray = F.concat(
+        F.transform(to("mains"), lambda i: F.struct(i.alias("_low"), stray.alias("_high"))),
+        F.transform(to("strays"), lambda j: F.struct((-1 - F.least(stray, j)).alias("_low"), F.greatest(stray, j).alias("_high"))),
+    )
+    return mixed.select(*members.columns, F.inline(F.when(F.col("part") == F.col("top"), at_main).otherwise(at_stray)))

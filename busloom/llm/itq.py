@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .graph import components
+from .graph import components, mixed_blocks
 
 BITS, TABLES = 64, 5
 
@@ -42,18 +42,63 @@ def _usable(column: str):
     return F.coalesce(fine & (F.size(column) > 0) & F.exists(column, lambda x: x != 0), F.lit(False))
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.9, sample_rows: int = 8192, radius: int = 22) -> DataFrame:
-    """One row per row of ``vectors`` (vec_id, embedding): ``vec_id``, ``n_links`` (other vectors
-    with cosine >= threshold that were found), ``component_id`` and ``kept``.
+def _unit(table: pa.Table, column: str = "e") -> np.ndarray:
+    """The table's vectors, all of one length, scaled to length 1 in double precision."""
+    x = table.column(column).combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def joined_parts(table: pa.Table, threshold: float) -> pa.Table:
+    """Which parts that meet in one place are joined by a link: one row for each two parts."""
+    part, side, near = table.column("part").to_numpy(), table.column("side").to_numpy(), _unit(table)
+    asked = (side[:, None] < side[None, :]) | (side < 0)[:, None]
+    i, j = np.nonzero((near @ near.T >= threshold) & (part[:, None] != part[None, :]) & asked)
+    low, high = np.minimum(part[i], part[j]), np.maximum(part[i], part[j])
+    pairs = np.unique(np.stack([low, high]), axis=1)
+    return pa.table({"a": pairs[0], "b": pairs[1]})
+
+
+def linked_rows(table: pa.Table, threshold: float) -> pa.Table:
+    """For each entry the rows (``n`` of the entries) it links to in one place of its component: between
+    the two blocks that meet there, or inside the one."""
+    block, n, unit = table.column("block").to_numpy(), table.column("n").to_numpy(), _unit(table)
+    near = unit @ unit.T >= threshold
+    np.fill_diagonal(near, False)
+    if block.min() != block.max():
+        near &= block[:, None] != block[None, :]
+    return pa.table({"id": table.column("id"), "links": near.astype(np.float64) @ n})
 
-    A rotation learnt on about ``sample_rows`` vectors gives 64-bit codes; every vector is coded
-    and indexed. The code is cut into 5 substrings, one table each, and a vector probes its own
-    bucket and those one bit away in every table. Candidates within ``radius`` bits are checked
-    by the cosine of the original vectors in double precision, so no pair below the threshold
-    links. For pairs right at cosine 0.9 hyperplane codes find 93 %, at 0.98 over 99 %.
 
-    Equal vectors are one entry with a count, so copies make no pairs. Buckets have no caps;
-    a large one is split by skew-join handling. Null, empty or zero vectors and those with null
+def link_counts(label: DataFrame, reps: DataFrame, threshold: float, block: int) -> DataFrame:
+    """``id`` and ``far``, the rows of other entries that it links to. All its links lie in its component,
+    whose members meet in blocks inside tasks: counts come out, never pairs."""
+    sizes = label.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), "blocks").cast("int")
+    meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("block"), j).alias("low"), F.greatest(F.col("block"), j).alias("high")))
+    placed = label.join(sizes, "component").withColumn("block", own).select("component", "id", "block", F.inline(meet))
+    vectors = reps.select("id", F.col("n").cast("double").alias("n"), "e").hint("merge")
+    found = placed.join(vectors, "id").groupBy("component", "low", "high").applyInArrow(lambda t: linked_rows(t, threshold), "id long, links double")
+    return found.groupBy("id").agg(F.sum("links").cast("long").alias("far"))
+
+
+def near_vectors(vectors: DataFrame, threshold: float = 0.9, sample_rows: int = 8192, block: int = 1000) -> DataFrame:
+    """One row per row of ``vectors`` (vec_id, embedding): ``vec_id``, ``n_links`` (other vectors of its
+    component with cosine >= threshold), ``component_id`` and ``kept``.
+
+    A rotation learnt on about ``sample_rows`` vectors gives 64-bit codes; every vector is coded
+    and indexed. The code is cut into 5 substrings, one table each; two vectors are candidates where
+    they agree in a table's substring but for one bit at most. Candidates are checked by the cosine of
+    the original vectors in double precision, so no pair below the threshold links. Of pairs right at
+    cosine 0.9 hyperplane codes find 93 % by themselves, at 0.98 over 99 %; a pair that isn't found
+    still counts if others join the two.
+
+    Pairs are rows only where a vector meets the smallest one of its bucket (at most one a table).
+    What that leaves in different components is compared in blocks of about ``block`` vectors inside
+    tasks, which return what parts are joined; links are counted inside the components in the same
+    way. So a group of near copies makes no rows for its pairs.
+
+    Equal vectors are one entry with a count. Buckets have no caps. Null, empty or zero vectors and those with null
     or non-finite components link with nothing, vectors of different length not with each
     other; rows without an id are kept and link with nothing. Rows repeated with one id count once.
     """
@@ -87,23 +132,32 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, sample_rows: int =
 
     codes = materialize(reps.select("id", "e").mapInArrow(coded, "id long, code long, size int"))
     edges = [BITS * t // TABLES for t in range(TABLES + 1)]
-    keys, probes = [], []
+    own, cells = [], []
     for t in range(TABLES):
         width = edges[t + 1] - edges[t]
         part = F.shiftrightunsigned("code", edges[t]).bitwiseAND((1 << width) - 1)
-        keys.append(F.struct(F.lit(t).alias("t"), part.alias("k")))
-        probes += [F.struct(F.lit(t).alias("t"), part.bitwiseXOR(F.lit(flip).cast("long")).alias("k")) for flip in (0, *(1 << i for i in range(width)))]
-    table = codes.select(F.col("id").alias("b"), F.col("code").alias("_cb"), "size", F.inline(F.array(*keys)))
-    asked = codes.select(F.col("id").alias("a"), F.col("code").alias("_ca"), "size", F.inline(F.array(*probes)))
-    found = asked.join(table, ["t", "k", "size"]).filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("_ca").bitwiseXOR(F.col("_cb"))) <= radius))
-    pairs = found.select("a", "b").distinct()
-    side = lambda c: reps.select(F.col("id").alias(c), F.col("e").alias(f"_e{c}"), F.col("n").alias(f"_n{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    links = materialize(both.filter(cosine("_ea", "_eb") >= threshold).select("a", "b", "_na", "_nb"))
-
-    degree = links.select(F.col("a").alias("id"), F.col("_nb").alias("_n")).unionByName(links.select(F.col("b").alias("id"), F.col("_na").alias("_n")))
-    degree = degree.groupBy("id").agg(F.sum("_n").alias("_far"))
-    label = components(links).withColumnRenamed("id", "_id")
+        cell = lambda bit, k, side, t=t: F.struct(F.lit(t).alias("t"), F.lit(bit).alias("bit"), k.alias("k"), side.cast("int").alias("side"))
+        own.append(cell(-1, part, F.lit(-1)))
+        # those that differ in one bit meet where it is cleared, one on either side
+        cells += [cell(i, part.bitwiseAND(((1 << width) - 1) & ~(1 << i)), F.shiftright(part, i).bitwiseAND(1)) for i in range(width)]
+    place = ["t", "bit", "k", "size"]
+    buckets = codes.select("id", "size", F.inline(F.array(*own)))
+    hubs = buckets.groupBy(*place).agg(F.min("id").alias("a"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    stars = buckets.join(hubs, place).filter("id > a").select("a", F.col("id").alias("b")).distinct()
+    side = lambda c: reps.select(F.col("id").alias(c), F.col("e").alias(f"_e{c}")).hint("merge")
+    both = stars.join(side("a"), "a").join(side("b"), "b")
+    links = materialize(both.filter(cosine("_ea", "_eb") >= threshold).select("a", "b"))
+    label = components(links).select(F.col("id").alias("_id"), "component")
+    named = codes.join(label, F.col("id") == F.col("_id"), "left").withColumn("part", F.coalesce("component", "id"))
+    members = materialize(named.select("id", "size", "part", F.inline(F.array(*own, *cells))))
+    asked = members.groupBy(*place).agg((F.min("part") < F.max("part")).alias("_parts"), ((F.min("side") < F.max("side")) | (F.min("side") < 0)).alias("_sides"))
+    members = members.join(asked.filter("_parts and _sides").select(*place), place)
+    compared = mixed_blocks(members, place, block).join(reps.select("id", "e").hint("merge"), "id").groupBy(*place, "_low", "_high")
+    more = compared.applyInArrow(lambda table: joined_parts(table, threshold), "a long, b long")
+    label = materialize(components(links.unionByName(more)))
+
+    degree = link_counts(label, reps, threshold, block).select("id", F.col("far").alias("_far"))
+    label = label.withColumnRenamed("id", "_id")
     entry = reps.select("h1", "h2", "id", "n").join(degree, "id", "left").join(label, F.col("id") == F.col("_id"), "left")
     entry = entry.select("h1", "h2", (F.coalesce("_far", F.lit(0)) + F.col("n") - 1).alias("_links"), F.coalesce("component", "id").alias("_component"))
     keyed = rows.withColumn("_ok", F.col("vec_id").isNotNull() & _usable("e")).select(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize
-from .graph import components
+from .graph import components, mixed_blocks
 from .words import Words, mix, slices, words
 
 SHINGLE, BANDS, ROWS = 5, 32, 8
@@ -197,22 +197,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, block: int = 1000)
     both = stars.join(units("a", "_ua"), "a").join(units("b", "_ub"), "b")
     links = materialize(both.filter(weighted_jaccard("_ua", "_ub") >= threshold).select("a", "b"))
     label = components(links)
-    named = shared.join(label, shared["rep"] == label["id"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("part"))
-    parts = named.groupBy("key", "part").agg(F.count("*").alias("m"))
-    largest = F.max(F.struct("m", (-F.col("part")).alias("part")))
-    split = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("m").alias("all"), largest.alias("top")).filter("parts > 1")
-    split = split.select("key", (-F.col("top.part")).alias("top"), F.ceil(F.col("top.m") / block).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("top.m")) / block).cast("int").alias("strays"))
-    mixed = named.join(split, "key")
-    is_main, h = F.col("part") == F.col("top"), F.xxhash64("rep")
-    main, stray = F.pmod(h, "mains").cast("int"), F.pmod(h, "strays").cast("int")
-    to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    # the largest part goes once to every block of strays; strays go to its blocks and to each other
-    at_main = F.transform(to("strays"), lambda j: F.struct(main.alias("_low"), j.alias("_high")))
-    at_stray = F.concat(
-        F.transform(to("mains"), lambda i: F.struct(i.alias("_low"), stray.alias("_high"))),
-        F.transform(to("strays"), lambda j: F.struct((-1 - F.least(stray, j)).alias("_low"), F.greatest(stray, j).alias("_high"))),
-    )
-    placed = mixed.select("key", "rep", "part", F.inline(F.when(is_main, at_main).otherwise(at_stray)))
+    named = shared.join(label, shared["rep"] == label["id"], "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
+    placed = mixed_blocks(named.select("key", F.col("rep").alias("id"), "part"), ["key"], block).withColumnRenamed("id", "rep")
     compared = placed.join(units("rep", "units"), "rep").groupBy("key", "_low", "_high")
     more = compared.applyInArrow(lambda t: cross_links(t, threshold), "a long, b long")
     label = components(links.unionByName(more))

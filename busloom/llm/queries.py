@@ -48,4 +48,10 @@ d AS (SELECT t FROM a GROUP BY t HAVING count(*) > 1), g AS (SELECT DISTINCT doc
 b AS (SELECT doc_id, list(i) AS gone FROM g GROUP BY doc_id),
 k AS (SELECT w.doc_id, len(l) AS n, list_filter(l, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)) AS kept FROM w LEFT JOIN b USING (doc_id))
 SELECT doc_id, n AS n_words, n - len(kept) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k""",
+    "op8_embeddings": """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+e AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.9),
+r(vec_id, other) AS (SELECT x, x FROM e UNION SELECT r.vec_id, e.y FROM r JOIN e ON e.x = r.other),
+c AS (SELECT vec_id, min(other) AS component FROM r GROUP BY 1), n AS (SELECT x AS vec_id, count(*) AS links FROM e GROUP BY 1)
+SELECT vec_id, coalesce(links, 0) AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)""",
 }

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from busloom.llm import graph, itq
 
@@ -24,6 +25,35 @@ def test_links_match_all_pairs(spark):
     assert got[None] == (0, None, True)
 
 
+def _brute(x):
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    linked = unit @ unit.T >= 0.9
+    np.fill_diagonal(linked, False)
+    label = np.arange(len(x))
+    while (new := np.array([min([label[i], *label[linked[i]]]) for i in range(len(x))])).tolist() != label.tolist():
+        label = new
+    return linked, label
+
+
+@pytest.mark.parametrize("block", [7, 1000])
+def test_clusters_in_blocks_and_recall(spark, block):
+    """Large clusters, whose links are counted in blocks, beside pairs right at the threshold."""
+    rng = np.random.default_rng(2)
+    centre, loose = rng.standard_normal((3, 32)), rng.standard_normal((150, 32))
+    tight = np.concatenate([c + 0.15 * rng.standard_normal((60, 32)) for c in centre])
+    turned = rng.standard_normal((150, 32))
+    turned -= (turned * loose).sum(1, keepdims=True) / (loose**2).sum(1, keepdims=True) * loose
+    turned *= np.linalg.norm(loose, axis=1, keepdims=True) / np.linalg.norm(turned, axis=1, keepdims=True)
+    x = np.concatenate([tight, loose, 0.905 * loose + np.sqrt(1 - 0.905**2) * turned, tight[:4]])
+    rows = [(i, [float(v) for v in e]) for i, e in enumerate(x)]
+    got = {r.vec_id: r for r in itq.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=block).collect()}
+    linked, label = _brute(x)
+    for i in [*range(180), *range(480, 484)]:
+        assert (got[i].n_links, got[i].component_id) == (linked[i].sum(), label[i])
+    assert all(got[i].n_links <= linked[i].sum() for i in got)
+    assert sum(got[i].n_links for i in range(180, 480)) >= 0.9 * linked[180:480].sum()  # measured recall at cosine 0.905
+
+
 def test_empty_table(spark):
     assert itq.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
