@@ -49,36 +49,53 @@ def _unit(table: pa.Table, column: str = "e") -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _runs(*keys: np.ndarray) -> Iterator[np.ndarray]:
+    """The places of the rows of each group of equal keys."""
+    order = np.lexsort(keys)
+    new = np.zeros(max(0, len(order) - 1), dtype=bool)
+    for key in keys:
+        new |= key[order][1:] != key[order][:-1]
+    yield from np.split(order, np.flatnonzero(new) + 1)
+
+
 def joined_parts(table: pa.Table, threshold: float) -> pa.Table:
-    """Which parts that meet in one place are joined by a link: one row for each two parts."""
-    part, side, near = table.column("part").to_numpy(), table.column("side").to_numpy(), _unit(table)
-    asked = (side[:, None] < side[None, :]) | (side < 0)[:, None]
-    i, j = np.nonzero((near @ near.T >= threshold) & (part[:, None] != part[None, :]) & asked)
-    low, high = np.minimum(part[i], part[j]), np.maximum(part[i], part[j])
-    pairs = np.unique(np.stack([low, high]), axis=1)
+    """Which parts that meet in one of the table's cells are joined by a link: a row for each two parts."""
+    cell, part, side, unit = (*(table.column(c).to_numpy() for c in ("cell", "part", "side")), _unit(table))
+    low, high = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in _runs(cell):
+        x, p, s = unit[at], part[at], side[at]
+        i, j = np.nonzero((x @ x.T >= threshold) & (p[:, None] < p) & ((s[:, None] != s) | (s < 0)))
+        low.append(p[i])
+        high.append(p[j])
+    pairs = np.unique(np.stack([np.concatenate(low), np.concatenate(high)]), axis=1)
     return pa.table({"a": pairs[0], "b": pairs[1]})
 
 
 def linked_rows(table: pa.Table, threshold: float) -> pa.Table:
-    """For each entry the rows (``n`` of the entries) it links to in one place of its component: between
+    """For each entry the rows (``n`` of the entries) it links to in each place of its component: between
     the two blocks that meet there, or inside the one."""
-    block, n, unit = table.column("block").to_numpy(), table.column("n").to_numpy(), _unit(table)
-    near = unit @ unit.T >= threshold
-    np.fill_diagonal(near, False)
-    if block.min() != block.max():
-        near &= block[:, None] != block[None, :]
-    return pa.table({"id": table.column("id"), "links": near.astype(np.float64) @ n})
+    component, low, high, block, n = (table.column(c).to_numpy() for c in ("component", "low", "high", "block", "n"))
+    unit, links = _unit(table), np.zeros(table.num_rows)
+    for at in _runs(high, low, component):
+        near = unit[at] @ unit[at].T >= threshold
+        np.fill_diagonal(near, False)
+        if low[at[0]] != high[at[0]]:
+            near &= block[at][:, None] != block[at]
+        links[at] = near @ n[at]
+    return pa.table({"id": table.column("id"), "links": links})
 
 
 def link_counts(label: DataFrame, reps: DataFrame, threshold: float, block: int) -> DataFrame:
     """``id`` and ``far``, the rows of other entries that it links to. All its links lie in its component,
-    whose members meet in blocks inside tasks: counts come out, never pairs."""
+    whose members meet in blocks inside tasks: counts come out, never pairs. A task's call takes many
+    small components, about 4,000 entries in all."""
     sizes = label.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("id"), "blocks").cast("int")
     meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("block"), j).alias("low"), F.greatest(F.col("block"), j).alias("high")))
-    placed = label.join(sizes, "component").withColumn("block", own).select("component", "id", "block", F.inline(meet))
-    vectors = reps.select("id", F.col("n").cast("double").alias("n"), "e").hint("merge")
-    found = placed.join(vectors, "id").groupBy("component", "low", "high").applyInArrow(lambda t: linked_rows(t, threshold), "id long, links double")
+    group = F.pmod(F.xxhash64("component", "low", "high"), F.lit(label.count() // 4000 + 1))
+    placed = label.join(sizes, "component").withColumn("block", own).select("component", "id", "block", F.inline(meet)).withColumn("group", group)
+    vectors = reps.select("id", F.col("n").cast("double").alias("n"), "e", F.size("e").alias("size")).hint("merge")
+    found = placed.join(vectors, "id").groupBy("size", "group").applyInArrow(lambda t: linked_rows(t, threshold), "id long, links double")
     return found.groupBy("id").agg(F.sum("links").cast("long").alias("far"))
 
 
@@ -151,8 +168,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, sample_rows: int =
     named = codes.join(label, F.col("id") == F.col("_id"), "left").withColumn("part", F.coalesce("component", "id"))
     members = materialize(named.select("id", "size", "part", F.inline(F.array(*own, *cells))))
     asked = members.groupBy(*place).agg((F.min("part") < F.max("part")).alias("_parts"), ((F.min("side") < F.max("side")) | (F.min("side") < 0)).alias("_sides"))
-    members = members.join(asked.filter("_parts and _sides").select(*place), place)
-    compared = mixed_blocks(members, place, block).join(reps.select("id", "e").hint("merge"), "id").groupBy(*place, "_low", "_high")
+    placed = mixed_blocks(members.join(asked.filter("_parts and _sides").select(*place), place), place, block).withColumn("cell", F.xxhash64(*place, "_low", "_high"))
+    placed = placed.select("id", "part", "side", "size", "cell", F.pmod("cell", F.lit(members.count() // 4000 + 1)).alias("group"))  # many small cells a call
+    compared = placed.join(reps.select("id", "e").hint("merge"), "id").groupBy("size", "group")
     more = compared.applyInArrow(lambda table: joined_parts(table, threshold), "a long, b long")
     label = materialize(components(links.unionByName(more)))
 
