@@ -55,7 +55,7 @@ def least_audit(codes: str) -> tuple[int, str]:
         edge = [(at, q) for at, states in todo.items() for q in range(4) if states >> q & 1]
         while edge:  # edits of cost 0 stay in the layer
             at, target = edge.pop()
-            for code, back in ((codes[at - 1], at - 1), ("", at)):
+            for code, back in ((codes[at - 1 : at], at - 1), ("", at)):
                 if back < 0:
                     continue
                 for q, price, used in _BACK[code][target]:

@@ -56,7 +56,7 @@ def test_least_audit_equals_every_repair():
         assert repair.least_audit(codes) == all_repairs(rows, 2)[:2], codes
     assert repair.least_audit("ua" * 20_000) == (0, "K" * 40_000)
     cost, audit = repair.least_audit("uua" * 10_000)
-    assert cost == 20_000 and len(audit) == 30_000 and set(audit) == {"D", "K"}
+    assert cost == 15_000 and audit == "KRRRKK" * 5_000  # three changed roles in six turns beat two deletions, which cost four
 
 
 def damage(rows):
