@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import filter_audit, itq, langid, lm_mixing, minhash, mixture, packing, repair, sharding, simhash, substring, toxicity
+from . import filter_audit, itq, langid, licenses, lm_mixing, minhash, mixture, packing, repair, sharding, simhash, substring, toxicity
 
 
 def _documents(op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -26,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     ),
     "op6_mixing": _documents(mixture.op6_mixing),
     "op10_sharding": _documents(sharding.op10_sharding),
+    "op11_licenses": _documents(licenses.op11_licenses),
     "op12_repair": lambda spark, sf_dir: repair.op12_repair(spark.read.parquet(f"{sf_dir}/conversations.parquet")),
     "op13_filter_audit": lambda spark, sf_dir: filter_audit.op13_filter_audit(
         spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -58,6 +59,7 @@ e AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec
 r(vec_id, other) AS (SELECT x, x FROM e UNION SELECT r.vec_id, e.y FROM r JOIN e ON e.x = r.other),
 c AS (SELECT vec_id, min(other) AS component FROM r GROUP BY 1), n AS (SELECT x AS vec_id, count(*) AS links FROM e GROUP BY 1)
 SELECT vec_id, coalesce(links, 0) AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)""",
+    "op11_licenses": licenses.SQL,
     "op12_repair": repair.SQL,
     "op13_filter_audit": filter_audit.SQL,
 }

@@ -118,11 +118,12 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
 
 
-def words(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> Words:
+def words(column: pa.Array | pa.ChunkedArray, lower: bool = False, space: np.ndarray = SPACE) -> Words:
+    """``space`` says of each byte whether it parts words."""
     data, offsets = text_bytes(column)
     if lower:
         data = lower_ascii(data)
-    inside = ~SPACE[data]
+    inside = ~space[data]
     first = np.zeros(len(data) + 1, dtype=bool)
     first[offsets] = True
     before = np.concatenate([[False], inside[:-1]]) if len(data) else inside
