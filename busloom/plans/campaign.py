@@ -127,9 +127,28 @@ SELECT can_id, w AS "window", n, 'deviation' AS state FROM t JOIN s USING (can_i
 UNION ALL SELECT DISTINCT can_id, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), 'disabled' FROM t JOIN s USING (can_id) WHERE d = 0""")
 def count_deviations(spark, sf_dir):
     b = bus(spark, sf_dir).select("can_id", "ts_us")
-    learnt = profiles.window_counts(b.filter(F.col("ts_us") < TEST), DAY).groupBy("can_id").agg(F.avg("n").alias("mean_count"), F.stddev_pop("n").alias("std_count"))
+    learnt = features.count_moments(profiles.window_counts(b.filter(F.col("ts_us") < TEST), DAY))
     counts = features.windowed(b.filter(F.col("ts_us") >= TEST), TEST, DAY).groupBy("can_id", "window").agg(F.count("*").alias("n"))
-    return features.count_deviations(counts, learnt, SIGMAS)
+    return features.count_deviations(counts, learnt, str(SIGMAS))
+
+
+_ROUND = 7 * DAY  # the device's clock starts over after so long
+
+
+@query(f""", d AS (SELECT ord, channel, can_id, ts_us % {_ROUND} - CASE WHEN ord % 11 = 0 THEN {HOUR} ELSE 0 END AS t, kind = 'error' AND value > 250 AS fresh FROM bus),
+e AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY channel ORDER BY ord) AS session, row_number() OVER (PARTITION BY channel ORDER BY ord) AS i FROM d),
+w(channel, i, ord, can_id, t, session, segment, anchor, start) AS (SELECT channel, i, ord, can_id, t, session, 1::BIGINT, t, t FROM e WHERE i = 1
+  UNION ALL SELECT channel, i, ord, can_id, t, session, segment + begun::INT, a, a + (greatest(b, t) - a) // {DAY} * {DAY} FROM
+  (SELECT e.*, w.segment, w.session <> e.session OR e.t < w.start AS begun, CASE WHEN w.session <> e.session OR e.t < w.start THEN e.t ELSE w.anchor END AS a,
+    CASE WHEN w.session <> e.session OR e.t < w.start THEN e.t ELSE w.start END AS b FROM w JOIN e ON e.channel = w.channel AND e.i = w.i + 1))
+SELECT channel, segment, anchor AS anchor_us, (start - anchor) // {DAY} AS "window", can_id, count(*) AS frames, min(t) AS first_us, max(t) AS last_us FROM w GROUP BY ALL""")
+def anchored_windows(spark, sf_dir):
+    """Windows counted from each segment's first frame; every eleventh frame comes an hour late."""
+    late = F.when(F.col("ord") % 11 == 0, HOUR).otherwise(0)
+    rows = bus(spark, sf_dir).select("ord", "channel", "can_id", (F.col("ts_us") % _ROUND - late).alias("ts_us"), F.expr("kind = 'error' AND value > 250").alias("_fresh"))
+    line = Timeline(("channel",), ("ord",), "ord div 4096")
+    rows = features.anchored_windows(enrich.session_index(rows, line, F.col("_fresh")), line, "session_index", DAY)
+    return rows.groupBy("channel", "segment", "anchor_us", "window", "can_id").agg(F.count("*").alias("frames"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
 
 
 _TOLERANCES = {"any_tol_0": 0, "any_tol_20": DAY // 72, "any_tol_100": HOUR}

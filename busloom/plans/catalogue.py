@@ -47,7 +47,7 @@ def bus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 COMMON = f"""
-WITH bus AS (SELECT event_id AS ord, epoch_us(ts) AS ts_us, user_id AS can_id, event_type AS kind, value,
+WITH RECURSIVE bus AS (SELECT event_id AS ord, epoch_us(ts) AS ts_us, user_id AS can_id, event_type AS kind, value,
   CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(1 + event_id % 2 AS INTEGER) AS channel, length(props) AS len FROM events),
 frames AS (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY can_id ORDER BY ord) AS dt_us FROM bus),
 prof AS (SELECT can_id, count(*) AS frame_count, count(CASE WHEN dt_us > 0 THEN 1 END) AS interval_count,
