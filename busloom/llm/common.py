@@ -41,17 +41,17 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def dealt_rows(df: DataFrame, text: str, block_bytes: int, name: str = "_block") -> tuple[DataFrame, int]:
+def dealt_rows(df: DataFrame, text: str, block_bytes: int, name: str = "_block", by: list[str] | None = None) -> tuple[DataFrame, int]:
     """``df`` with an int block number, so that a block holds about ``block_bytes`` of text, and the
     bytes of text (16 more a row) in all.
 
     The block follows from a row's own columns alone, so a recomputed task deals every row to the
     same block; rows that share an id, or have none, are dealt by their other columns. Only rows that
-    agree in every column meet. One aggregate over the text lengths sets the number of blocks.
+    agree in every column (or in those of ``by``) always meet. One aggregate over the text lengths sets the number of blocks.
     """
     total = df.agg(F.sum(F.octet_length(text)), F.count("*")).first()
     size = (total[0] or 0) + 16 * total[1]
-    return df.withColumn(name, F.pmod(F.xxhash64(*df.columns), F.lit(size // block_bytes + 1)).cast("int")), size
+    return df.withColumn(name, F.pmod(F.xxhash64(*(by or df.columns)), F.lit(size // block_bytes + 1)).cast("int")), size
 
 
 def numbered(thin: DataFrame, order: list[str], name: str = "row_no") -> DataFrame:

@@ -115,17 +115,21 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, sample_rows: int =
     tasks, which return what parts are joined; links are counted inside the components in the same
     way. So a group of near copies makes no rows for its pairs.
 
-    Equal vectors are one entry with a count. Buckets have no caps. Null, empty or zero vectors and those with null
+    Equal vectors are one entry with a count; components may be as large or small as doubles are. Buckets have no caps. Null, empty or zero vectors and those with null
     or non-finite components link with nothing, vectors of different length not with each
-    other; rows without an id are kept and link with nothing. Rows repeated with one id count once.
+    other; rows without an id are kept and link with nothing. Rows that repeat an id with an equal vector count once; with
+    another vector they are vectors of their own, linked, or not, by their own cosines.
     """
     spark = vectors.sparkSession
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     good = rows.filter(F.col("vec_id").isNotNull() & _usable("e"))
     h1, h2 = F.xxhash64("e"), F.xxhash64(F.lit(7), "e")
     named = good.select("vec_id", h1.alias("h1"), h2.alias("h2"), "e")
-    reps = named.groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.countDistinct("vec_id").alias("n"), F.first("e").alias("e"))
-    reps = materialize(reps)
+    reps = named.groupBy("h1", "h2").agg(F.min("vec_id").alias("first"), F.countDistinct("vec_id").alias("n"), F.first("e").alias("e"))
+    largest = F.array_max(F.transform("e", lambda x: F.abs(x)))  # squares of what is scaled by it neither overflow nor vanish
+    scaled = F.transform("e", lambda x: x / F.col("_largest"))
+    reps = reps.withColumn("_largest", largest).select("h1", "h2", "first", "n", scaled.alias("e"), F.monotonically_increasing_id().alias("id"))
+    reps = materialize(reps)  # a written number tells vectors apart, as an id may have several
 
     total = reps.count()
     few = reps.filter(F.shiftrightunsigned("h1", 12) / F.lit(float(2**52)) < sample_rows / max(1, total))
@@ -176,8 +180,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, sample_rows: int =
 
     degree = link_counts(label, reps, threshold, block).select("id", F.col("far").alias("_far"))
     label = label.withColumnRenamed("id", "_id")
-    entry = reps.select("h1", "h2", "id", "n").join(degree, "id", "left").join(label, F.col("id") == F.col("_id"), "left")
-    entry = entry.select("h1", "h2", (F.coalesce("_far", F.lit(0)) + F.col("n") - 1).alias("_links"), F.coalesce("component", "id").alias("_component"))
+    smallest = label.join(reps.select("id", "first"), F.col("_id") == F.col("id")).groupBy("component").agg(F.min("first").alias("_first"))
+    roots = label.join(smallest, "component").select("_id", "_first")
+    entry = reps.select("h1", "h2", "id", "first", "n").join(degree, "id", "left").join(roots, F.col("id") == F.col("_id"), "left")
+    entry = entry.select("h1", "h2", (F.coalesce("_far", F.lit(0)) + F.col("n") - 1).alias("_links"), F.coalesce("_first", "first").alias("_component"))
     keyed = rows.withColumn("_ok", F.col("vec_id").isNotNull() & _usable("e")).select(
         "vec_id", F.when(F.col("_ok"), h1).alias("h1"), F.when(F.col("_ok"), h2).alias("h2")
     )
@@ -186,7 +192,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, sample_rows: int =
 
 
 def cosine(a: str, b: str):
-    """Cosine of two arrays of doubles."""
+    """Cosine of two arrays of doubles, of which neither's largest component is far from 1."""
     def dot(x: str, y: str):
         products = F.zip_with(x, y, lambda p, q: p * q)
         return F.aggregate(products, F.lit(0.0), lambda s, p: s + p)

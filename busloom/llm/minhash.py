@@ -90,24 +90,30 @@ def band_keys(signatures: np.ndarray, bands: int) -> np.ndarray:
     return keys
 
 
+def multiset_keys(unit: np.ndarray, of: np.ndarray, n: int) -> list[pa.Array]:
+    """The multiset of shingles of each of ``n`` texts in 128 bits."""
+    sums = []
+    for seed in (_COPY, _SEED2):
+        total = np.zeros(n, dtype=np.uint64)
+        np.add.at(total, of, mix(unit ^ seed))
+        sums.append(pa.array(total.view(np.int64)))
+    return sums
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
             unit, of = elements(words(part.column("text")))
             n = part.num_rows
             keys = band_keys(dart_signatures(unit, of, n, BANDS * ROWS), BANDS)
-            sums = []
-            for seed in (_COPY, _SEED2):  # the multiset of shingles in 128 bits
-                total = np.zeros(n, dtype=np.uint64)
-                np.add.at(total, of, mix(unit ^ seed))
-                sums.append(pa.array(total.view(np.int64)))
+            sums = multiset_keys(unit, of, n)
             rows = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
             weight = pa.array(np.bincount(of, minlength=n).astype(np.int64))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), weight, *sums, rows], ["doc_id", "weight", "f1", "f2", "keys"])
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's units as ascending unsigned 32-bit numbers."""
+    """Each text's units as ascending unsigned 32-bit numbers, with the key of its multiset."""
     for batch in batches:
         for part in slices(batch, "text"):
             unit, of = elements(words(part.column("text")))
@@ -115,7 +121,7 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low = low[np.lexsort((low, of))]
             to = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=part.num_rows))]).astype(np.int64) * 4
             body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(to), pa.py_buffer(low.tobytes())])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), body.cast(pa.binary())], ["id", "units"])
+            yield pa.RecordBatch.from_arrays([*multiset_keys(unit, of, part.num_rows), body.cast(pa.binary())], ["f1", "f2", "units"])
 
 
 def _shared(x: np.ndarray, y: np.ndarray) -> int:
@@ -169,8 +175,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, block: int = 1000)
     bands of 8 signature values: a pair at 0.8 is found with probability 0.997, at 0.85 with
     0.99996; every candidate is then checked on its full shingle multisets.
 
-    Documents with the same shingle multiset are one vertex (its smallest doc_id), so a large
-    group of copies costs one row. In a band's bucket each member is first checked against the
+    Documents with the same shingle multiset are one vertex, so a large group of copies costs one row. In a band's bucket each member is first checked against the
     smallest one. What that leaves in different components, though it shares a bucket, is then
     compared within the bucket, so no link that could join two classes is lost; a group of near
     copies that the first step has joined isn't compared with itself, pairs that don't link are
@@ -179,18 +184,20 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, block: int = 1000)
 
     Rows with null or empty text, or without words, link with nothing. Rows with a null doc_id
     are kept and belong to no class unless an equal document has an id. Rows repeated with the
-    same doc_id count as one document.
+    same doc_id and shingles count as one document; where an id has different texts, each text has its
+    own links, and a row of its own in its own class (``kept`` then holds for every row with the class's id).
     """
     sig = materialize(docs.select("doc_id", "text").mapInArrow(_signed, "doc_id long, weight long, f1 long, f2 long, keys array<long>"))
-    reps = sig.filter("weight > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
-    reps = materialize(reps)
-    entries = reps.filter("rep is not null").select("rep", F.explode("keys").alias("key"))
+    reps = sig.filter("weight > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"))
+    reps = materialize(reps.withColumn("rep", F.monotonically_increasing_id()))  # a written number: an id may have several texts
+    entries = reps.filter("first is not null").select("rep", F.explode("keys").alias("key"))
     hubs = entries.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     shared = materialize(entries.join(hubs, "key"))
-    asked = shared.select(F.col("rep").alias("id")).distinct().hint("merge")  # the same plan at every size
+    asked = reps.join(shared.select("rep").distinct(), "rep", "left_semi").select(F.col("rep").alias("id"), "first", "f1", "f2").hint("merge")  # the same plan at every size
     text = docs.select("doc_id", "text")
-    listed = text.join(asked, text["doc_id"] == asked["id"], "left_semi").mapInArrow(_listed, "id long, units binary")
-    listed = materialize(listed.groupBy("id").agg(F.first("units").alias("units")))
+    listed = text.join(asked, text["doc_id"] == asked["first"], "left_semi").mapInArrow(_listed, "f1 long, f2 long, units binary")
+    listed = listed.groupBy("f1", "f2").agg(F.first("units").alias("units"))
+    listed = materialize(listed.join(asked, ["f1", "f2"]).select("id", "units"))
     units = lambda c, u: listed.select(F.col("id").alias(c), F.col("units").alias(u)).hint("merge")
 
     stars = shared.filter("rep > hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
@@ -203,8 +210,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, block: int = 1000)
     more = compared.applyInArrow(lambda t: cross_links(t, threshold), "a long, b long")
     label = components(links.unionByName(more))
 
-    classes = reps.select("f1", "f2", "rep").join(label, reps["rep"] == label["id"], "left")
-    classes = classes.select("f1", "f2", F.coalesce("component", "rep").alias("_class"))
+    named = reps.select("f1", "f2", "first", "rep").join(label, reps["rep"] == label["id"], "left")
+    smallest = named.filter("component is not null").groupBy("component").agg(F.min("first").alias("_least"))
+    classes = named.join(smallest, "component", "left").select("f1", "f2", F.coalesce("_least", "first").alias("_class"))
     out = sig.select("doc_id", "weight", "f1", "f2").join(classes, ["f1", "f2"], "left")
     class_id = F.when(F.col("weight") > 0, F.col("_class")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "weight", class_id.alias("class_id"))

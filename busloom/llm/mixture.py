@@ -41,6 +41,18 @@ def _boundary(histogram: DataFrame, over: list[str], bucket: str) -> DataFrame:
     return out.select(*over, bucket, "_words", (F.col("_need") - (F.col("_upto") - F.col("_words"))).alias("_need"))
 
 
+def _tied(sized: DataFrame, edge: DataFrame) -> DataFrame:
+    """The rows that hold a source's threshold itself (``_row``), and whether they still go in (``_in``: with
+    half of the row or more within what is open). Repeated rows can be many: they are added up within the parts of the written table first."""
+    rows = sized.join(edge, ["_key", "_h"]).withColumn("_part", F.shiftrightunsigned("_row", 33))
+    upto = W.partitionBy("_key", "_part").orderBy("_row").rowsBetween(W.unboundedPreceding, 0)
+    before = W.partitionBy("_key").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    parts = rows.groupBy("_key", "_part").agg(F.sum("size").alias("_words"))
+    parts = parts.select("_key", "_part", F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_before"))
+    run = rows.withColumn("_upto", F.sum("size").over(upto)).join(parts, ["_key", "_part"])
+    return run.select("_row", (2 * (F.col("_before") + F.col("_upto")) - F.col("size") <= 2 * F.col("_open")).alias("_in"))
+
+
 def mix_to_targets(
     docs: DataFrame, weights: list[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 0, keep: list[str] = ("doc_id",),
 ) -> DataFrame:
@@ -55,14 +67,16 @@ def mix_to_targets(
     pre-aggregated before its shuffle; rows join their decision on (source, bucket), so a source
     with a third of all rows is spread over many keys. Nothing is sorted by hash but histograms.
 
-    The hash covers ``keep`` and the seed, so reruns and other partitionings agree. Rows that
-    agree in it (repeated rows) are taken or left together. Null or empty texts have size 0 and
+    The hash covers ``keep``, the text and the seed, so reruns and other partitionings agree. Rows that
+    agree in all of these (repeated rows) and hold the threshold are counted off, by running sums within
+    a written file's part and over the parts, until the budget is met: which of the equal rows are taken may
+    differ between runs, how many doesn't. Null or empty texts have size 0 and
     take part with 0 words; an empty table gives an empty result.
     """
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keep), 64 - BITS * LEVELS)
+    h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keep, "text"), 64 - BITS * LEVELS)
     key = F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), "source"))
-    sized = materialize(docs.select(*keep, key.alias("_key"), size.alias("size"), h.alias("_h")))
+    sized = materialize(docs.select(*keep, key.alias("_key"), size.alias("size"), h.alias("_h"), F.monotonically_increasing_id().alias("_row")))
     for k in range(LEVELS):
         b = F.shiftrightunsigned("_h", BITS * (LEVELS - 1 - k)).bitwiseAND(2**BITS - 1)
         sized = sized.withColumn(f"_b{k}", b.cast("int"))
@@ -79,13 +93,14 @@ def mix_to_targets(
         over = ["_key", *[f"_b{j}" for j in range(k)]]
         finer = sized.join(edge.select(*over, "_need"), over).groupBy(*over, f"_b{k}")
         edge = _boundary(finer.agg(F.sum("size").alias("_words"), F.max("_need").alias("_need")), over, f"_b{k}")
-    last = F.when(F.col("_need") * 2 >= F.col("_words"), 1).otherwise(0)  # the nearer side
-    cut = sum((F.col(f"_b{k}").cast("long") * 2 ** (BITS * (LEVELS - 1 - k)) for k in range(LEVELS)), last)
-    plan = plan.join(edge.select("_key", cut.alias("_cut")), "_key", "left").drop("_need")
+    cut = sum((F.col(f"_b{k}").cast("long") * 2 ** (BITS * (LEVELS - 1 - k)) for k in range(LEVELS)), F.lit(0))
+    edge = edge.select("_key", cut.alias("_cut"), F.col("_need").alias("_open"))
+    plan = plan.join(edge, "_key", "left").drop("_need")
 
     decided = first.select("_key", "_b0").join(plan, "_key")
-    under = F.coalesce((F.col("_h") < F.col("_cut")).cast("long"), F.lit(0))
-    out = sized.join(decided, ["_key", "_b0"]).withColumn("copies", F.col("_whole") + under)
+    counted = _tied(sized, edge.withColumnRenamed("_cut", "_h"))
+    under = F.coalesce((F.col("_h") < F.col("_cut")) | F.col("_in"), F.lit(False)).cast("long")
+    out = sized.join(decided, ["_key", "_b0"]).join(counted, "_row", "left").withColumn("copies", F.col("_whole") + under)
     return out.select(*keep, "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 

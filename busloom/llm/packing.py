@@ -201,47 +201,70 @@ class Index:
         return np.bincount(self.post_doc[at], self.post[at], self.documents)
 
 
-def packing_order(index: Index, sizes: np.ndarray, same: np.ndarray, room: int) -> np.ndarray:
-    """All documents of a shard in packing order: a window's seed is the document that the last
-    window cut (or the first unused one); its best unused neighbours follow until it is full. A
-    document equal (``same``) to one of the window waits for another window."""
-    n = len(sizes)
-    unused, order, low = np.ones(n, dtype=bool), [], 0
-    seed, filled, held = None, 0, set()
-    while len(order) < n:
+def packing_order(index: Index, sizes: np.ndarray, same: np.ndarray, room: int, copies: np.ndarray | None = None) -> np.ndarray:
+    """All entries of a shard's index in packing order, each as often as it has ``copies`` (None: one): a
+    window's seed is the entry that the last window cut (or the first unused one); its best unused
+    neighbours follow until it is full. An entry equal (``same``) to one that follows the seed
+    waits until the others are used up, and then the first unused entry is the seed.
+
+    A search ranks only what is unused and shares a term with the seed, and walks as many entries as it takes. Searches
+    end with a full window or after a copy of every unused entry, so many equal texts cost no more than others.
+    """
+    left = np.ones(len(sizes), dtype=np.int64) if copies is None else copies.astype(np.int64)
+    order, unused, filled, seed = [], np.arange(len(sizes)), 0, None
+    total = int(left.sum())
+
+    def use(entry: int) -> None:
+        nonlocal filled
+        order.append(entry)
+        left[entry] -= 1
+        filled += int(sizes[entry])
+
+    while len(order) < total:
+        unused = unused[left[unused] > 0]
         if seed is None:
-            while not unused[low]:
-                low += 1
-            seed = low
-            order.append(seed)
-            unused[seed] = False
-            filled += sizes[seed]
-        held = {same[seed]}
-        left = (-filled) % room  # of the seed's window
-        score = index.scores(seed)
-        score[~unused] = -1
-        seed = None
-        while left > 0 and len(order) < n:
-            best = int(score.argmax())
-            if score[best] < 0:
+            seed = int(unused[0])
+            if len(unused) == 1:  # only copies of one entry are left
+                order += [seed] * int(left[seed])
+                break
+            use(seed)
+        free = -filled % room  # of the seed's window
+        score = index.scores(seed)[unused]
+        found, rest = np.flatnonzero(score > 0), np.flatnonzero(score <= 0)
+        found = found[np.argsort(-score[found], kind="stable")]
+        held, seed = {same[seed]}, None
+        for entry in chain(unused[found], unused[rest]):
+            if free <= 0:
                 break
-            score[best] = -1
-            if same[best] in held:
+            if same[entry] in held:
                 continue
-            unused[best] = False
-            held.add(same[best])
-            order.append(best)
-            filled += sizes[best]
-            if sizes[best] > left:
-                seed = best  # cut by this window's end
-            left -= min(left, sizes[best])
+            held.add(same[entry])
+            use(int(entry))
+            if sizes[entry] > free:
+                seed = int(entry)  # cut by this window's end
+            free -= min(free, int(sizes[entry]))
     return np.array(order)
 
 
+def shard_order(ids: np.ndarray, at: np.ndarray, same: np.ndarray, weights: Weights, room: int) -> np.ndarray:
+    """A shard's rows in packing order. Rows with equal ``same`` are copies of one entry of the index."""
+    _, first, entry, copies = np.unique(same, return_index=True, return_inverse=True, return_counts=True)
+    by_place = np.argsort(first)  # entries in the order of their first rows
+    first, copies = first[by_place], copies[by_place]
+    number = np.empty(len(first), dtype=np.int64)
+    number[by_place] = np.arange(len(first))
+    size = np.diff(at)[first]
+    index = Index(ids[_ranges(at[first], size)], np.concatenate([[0], np.cumsum(size)]), weights)
+    order = packing_order(index, size, np.arange(len(first)), room, copies)
+    rows = np.empty(len(order), dtype=np.int64)
+    rows[np.argsort(order, kind="stable")] = np.argsort(number[entry], kind="stable")  # an entry's rows in turn
+    return rows
+
+
 def pack_shard(table: pa.Table, weights: Weights, kind: type, room: int, shard: int) -> dict[str, np.ndarray]:
     ids, at = _flat(table.column("ids"), kind)
     sizes = np.diff(at)
-    order = packing_order(Index(ids, at, weights), sizes, table.column("same").to_numpy(), room)
+    order = shard_order(ids, at, table.column("same").to_numpy(), weights, room)
     ends = np.cumsum(sizes[order])
     total = int(ends[-1])
     # sequence bounds: full windows, then the rest in powers of two, so that nothing is padded
@@ -281,7 +304,7 @@ def pack(docs: DataFrame, tokenizer: str, room: int = 2048, end_id: int = 1, sha
     shard has its own BM25 index with the corpus's weights, so no posting list outgrows a shard; a
     window's seed is followed by its best unused neighbours of the shard, in order of score,
     and the document that overflows the window is cut and seeds the next. Equal
-    documents aren't put into one window while there are others. Only a shard's last window can be
+    documents are one entry of the index with a number of copies, and aren't put into one window while there are others. Only a shard's last window can be
     short; it is cut into powers of two, which need no padding.
 
     Rows that repeat an id, and rows without one, are packed each for itself; an empty table gives none.

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import dealt_rows
+from .common import WORD, dealt_rows
 from .words import Words, member, slices, words
 
 #: A perfect difference cover. Every residue modulo PERIOD is a difference of two of COVER.
@@ -73,14 +73,21 @@ def dedup_substrings(docs: DataFrame, window: int = 35, block_bytes: int = 4 <<
     anywhere go back to the blocks that hold them; (2) only windows around such anchors are
     hashed (128 bits) and counted in the same way, and a block gets back those of its windows that
     occur once, which are few; (3) words covered by the other such windows go. A window that occurs in very many texts makes one row per block, not one per text or pair.
-    The plan needs window > PERIOD. ``docs`` must have doc_id and text; other columns are kept, but for
-    those of the new names, which are replaced.
+    The plan needs window > PERIOD. ``docs`` must have doc_id and text; other columns of any type are kept, but for
+    those of the new names, which are replaced. Rows that agree in doc_id and text share a block.
     """
     if window <= PERIOD:
         raise ValueError(f"the window must have more than {PERIOD} words")
     docs = docs.drop("n_words", "n_removed", "kept_text")
+    names = docs.columns
+    own = {c: f"{c}{'_' * (1 + max(map(len, names)))}" for c in names if c.lower() == "_block"}  # gets its name back at the end
+    docs = docs.withColumnsRenamed(own)
     schema = docs.schema
-    dealt, _ = dealt_rows(docs, "text", block_bytes)
+    # texts without a window, nulls and empty ones among them, need no block, however often they repeat
+    long = F.coalesce(F.octet_length("text") >= 2 * window - 1, F.lit(False))
+    found = F.coalesce(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    short = docs.filter(~long).withColumns({"n_words": F.size(found).cast("long"), "n_removed": F.lit(0).cast("long"), "kept_text": F.array_join(found, " ")})
+    dealt, _ = dealt_rows(docs.filter(long), "text", block_bytes, by=["doc_id", "text"])
 
     def anchors(table: pa.Table) -> pa.Table:
         found = [_anchors(words(part.column("text")), window)[1] for part in slices(table, "text")]
@@ -147,7 +154,8 @@ def dedup_substrings(docs: DataFrame, window: int = 35, block_bytes: int = 4 <<
         parts = clean(table, known.filter(pc.invert(whole)).select(["h1"]).rename_columns(["h"]), known.filter(whole))
         return pa.concat_tables(parts) if parts else pa.table({f: [] for f in [*schema.names, "n_words", "n_removed", "kept_text"]})
 
-    return by_block(dealt).cogroup(by_block(both)).applyInArrow(last, names + added)
+    cleaned = by_block(dealt).cogroup(by_block(both)).applyInArrow(last, names + added)
+    return cleaned.unionByName(short).withColumnsRenamed({new: old for old, new in own.items()})
 
 
 def op4_substring(docs: DataFrame) -> DataFrame:
