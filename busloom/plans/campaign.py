@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from busloom.operators import campaign, enrich, features, profiles, protocol, ranges, rules
+from busloom.operators import alignment, campaign, enrich, features, profiles, protocol, ranges, rules
 from busloom.operators.timeline import Timeline
 from busloom.plans.catalogue import (
-    _EPISODES, _MATCH, _SLACK, _UNION, BURST, BURST_FRAMES, BY_CHANNEL, BY_ID, DAY, DAYS, HIGH, LOW, ORACLES, QUERIES, SIGMAS, TEST, TOLERANCE, _episodes, _events, _frames, _matched, _profile, bus, query,
+    _EPISODES, _MATCH, _SLACK, _UNION, BURST, BURST_FRAMES, BY_CHANNEL, BY_ID, DAY, DAYS, HIGH, LOW, ORACLES, QUERIES, SIGMAS, START, TEST, TOLERANCE, _episodes, _events, _frames, _matched, _profile, bus, query,
 )
 
 __all__ = ["ORACLES", "QUERIES"]  # the catalogue's, with those below
@@ -251,3 +251,47 @@ def validation_checks(spark, sf_dir):
     hit = e.join(_matched(spark, sf_dir).filter("episode is not null").groupBy("episode").agg(F.lit(True).alias("hit")), "episode", "left")
     times = _frames(spark, sf_dir).groupBy(F.col("can_id").alias("episode")).agg(F.min(F.coalesce("dt_us", F.lit(0))).alias("least"))
     return campaign.checks([("silence", silent, F.coalesce("n", F.lit(0)) == 0), ("detected", hit, F.col("hit")), ("ordered_times", times, F.col("least") >= 0)], "episode")
+
+
+# Received frames are those sent but for losses, some of them many in a row, and repeats, each a few minutes off.
+_WALK = f""", tx AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ord) - 1 AS no FROM
+  (SELECT kind || '-' || CAST((ts_us - {START}) // {6 * DAY} AS VARCHAR) AS session, ord, ts_us AS t, can_id % 7 AS sig, k FROM bus)),
+rx AS MATERIALIZED (SELECT session, sig, t + (k % 20 - 10) * 60000000 AS t, row_number() OVER (PARTITION BY session ORDER BY ord, again) - 1 AS no FROM tx, (VALUES (0), (1)) AS r(again)
+  WHERE ord % 17 <> 3 AND no % 300 NOT BETWEEN 250 AND 264 AND (again = 0 OR ord % 23 = 5)),
+cand AS MATERIALIZED (SELECT a.session, a.no AS i, b.no AS j, b.t - a.t AS away FROM tx a JOIN rx b ON a.session = b.session AND a.sig = b.sig AND abs(b.t - a.t) <= {HOUR}),
+nxt AS MATERIALIZED (SELECT DISTINCT ON (n.session, n.i, n.j) n.session, n.i, n.j, c.i AS to_i, c.j AS to_j
+  FROM (SELECT session, i, j FROM cand UNION ALL SELECT DISTINCT session, -1, -1 FROM tx) n JOIN cand c ON c.session = n.session AND c.i - n.i BETWEEN 1 AND 12 AND c.j - n.j BETWEEN 1 AND 12
+  ORDER BY n.session, n.i, n.j, c.i + c.j, abs(c.away), c.i),
+walk AS (SELECT DISTINCT session, CAST(-1 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS j FROM tx UNION ALL SELECT n.session, n.to_i, n.to_j FROM walk w JOIN nxt n ON n.session = w.session AND n.i = w.i AND n.j = w.j),
+ends AS (SELECT session, max(w.i) + 1 AS i, max(w.j) + 1 AS j FROM walk w GROUP BY session),
+stops AS MATERIALIZED (SELECT * FROM ends e WHERE i < (SELECT count(*) FROM tx WHERE tx.session = e.session) AND j < (SELECT count(*) FROM rx WHERE rx.session = e.session)),
+told AS MATERIALIZED (SELECT session, i, count(*) AS choices FROM cand GROUP BY 1, 2),
+aligned AS (SELECT a.session, CASE WHEN w.j IS NOT NULL THEN 'matched' WHEN a.no >= s.i THEN 'unresolved' ELSE 'missing' END AS outcome, a.no AS tx_no, w.j AS rx_no, c.away AS residual_us, coalesce(d.choices, 0) AS choices
+  FROM tx a LEFT JOIN walk w ON w.session = a.session AND w.i = a.no LEFT JOIN cand c ON c.session = w.session AND c.i = w.i AND c.j = w.j
+  LEFT JOIN told d ON d.session = a.session AND d.i = a.no LEFT JOIN stops s ON s.session = a.session
+  UNION ALL SELECT b.session, CASE WHEN b.no >= s.j THEN 'unresolved' ELSE 'extra' END, NULL, b.no, NULL, 0
+  FROM rx b LEFT JOIN stops s ON s.session = b.session WHERE NOT EXISTS (SELECT 1 FROM walk w WHERE w.session = b.session AND w.j = b.no))
+"""
+
+
+def _aligned(spark, sf_dir):
+    days = F.floor((F.col("ts_us") - START) / (6 * DAY)).cast("string")
+    sent = bus(spark, sf_dir).select(F.concat("kind", F.lit("-"), days).alias("session"), "ord", "ts_us", (F.col("can_id") % 7).alias("sig"), "k")
+    tx = Timeline(("session",), ("ord",), DAYS).running_sum(sent, F.lit(1), "no").withColumn("no", F.col("no") - 1)
+    heard = tx.filter("ord % 17 <> 3 and no % 300 not between 250 and 264").withColumn("again", F.explode(F.sequence(F.lit(0), (F.col("ord") % 23 == 5).cast("int")))).drop("no")
+    rx = Timeline(("session",), ("ord", "again"), DAYS).running_sum(heard, F.lit(1), "no").withColumn("no", F.col("no") - 1)
+    t = lambda df, at: df.select("session", "no", at.alias("t_us"), "sig")
+    return alignment.align_in_order(t(tx, F.col("ts_us")), t(rx, F.col("ts_us") + (F.col("k") % 20 - 10) * 60_000_000), ["sig"], HOUR)
+
+
+@query(_WALK + "SELECT session, outcome, tx_no, rx_no, residual_us, choices FROM aligned")
+def order_alignment(spark, sf_dir):
+    """Every sent and received frame, matched in order, missing, extra, or after a place that nothing bridges."""
+    return _aligned(spark, sf_dir)
+
+
+@query(_WALK + """SELECT session, count(CASE WHEN outcome = 'matched' THEN 1 END) AS matched, count(CASE WHEN outcome = 'missing' THEN 1 END) AS missing, count(CASE WHEN outcome = 'extra' THEN 1 END) AS extra,
+  count(CASE WHEN outcome = 'unresolved' THEN 1 END) AS unresolved, count(CASE WHEN outcome = 'matched' AND choices > 1 THEN 1 END) AS ambiguous, coalesce(max(abs(residual_us)), 0) AS max_residual_us,
+  count(CASE WHEN outcome <> 'matched' THEN 1 END) = 0 AS exact_full_order FROM aligned GROUP BY session""")
+def alignment_totals(spark, sf_dir):
+    return alignment.alignment_summary(_aligned(spark, sf_dir))

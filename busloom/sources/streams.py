@@ -1,4 +1,4 @@
-"""Running a stream to its end over stored rows, in the folder that the cluster shares."""
+"""Tables in the folder that the cluster shares, and streams run to their end over them."""
 
 from __future__ import annotations
 
@@ -21,6 +21,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root}/{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read back: what several plans use is worked out once, and lineage ends."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def run_once(spark: SparkSession, rows: DataFrame, schema: StructType, query: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Writes ``rows`` as the stream's input, runs ``query`` on the stream until nothing is left,
     and returns what it appended. State and results lie in the shared folder."""
