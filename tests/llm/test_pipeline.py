@@ -78,4 +78,4 @@ def test_nothing_goes_without_labels_and_mixing_counts_rows(spark, tmp_path):
 
 def test_every_operator_has_a_query():
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
