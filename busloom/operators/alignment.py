@@ -1,109 +1,116 @@
-"""Order alignment of sent and received frames: a greedy walk over both sequences, cut into blocks.
+"""Order alignment of sent and received frames: a greedy walk over both sequences, cut into rounds.
 
-The walk's state is the pair it matched last, and the next pair follows from that one alone. So all
-pairs that could match are nodes, each with one successor, and the walk is the path from the start. Blocks of the
-sent sequence are summed up first (where does each node leave the block?), then blocks of blocks;
-on the way back each block is walked from the one node at which the path enters it.
+The walk's state is the pair it matched last, and the next pair follows from that one and at most ``reach`` frames ahead on
+either side. So no table of all pairs that could match is needed (they grow with the square of the traffic's
+density): each round walks the next ``block`` frames of every session from the pair at which the round before left it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from busloom.sources.streams import stored
-
-NODE, NEXT = ["i", "j"], ["to_i", "to_j"]
-EDGES = "session string, i long, j long, to_i long, to_j long"
-#: The start comes before the first pair; a node without successor leads to END.
-START, END = -1, -2
-
-
-def _same(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
-    both = F.lit(True)
-    for c in columns:
-        both = both & left[c].eqNullSafe(right[f"_{c}"])
-    return both
-
-
-def candidate_pairs(tx: DataFrame, rx: DataFrame, signature: list[str], tolerance: int) -> DataFrame:
-    """All pairs of a session's sent and received frames with equal signature and times at most ``tolerance``
-    apart: ``session``, ``i`` and ``j`` (their ``no``) and ``residual_us``. They meet by signature and time bucket."""
-    near = F.explode(F.array(*[F.floor(F.col("t_us") / tolerance) + k for k in (-1, 0, 1)]))
-    sent = tx.select("session", F.col("no").alias("i"), F.col("t_us").alias("_tx"), *signature, near.alias("_b"))
-    got = rx.select(F.col("session").alias("_session"), F.col("no").alias("j"), F.col("t_us").alias("_rx"), *[F.col(c).alias(f"_{c}") for c in signature], F.floor(F.col("t_us") / tolerance).alias("_c"))
-    pairs = sent.join(got, _same(sent, got, ["session", *signature]) & (sent["_b"] == got["_c"]))
-    pairs = pairs.withColumn("residual_us", F.col("_rx") - F.col("_tx")).filter(F.abs("residual_us") <= tolerance)
-    return pairs.select("session", "i", "j", "residual_us")
-
-
-def successors(pairs: DataFrame, sessions: DataFrame, reach: int) -> DataFrame:
-    """Each pair's (and each session's start's) next pair: of those at most ``reach`` frames on, on both sides,
-    the one with the fewest frames skipped, then the smaller residual, then the earlier sent frame."""
-    block = lambda c: F.floor(F.col(c) / reach)
-    ahead = lambda c: F.explode(F.array(F.floor((F.col(c) + 1) / reach), F.floor((F.col(c) + 1) / reach) + 1))
-    nodes = pairs.select("session", *NODE).unionByName(sessions.select("session", F.lit(START).cast("long").alias("i"), F.lit(START).cast("long").alias("j")))
-    asking = nodes.withColumn("_bi", ahead("i")).withColumn("_bj", ahead("j"))
-    found = pairs.select(F.col("session").alias("_session"), F.col("i").alias("to_i"), F.col("j").alias("to_j"), F.abs("residual_us").alias("_away"), block("i").alias("_ci"), block("j").alias("_cj"))
-    meet = _same(asking, found, ["session"]) & (F.col("_bi") == F.col("_ci")) & (F.col("_bj") == F.col("_cj"))
-    inside = (F.col("to_i") - F.col("i")).between(1, reach) & (F.col("to_j") - F.col("j")).between(1, reach)
-    best = F.min(F.struct((F.col("to_i") + F.col("to_j")).alias("skipped"), "_away", "to_i", "to_j"))
-    steps = asking.join(found, meet & inside).groupBy("session", *NODE).agg(best.alias("_next"))
-    steps = steps.select(F.col("session").alias("_session"), F.col("i").alias("_i"), F.col("j").alias("_j"), F.col("_next.to_i").alias("to_i"), F.col("_next.to_j").alias("to_j"))
-    out = nodes.join(steps, _same(nodes, steps, ["session", *NODE]), "left")
-    return out.select("session", *NODE, *[F.coalesce(c, F.lit(END)).cast("long").alias(c) for c in NEXT])
-
-
-def _leave(rows: pd.DataFrame) -> pd.DataFrame:
-    """A block's nodes, each with the first node of its path that lies outside."""
-    rows = rows.sort_values(NODE, ascending=False, ignore_index=True)  # successors come first
-    place = {node: k for k, node in enumerate(zip(rows["i"], rows["j"]))}
-    to_i, to_j = rows["to_i"].to_numpy().copy(), rows["to_j"].to_numpy().copy()
-    for k, node in enumerate(zip(rows["to_i"], rows["to_j"])):
-        inside = place.get(node)
-        if inside is not None:
-            to_i[k], to_j[k] = to_i[inside], to_j[inside]
-    return rows.assign(to_i=to_i, to_j=to_j)
-
-
-def _walk(rows: pd.DataFrame) -> pd.DataFrame:
-    """The nodes of a block's path from the one that is marked (``on``), if any is."""
-    place = {node: k for k, node in enumerate(zip(rows["i"], rows["j"]))}
-    path, at = [], next(iter(np.flatnonzero(rows["on"])), None)
-    while at is not None:
-        path.append(at)
-        at = place.get((rows["to_i"].iat[at], rows["to_j"].iat[at]))
-    return rows.iloc[path][["session", *NODE]]
-
-
-def greedy_path(edges: DataFrame, block: int = 1024) -> DataFrame:
-    """The nodes (session, i, j) on the path from every session's start, itself left out.
-
-    Three levels: blocks of ``block`` sent frames, of ``block`` such blocks, and what is left of a session, which is one row for
-    each node at which a path may enter a block of the second level.
+from busloom.sources.streams import shared_folder, stored
+
+from .ranges import count_in_ranges
+from .timeline import join_null_safe
+
+#: Pairs of the path; ``more`` is null but in the last row of a session that goes on, which is where it goes on.
+PATH = "session string, i long, j long, residual_us long, more boolean"
+#: The start comes before the first pair.
+START = -1
+
+
+def _walk(signature: list[str], tolerance: int, reach: int, block: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The walk over the next ``block`` frames of both sides of one session, after the pair (``i``, ``j``)."""
+
+    def same(rows: pd.DataFrame) -> np.ndarray:
+        """Equal numbers for equal signatures; nulls equal each other."""
+        codes = np.zeros(len(rows), "int64")
+        for c in signature:
+            for values in (rows[c], rows[f"_null_{c}"]):
+                codes = pd.factorize(codes * len(rows) + pd.factorize(values, use_na_sentinel=False)[0])[0].astype("int64")
+        return codes
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        session, i, j = rows["session"].iat[0], int(rows["i"].iat[0]), int(rows["j"].iat[0])
+        rows = rows.assign(_sig=same(rows))
+        tx, rx = (rows[rows["_side"] == k].sort_values("no") for k in (0, 1))
+        # Frames without a time match nothing.
+        tx_sig, rx_sig = (side["_sig"].where(side["_timed"], none).tolist() for side, none in ((tx, -1), (rx, -2)))
+        tx_t, rx_t = tx["t_us"].tolist(), rx["t_us"].tolist()
+        n_tx, n_rx, found, more, x, y = len(tx), len(rx), [], False, 0, 0
+        while True:
+            if (n_tx == block and x + reach > n_tx) or (n_rx == block and y + reach > n_rx):
+                more = True  # the window reaches beyond the block
+                break
+            best, wide, high = None, min(reach, n_tx - x), min(reach, n_rx - y)
+            for skipped in range(wide + high - 1 if wide and high else 0):
+                for a in range(max(0, skipped - high + 1), min(wide, skipped + 1)):
+                    b = skipped - a
+                    if tx_sig[x + a] == rx_sig[y + b]:
+                        residual = rx_t[y + b] - tx_t[x + a]
+                        if abs(residual) <= tolerance and (best is None or abs(residual) < abs(best[2])):
+                            best = a, b, residual
+                if best is not None:
+                    break
+            if best is None:
+                break
+            x, y = x + best[0] + 1, y + best[1] + 1
+            found.append((i + x, j + y, best[2], None))
+        if more:
+            found.append((i + x, j + y, None, True))
+        out = pd.DataFrame(found, columns=["i", "j", "residual_us", "more"], dtype=object)
+        out = out.astype({"i": "int64", "j": "int64", "residual_us": "Int64", "more": "boolean"})
+        out.insert(0, "session", pd.Series([session] * len(out), dtype=object))
+        return out
+
+    return walk
+
+
+def _cut(frames: DataFrame, signature: list[str], block: int) -> DataFrame:
+    """The frames in the shared folder, in parts of ``block`` of each session, so that a round reads the parts that it needs."""
+    rows = frames.select(
+        "session", F.col("no").cast("long").alias("no"), F.coalesce(F.col("t_us").cast("long"), F.lit(0)).alias("t_us"), F.col("t_us").isNotNull().alias("_timed"),
+        *signature, *[F.col(c).isNull().alias(f"_null_{c}") for c in signature], F.floor(F.col("no") / block).alias("_part"),
+    )
+    path = shared_folder(rows.sparkSession)
+    rows.write.partitionBy("_part").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def greedy_path(tx: DataFrame, rx: DataFrame, signature: list[str], tolerance: int, reach: int, block: int) -> DataFrame:
+    """The pairs (session, i, j, residual_us) that the walk matches, of frames cut into parts of ``block``: from a pair on, of the pairs at most ``reach`` frames on, on both
+    sides, the one with the fewest frames skipped, then the smaller residual, then the earlier sent frame.
+
+    A round takes up to ``block`` frames of either side of each session, so no task gets more, and there are
+    about as many rounds as the longest session has blocks. The driver gets four numbers a round.
     """
-    within = lambda size: ["session", F.floor(F.greatest("i", F.lit(0)) / size).alias("_block")]
-    mark = lambda nodes: nodes.select(F.col("session").alias("_session"), F.col("i").alias("_i"), F.col("j").alias("_j"), F.lit(True).alias("_on"))
-    levels = [edges]
-    for size in (block, block * block):
-        out = stored(levels[-1].groupBy(*within(size)).applyInPandas(_leave, EDGES))
-        entered = mark(out.select("session", F.col("to_i").alias("i"), F.col("to_j").alias("j")).distinct())
-        kept = out.join(entered, _same(out, entered, ["session", *NODE]), "left").filter(F.col("_on") | (F.col("i") == START))
-        levels.append(stored(kept.select("session", *NODE, *NEXT)))
-    path = None
-    for rows, groups in zip(reversed(levels), (["session"], within(block * block), within(block))):
-        if path is None:
-            rows = rows.withColumn("on", F.col("i") == START)
-        else:
-            entered = mark(path)
-            rows = rows.join(entered, _same(rows, entered, ["session", *NODE]), "left").withColumn("on", F.coalesce("_on", F.lit(False)))
-        path = rows.select("session", *NODE, *NEXT, "on").groupBy(*groups).applyInPandas(_walk, "session string, i long, j long")
-    return path.filter(F.col("i") > START)
-
-
-def align_in_order(tx: DataFrame, rx: DataFrame, signature: list[str], tolerance: int, reach: int = 12, block: int = 1024) -> DataFrame:
+    sides = {"i": tx, "j": rx}
+    both = tx.select("session").unionByName(rx.select("session")).distinct()
+    at = both.select("session", *[F.lit(START).cast("long").alias(c) for c in sides])
+    ends = {c: (START, START) for c in sides}
+    rounds = []
+    while ends is not None:
+        parts = []
+        for k, (c, frames) in enumerate(sides.items()):
+            first, last = (ends[c][0] + 1) // block, (ends[c][1] + block) // block
+            near = join_null_safe(frames.filter(F.col("_part").between(first, last)).drop("_part"), at, ["session"])
+            parts.append(near.filter((F.col("no") > F.col(c)) & (F.col("no") <= F.col(c) + block)).withColumn("_side", F.lit(k)))
+        steps = stored(parts[0].unionByName(parts[1]).groupBy("session").applyInPandas(_walk(signature, tolerance, reach, block), PATH))
+        rounds.append(steps.filter("more is null").drop("more"))
+        at = steps.filter("more").select("session", *sides)
+        least = at.agg(*[f(c) for c in sides for f in (F.min, F.max)]).first()  # four numbers
+        ends = None if least[0] is None else {"i": (least[0], least[1]), "j": (least[2], least[3])}
+    return reduce(DataFrame.unionByName, rounds)
+
+
+def align_in_order(tx: DataFrame, rx: DataFrame, signature: list[str], tolerance: int, reach: int = 12, block: int = 2**18) -> DataFrame:
     """Every frame of both sides with what became of it: ``session``, ``outcome``, ``tx_no``, ``rx_no``,
     ``residual_us`` and ``choices`` (received frames that the sent one could have been matched with).
 
@@ -114,12 +121,15 @@ def align_in_order(tx: DataFrame, rx: DataFrame, signature: list[str], tolerance
     a place where nothing within reach matches while both sides still have frames. Null signatures
     equal each other, frames without a time match nothing, and a session of one side only is all missing or extra.
 
-    Pairs that could match are as many as the frames within ``tolerance`` of each other with one signature. No session passes one task whole.
+    ``choices`` are counted by running sums, not from pairs. No session of more than ``block`` frames passes one task whole.
     """
+    block = max(block, reach)
+    tx, rx = (_cut(df, signature, block) for df in (tx, rx))
     sides = {"tx": tx, "rx": rx}
-    pairs = stored(candidate_pairs(tx, rx, signature, tolerance))
+    keys, width = ["session", *signature], 4 * max(tolerance, 1)
+    told = count_in_ranges(rx.filter("_timed"), "t_us", tx.filter("_timed"), F.col("t_us") - tolerance, F.col("t_us") + tolerance, keys, ["session", "no"], width).withColumnRenamed("n", "choices")
     sessions = tx.select("session").unionByName(rx.select("session")).distinct()
-    path = stored(greedy_path(stored(successors(pairs, sessions, reach)), block))
+    path = greedy_path(tx, rx, signature, tolerance, reach, block)
     ends = path.groupBy("session").agg(F.max("i").alias("tx_end"), F.max("j").alias("rx_end"))
     counts = [df.groupBy("session").agg(F.count("*").alias(f"{s}_all")).withColumnRenamed("session", f"_{s}") for s, df in sides.items()]
     stop = sessions.join(ends.withColumnRenamed("session", "_p"), F.col("session").eqNullSafe(F.col("_p")), "left")
@@ -128,12 +138,8 @@ def align_in_order(tx: DataFrame, rx: DataFrame, signature: list[str], tolerance
     open_ = (F.col("tx_end") < F.coalesce("tx_all", F.lit(0))) & (F.col("rx_end") < F.coalesce("rx_all", F.lit(0)))
     stop = stop.filter(open_).select(F.col("session").alias("_session"), "tx_end", "rx_end")  # one row a session that stops
 
-    chosen = path.select(F.col("session").alias("_session"), F.col("i").alias("_i"), F.col("j").alias("_j"), F.lit(True).alias("_on"))
-    told = pairs.join(chosen, _same(pairs, chosen, ["session", *NODE]), "left")
-    pick = lambda c: F.max(F.when(F.col("_on"), F.col(c)))
-    told = told.groupBy("session", "i").agg(F.count("*").alias("choices"), pick("j").alias("rx_no"), pick("residual_us").alias("residual_us"))
-    told = told.select(F.col("session").alias("_session"), F.col("i").alias("_no"), "choices", "rx_no", "residual_us")
-    sent = tx.select("session", "no").join(told, F.col("session").eqNullSafe(F.col("_session")) & (F.col("no") == F.col("_no")), "left").drop("_session", "_no")
+    chosen = path.select("session", F.col("i").alias("no"), F.col("j").alias("rx_no"), "residual_us")
+    sent = join_null_safe(join_null_safe(tx.select("session", "no"), told, ["session", "no"], "left"), chosen, ["session", "no"], "left")
     sent = _stopped(sent, stop, "tx_end", F.col("rx_no").isNotNull(), "missing").withColumnRenamed("no", "tx_no")
     used = path.select(F.col("session").alias("_session"), F.col("j").alias("_no"))
     rest = rx.select("session", "no").join(used, F.col("session").eqNullSafe(F.col("_session")) & (F.col("no") == F.col("_no")), "left_anti")

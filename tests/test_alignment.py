@@ -1,8 +1,10 @@
 """Alignment of frames in order against a plain walk over lists."""
 
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from busloom.operators.alignment import align_in_order, alignment_summary
 
@@ -75,3 +77,13 @@ def test_alignment_is_the_plain_walk(spark, block):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert align_in_order(none, none, ["sig"], 12).count() == 0
+
+
+def test_work_grows_with_frames_not_with_pairs(spark):
+    """400 million pairs could match here; the walk and the counts need none of them as rows."""
+    n = 20_000
+    frames = spark.range(n).selectExpr("'s' AS session", "id AS no", "id % 10 AS t_us", "1 AS sig")
+    start = time.monotonic()
+    got = align_in_order(frames, frames, ["sig"], 12, block=8192)
+    told = got.groupBy("outcome").agg(F.count("*").alias("n"), F.min("choices"), F.max("choices"), F.sum(F.abs(F.col("tx_no") - F.col("rx_no")))).collect()
+    assert [tuple(r) for r in told] == [("matched", n, n, n, 0)] and time.monotonic() - start < 60
