@@ -87,3 +87,12 @@ def test_work_grows_with_frames_not_with_pairs(spark):
     got = align_in_order(frames, frames, ["sig"], 12, block=8192)
     told = got.groupBy("outcome").agg(F.count("*").alias("n"), F.min("choices"), F.max("choices"), F.sum(F.abs(F.col("tx_no") - F.col("rx_no")))).collect()
     assert [tuple(r) for r in told] == [("matched", n, n, n, 0)] and time.monotonic() - start < 60
+
+
+def test_totals_of_dense_traffic(spark):
+    n = 20_000
+    frames = spark.range(n).selectExpr("'s' AS session", "id AS no", "id % 10 AS t_us", "1 AS sig")
+    start = time.monotonic()
+    told = alignment_summary(align_in_order(frames, frames.filter("no < 15000"), ["sig"], 12)).first()
+    assert (told.matched, told.missing, told.extra, told.unresolved, told.ambiguous, told.max_residual_us) == (15_000, 5_000, 0, 0, 15_000, 0)
+    assert not told.exact_full_order and time.monotonic() - start < 60
