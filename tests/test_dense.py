@@ -13,7 +13,11 @@ def test_islands_of_equal_intervals(spark):
     rows = [(k * 100, k * 100 + 40 + (n % 2) * 30) for k in range(60) for n in range(80)] + [(250, 330)] * 50
     random.Random(3).shuffle(rows)
     spans = spark.createDataFrame(rows, "a long, b long").repartition(7)
-    got = {tuple(r) for r in ranges.islands(spans, (), "a", "b", ("a", "b"), "floor(a / 1000)").collect()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # a join that deals and sorts the rows anew, as on larger tables
+    try:
+        got = {tuple(r) for r in ranges.islands(spans, (), "a", "b", ("a", "b"), "floor(a / 1000)").collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == {(k * 100, k * 100 + 70, 80) for k in range(60) if k not in (2, 3)} | {(200, 370, 210)}
 
 
@@ -22,3 +26,31 @@ def test_rate_where_more_is_masked_than_there_is_time(spark):
     rates = lambda us: {tuple(r) for r in campaign.background_rates(matched, spark.createDataFrame([(us,)], "clean_us long")).collect()}
     assert rates(-60_000_000) == {("a", 2, -1.0, -2.0), ("b", 0, -1.0, 0.0)}
     assert rates(0) == {("a", 2, 0.0, None), ("b", 0, 0.0, None)}
+
+
+def nearest_pairs(tx, rx, residual):
+    """Brute force: pairs of frames that are each other's nearest; ties: smaller id."""
+    def best(a, others):
+        near = [(abs(t - a[2]), i) for i, s, t in others if s == a[1] and t is not None and abs(t - a[2]) <= residual] if a[2] is not None else []
+        return min(near)[1] if near else None
+
+    to_rx, to_tx = {a[0]: best(a, rx) for a in tx}, {b[0]: best(b, tx) for b in rx}
+    at, got = {a[0]: a[2] for a in tx}, {b[0]: b[2] for b in rx}
+    return {(i, j, got[j] - at[i]) for i, j in to_rx.items() if j is not None and to_tx[j] == i}
+
+
+def test_match_by_time_is_each_others_nearest(spark):
+    rng = random.Random(5)
+    side = lambda n: [(i, rng.choice([1, 2, None]), rng.choice([None, *range(-400, 400)])) for i in range(n)]
+    table = lambda rows, n: spark.createDataFrame(rows, f"{n}_id long, sig int, {n}_us long").repartition(5)
+    for residual in (0, 3, 50):
+        tx, rx = side(250), side(250)
+        got = [tuple(r) for r in audit.match_by_time(table(tx, "tx"), table(rx, "rx"), ["sig"], residual).collect()]
+        assert len(got) == len(set(got)) and set(got) == nearest_pairs(tx, rx, residual)
+
+
+def test_match_by_time_without_all_pairs(spark):
+    """1.6 billion pairs lie within the residual."""
+    n, start = 40_000, time.monotonic()
+    tx, rx = spark.range(n).selectExpr("id AS tx_id", "1 AS sig", "10 * id AS tx_us"), spark.range(n).selectExpr("id AS rx_id", "1 AS sig", "10 * id + 3 AS rx_us")
+    assert audit.match_by_time(tx, rx, ["sig"], 10 * n).filter("tx_id = rx_id and residual_us = 3").count() == n and time.monotonic() - start < 30
