@@ -6,6 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from busloom.operators import audit, campaign, evaluation, ranges
+from busloom.plans import catalogue
 
 
 def test_islands_of_equal_intervals(spark):
@@ -54,3 +55,28 @@ def test_match_by_time_without_all_pairs(spark):
     n, start = 40_000, time.monotonic()
     tx, rx = spark.range(n).selectExpr("id AS tx_id", "1 AS sig", "10 * id AS tx_us"), spark.range(n).selectExpr("id AS rx_id", "1 AS sig", "10 * id + 3 AS rx_us")
     assert audit.match_by_time(tx, rx, ["sig"], 10 * n).filter("tx_id = rx_id and residual_us = 3").count() == n and time.monotonic() - start < 30
+
+
+def test_counts_in_ranges(spark):
+    rng = random.Random(8)
+    points = [(rng.choice(["a", "b", None]), rng.choice([None, *range(-60, 60)])) for _ in range(300)]
+    spans = [(i, rng.choice(["a", "b", "c", None]), low, low + rng.randrange(-2, 40)) for i, low in enumerate(rng.choices(range(-70, 70), k=120))]
+    p, s = spark.createDataFrame(points, "k string, t long"), spark.createDataFrame(spans, "id long, k string, a long, b long")
+    for width in (1, 16, 1000):
+        got = {r.id: r.n for r in ranges.count_in_ranges(p, "t", s, F.col("a"), F.col("b"), ["k"], ["id"], width).collect()}
+        assert all(got.get(i, 0) == sum(x == k and t is not None and a <= t <= b for x, t in points) for i, k, a, b in spans)
+
+
+def crowd(spark, path, n):
+    """A folder whose events all fall into one hour after the learning time; every one is an event and an episode of any identifier."""
+    ts = "timestamp_ntz'2024-01-20 00:00:00' + make_dt_interval(0, 0, 0, id * 3600.0 / {n})".format(n=n)
+    rows = spark.range(n).selectExpr("id AS event_id", f"{ts} AS ts", "id % 7 AS user_id", "'purchase' AS event_type", "400.0D AS value", "'{\"k\": 6}' AS props")
+    rows.write.parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+def test_achieved_intensity_without_all_pairs(spark, tmp_path):
+    """Each of 200,000 episodes lasts until the end of the hour: 20 billion pairs."""
+    n, start = 200_000, time.monotonic()
+    got = catalogue.QUERIES["achieved_intensity"](spark, crowd(spark, tmp_path, n))
+    assert got.filter(F.col("n") == n - F.col("episode")).count() == n and time.monotonic() - start < 30
