@@ -80,3 +80,24 @@ def test_achieved_intensity_without_all_pairs(spark, tmp_path):
     n, start = 200_000, time.monotonic()
     got = catalogue.QUERIES["achieved_intensity"](spark, crowd(spark, tmp_path, n))
     assert got.filter(F.col("n") == n - F.col("episode")).count() == n and time.monotonic() - start < 30
+
+
+def test_match_episodes_is_the_nearest_start(spark):
+    """Episodes of all lengths, so that the newest may have ended while an earlier one lasts; also some that end before they start."""
+    rng = random.Random(13)
+    events = [(f"e{i}", rng.choice([1, 2, 3, None]), rng.choice([None, *range(-30, 130)])) for i in range(400)]
+    episodes = [(i, a, a + rng.choice([-4, 0, 3, 9, 60]), rng.choice([1, 2, None])) for i, a in enumerate(rng.choices(range(-20, 120), k=60))]
+    e = spark.createDataFrame(events, "event_id string, can_id long, ts_us long")
+    p = spark.createDataFrame(episodes, "episode long, start_us long, end_us long, episode_can_id long")
+    for tolerance, bucket in ((0, 7), (3, 30), (-2, 11)):
+        got = {r.event_id: r.episode for r in evaluation.match_episodes(e, p, tolerance, bucket).collect()}
+        for i, c, t in events:
+            held = [(abs(t - a), n) for n, a, b, k in episodes if t is not None and (k is None or k == c) and a - tolerance <= t <= b + tolerance]
+            assert got[i] == (min(held)[1] if held else None), (i, tolerance)
+
+
+def test_match_episodes_without_all_pairs(spark, tmp_path):
+    """Every one of 200,000 events lies in or near every one of 200,000 episodes; the nearest is its own."""
+    n, start = 200_000, time.monotonic()
+    got = catalogue.QUERIES["match_episodes"](spark, crowd(spark, tmp_path, n))
+    assert got.filter("event_id = episode").count() == n and time.monotonic() - start < 40
