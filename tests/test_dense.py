@@ -67,10 +67,10 @@ def test_counts_in_ranges(spark):
         assert all(got.get(i, 0) == sum(x == k and t is not None and a <= t <= b for x, t in points) for i, k, a, b in spans)
 
 
-def crowd(spark, path, n):
-    """A folder whose events all fall into one hour after the learning time; every one is an event and an episode of any identifier."""
+def crowd(spark, path, n, k=6):
+    """A folder whose events all fall into one hour after the learning time; every one is an event and an episode, of any identifier if 3 divides ``k``."""
     ts = "timestamp_ntz'2024-01-20 00:00:00' + make_dt_interval(0, 0, 0, id * 3600.0 / {n})".format(n=n)
-    rows = spark.range(n).selectExpr("id AS event_id", f"{ts} AS ts", "id % 7 AS user_id", "'purchase' AS event_type", "400.0D AS value", "'{\"k\": 6}' AS props")
+    rows = spark.range(n).selectExpr("id AS event_id", f"{ts} AS ts", "id % 7 AS user_id", "'purchase' AS event_type", "400.0D AS value", f"'{{\"k\": {k}}}' AS props")
     rows.write.parquet(f"{path}/events.parquet")
     return str(path)
 
@@ -101,3 +101,9 @@ def test_match_episodes_without_all_pairs(spark, tmp_path):
     n, start = 200_000, time.monotonic()
     got = catalogue.QUERIES["match_episodes"](spark, crowd(spark, tmp_path, n))
     assert got.filter("event_id = episode").count() == n and time.monotonic() - start < 40
+
+
+def test_latency_stats_without_all_pairs(spark, tmp_path):
+    n, start = 200_000, time.monotonic()
+    got = catalogue.QUERIES["latency_stats"](spark, crowd(spark, tmp_path, n)).collect()
+    assert [tuple(r) for r in got] == [("signal_out_of_range", n, 0, 0.0, 0)] and time.monotonic() - start < 40
