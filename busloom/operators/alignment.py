@@ -148,6 +148,35 @@ def align_in_order(tx: DataFrame, rx: DataFrame, signature: list[str], tolerance
     return out.select("session", "outcome", "tx_no", "rx_no", "residual_us", F.coalesce("choices", F.lit(0)).alias("choices"))
 
 
+def order_totals(tx: DataFrame, rx: DataFrame, signature: list[str], tolerance: int, reach: int = 12, block: int = 2**18) -> DataFrame:
+    """The rows of ``alignment_summary(align_in_order(...))``, without a row for every frame: outcomes follow from the sessions'
+    numbers of frames and from their pairs' number and last one, and ``choices`` are counted for matched frames only.
+    """
+    block = max(block, reach)
+    tx, rx = (_cut(df, signature, block) for df in (tx, rx))
+    path = greedy_path(tx, rx, signature, tolerance, reach, block)
+    sent = join_null_safe(tx.select("session", "no", "t_us", *signature), path.select("session", F.col("i").alias("no")), ["session", "no"], "left_semi")
+    near = F.col("t_us") - tolerance, F.col("t_us") + tolerance
+    told = count_in_ranges(rx.filter("_timed"), "t_us", sent, *near, ["session", *signature], ["session", "no"], 4 * max(tolerance, 1))
+    parts = [
+        *[df.groupBy("session").agg(F.count("*").alias(f"{s}_all")) for s, df in (("tx", tx), ("rx", rx))],
+        path.groupBy("session").agg(F.count("*").alias("matched"), (F.max("i") + 1).alias("tx_end"), (F.max("j") + 1).alias("rx_end"), F.max(F.abs("residual_us")).alias("max_residual_us")),
+        told.filter("n > 1").groupBy("session").agg(F.count("*").alias("ambiguous")),
+    ]
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)  # four rows a session at most
+    rows = every.groupBy("session").agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in every.columns if c != "session"])
+    stops = (F.col("tx_end") < F.col("tx_all")) & (F.col("rx_end") < F.col("rx_all"))
+    rows = rows.withColumns({f"{s}_until": F.when(stops, F.col(f"{s}_end")).otherwise(F.col(f"{s}_all")) for s in ("tx", "rx")})
+    return _exact(rows.select(
+        "session", "matched", (F.col("tx_until") - F.col("matched")).alias("missing"), (F.col("rx_until") - F.col("matched")).alias("extra"),
+        (F.col("tx_all") - F.col("tx_until") + F.col("rx_all") - F.col("rx_until")).alias("unresolved"), "ambiguous", "max_residual_us",
+    ))
+
+
+def _exact(totals: DataFrame) -> DataFrame:
+    return totals.withColumn("exact_full_order", (F.col("missing") == 0) & (F.col("extra") == 0) & (F.col("unresolved") == 0))
+
+
 def _stopped(frames: DataFrame, stop: DataFrame, end: str, matched: Column, otherwise: str) -> DataFrame:
     outcome = F.when(matched, "matched").when(F.col("no") >= F.col("_end"), "unresolved").otherwise(otherwise)
     ends = stop.select(F.col("_session"), F.col(end).alias("_end"))
@@ -163,4 +192,4 @@ def alignment_summary(frames: DataFrame) -> DataFrame:
         F.count(F.when((F.col("outcome") == "matched") & (F.col("choices") > 1), 1)).alias("ambiguous"),
         F.coalesce(F.max(F.abs("residual_us")), F.lit(0)).alias("max_residual_us"),
     )
-    return out.withColumn("exact_full_order", (F.col("missing") == 0) & (F.col("extra") == 0) & (F.col("unresolved") == 0))
+    return _exact(out)

@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from busloom.operators.alignment import align_in_order, alignment_summary
+from busloom.operators.alignment import align_in_order, alignment_summary, order_totals
 
 SCHEMA = "session string, no long, t_us long, sig int"
 
@@ -96,3 +96,17 @@ def test_totals_of_dense_traffic(spark):
     told = alignment_summary(align_in_order(frames, frames.filter("no < 15000"), ["sig"], 12)).first()
     assert (told.matched, told.missing, told.extra, told.unresolved, told.ambiguous, told.max_residual_us) == (15_000, 5_000, 0, 0, 15_000, 0)
     assert not told.exact_full_order and time.monotonic() - start < 60
+
+
+def test_totals_without_a_row_for_every_frame(spark):
+    """As the summary of all frames: sessions that stop, of one side only, without a name, with frames without a time or signature."""
+    rng = random.Random(29)
+    sides = {f"s{k}": traffic(rng, rng.randrange(1, 90), loss, more, kinds, run) for k, (loss, more, kinds, run) in enumerate(
+        [(0, 0, 1, 0), (0.1, 0.05, 2, 0), (0.3, 0.2, 3, 0), (0.02, 0.02, 20, 30), (0, 0, 2, 11)] * 2)}
+    sides["tx only"], sides["rx only"] = ([(5, 1), (6, 1)], []), ([], [(1, 1)])
+    sides["nulls"] = ([(5, None), (None, 1), (30, 2), (31, 2)], [(6, None), (7, 1), (30, 2), (31, 2), (32, 2)])
+    sides["unlike"], sides[None] = ([(0, 1), (1, 1)], [(0, 2)]), ([(0, 4), (10, 4)], [(10, 4)])
+    both = table(spark, sides, 0), table(spark, sides, 1)
+    got, told = order_totals(*both, ["sig"], 12, block=32), alignment_summary(align_in_order(*both, ["sig"], 12, block=32))
+    rows = [tuple(r) for r in got.collect()]
+    assert got.columns == told.columns and len(rows) == len(sides) and set(rows) == {tuple(r) for r in told.collect()}
