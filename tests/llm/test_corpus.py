@@ -557,3 +557,19 @@ def test_lm_learns_from_what_comes_before(spark):
     assert np.mean([r.score > r.base_score for r in out]) > 0.9
     again = {r.doc_id: r.score for r in lm_mixing.op3_lm_scores(spark.createDataFrame(rows, SCHEMA).repartition(5)).filter("held_out").collect()}
     assert all(abs(again[r.doc_id] - r.score) < 1e-6 for r in out)
+
+
+def test_lm_codes_of_both_folds_in_one_pass():
+    rng = np.random.default_rng(4)
+    values = rng.choice([0, 3, 255, 2**31, 2**32 - 1], 500).astype(np.uint64)
+    kinds, kind = lm_mixing.alike_few(values)
+    assert kinds.tolist() == sorted(set(values.tolist())) and (kinds[kind] == values).all()
+    pairs = sorted({(int(c) << lm_mixing.DEEPEST) | int(lm_mixing.PATH[b]) for c, b in zip(rng.integers(1, 6, 60), rng.integers(0, 256, 60))})
+    keys, n = np.array(pairs, np.uint64), rng.integers(1, 90, len(pairs))
+    wanted = [(np.arange(0, len(keys), 2), 1), (np.arange(1, len(keys), 3), 0)]
+    for (asked, own), codes in zip(wanted, lm_mixing.path_codes(keys, n, wanted)):
+        for a, place in enumerate(asked):
+            for depth in range(1, lm_mixing.DEEPEST + 1):
+                upper, right = (sum(int(m) for k, m in zip(pairs, n) if k >> lm_mixing.DEEPEST - d == pairs[place] >> lm_mixing.DEEPEST - d) - own for d in (depth - 1, depth))
+                live = depth <= lm_mixing.LENGTH[list(lm_mixing.PATH).index(pairs[place] & (1 << lm_mixing.DEEPEST) - 1)]
+                assert codes[depth - 1, a] == (lm_mixing.codes_of(np.array([right]), np.array([upper - right]))[0] if live else 0)
