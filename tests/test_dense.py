@@ -110,6 +110,16 @@ def test_latency_stats_without_all_pairs(spark, tmp_path):
     assert [tuple(r) for r in got] == [("signal_out_of_range", n, 0, 0.0, 0)] and time.monotonic() - start < 40
 
 
+def test_medians_by_running_sums(spark):
+    """Odd and even numbers of values, below zero, repeated, null keys and values, as percentile gives them."""
+    rng = random.Random(17)
+    rows = [(k, rng.choice([None, *range(-40, 60)])) for k in ("a", "b", None) for _ in range({"a": 31, "b": 80, None: 9}[k])] + [("one", 7), ("two", -3), ("two", 4), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v long").repartition(5)
+    want = {r.k: r.m for r in df.filter("v is not null").groupBy("k").agg(F.percentile("v", F.lit(0.5)).alias("m")).collect()}
+    for width in (1, 16, 1000):
+        assert {r.k: r.m for r in evaluation.medians(df, ["k"], "v", "m", width).collect()} == want
+
+
 def test_validation_checks_without_all_pairs(spark, tmp_path):
     """Silence of 200,000 episodes of seven identifiers, each broken by the frame that begins it."""
     n, start = 200_000, time.monotonic()
