@@ -573,3 +573,54 @@ def test_lm_codes_of_both_folds_in_one_pass():
                 upper, right = (sum(int(m) for k, m in zip(pairs, n) if k >> lm_mixing.DEEPEST - d == pairs[place] >> lm_mixing.DEEPEST - d) - own for d in (depth - 1, depth))
                 live = depth <= lm_mixing.LENGTH[list(lm_mixing.PATH).index(pairs[place] & (1 << lm_mixing.DEEPEST) - 1)]
                 assert codes[depth - 1, a] == (lm_mixing.codes_of(np.array([right]), np.array([upper - right]))[0] if live else 0)
+
+
+def test_lm_contexts_are_worked_out_once_a_kind(monkeypatch):
+    """Bytes after equal beginnings of words are one kind, and each byte's keys are those of a plain formula."""
+    import pyarrow as pa
+
+    texts = ["theme themes the theory a thesis themes", "x", "theme \U0001f600\u65e5\u672c theories " + "the" * 40, "aa aaa aaaa aaaaa"]
+    styles = np.log(np.random.default_rng(2).dirichlet(np.ones(256), 2))
+    heads, tails, _, _ = lm_mixing.joined([lm_mixing.tokens(words(pa.array(texts), lower=True), styles)])
+    scramble = lambda x: int(lm_mixing.mix(np.array([x % 2**64], np.uint64))[0])
+    next_, join, salts = int(lm_mixing._NEXT), int(lm_mixing._JOIN), [int(x) for x in lm_mixing._SALTS]
+    place_key = lambda context, byte: scramble(context) >> 8 & ~4095 | int(lm_mixing.PATH[byte])
+
+    def plain(style, before, byte, own):
+        context, out = scramble((style + 77) * join), []
+        start = context
+        for k in range(1, 5):
+            if k <= len(before):
+                context = (context + before[-k] + 1) * next_
+            if k in lm_mixing.ORDERS:
+                out.append(place_key(context + salts[lm_mixing.ORDERS.index(k)], byte))
+        return [*out, place_key(start + own + salts[-1], byte)]
+
+    want = [[], []]
+    for style, last, byte in zip(heads.style.tolist(), heads.last.tolist(), heads.byte.tolist()):
+        for i in range(lm_mixing.HEAD):
+            if byte[i]:
+                want[0].append(plain(style, [*last, *byte[:i]], byte[i], byte[0] + 1 if i else 0))
+    beginnings = set()
+    for style, low, high in zip(tails.style.tolist(), tails.ptr, tails.ptr[1:]):
+        own = tails.data[low:high].tolist()
+        for i in range(lm_mixing.HEAD, len(own)):
+            so_far = sum((b + 1) * pow(lm_mixing._WORD, j, 2**64) for j, b in enumerate(own[:i])) + i * join
+            want[1].append(plain(style, [32, *own[:i]], own[i], so_far))
+            beginnings.add((style, *own[: i + 1]))
+    for fits in (True, False):  # and where a window's number leaves no room for its place
+        if not fits:
+            order = lm_mixing._order
+            monkeypatch.setattr(lm_mixing, "_order", lambda values, bits: order(values, 64))
+        for part, keys in zip((heads, tails), want):
+            coded = lm_mixing.Coded(part)
+            assert [[int(k[at[x]]) for k, at in coded.groups] for x in coded.kind] == keys
+            assert all((k[1:] > k[:-1]).all() for k, _ in coded.groups)
+        assert len(coded.byte) == len(beginnings) < len(want[1])
+
+
+def test_lm_words_of_one_letter(spark):
+    """No word has a byte after its head."""
+    rows = [(i, "a b a c", "en", "s", 1) for i in range(40)]
+    out = lm_mixing.op3_lm_scores(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(out) == 40 and all(r.n_tokens == 5 and r.score < 0 for r in out) and {r.held_out for r in out} == {True, False}
